@@ -84,37 +84,33 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_over, '') END AS te
 FROM page LEFT JOIN whole USING (rid)"""
 
 
-def listed(words: list[str]) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+def found(expr: str, chars: str) -> str:
+    return f"len(regexp_extract_all({expr}, '[{chars}]'))"
 
 
-def stripped(expr: str, chars: str) -> str:
-    return f"length(translate({expr}, '{chars}', ''))"
+def solid(expr: str) -> str:
+    return f"(length({expr}) - {found(expr, rules.BLANKS)})"
 
 
-BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 BOILER = " OR ".join(f"contains(low, '{w}')" for w in rules.BOILERPLATE)
+ENTRY = "(?:" + "|".join(rules.NAVIGATION) + ")"
 RULES_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, [x for x in string_split_regex(text, '{BLANK}') if x <> ''] AS own FROM t),
 win AS (SELECT rid, i, array_to_string(own[i:i + 7], ' ') AS k FROM (SELECT rid, own, unnest(range(1, len(own) - 6)) AS i FROM w WHERE len(own) > 8)),
 twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 again AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + j AS at FROM twice, range(8) r(j)) GROUP BY rid),
-line AS (SELECT rid, n, x, translate(x, {BLANKS}, '') AS bare, [y for y in string_split_regex(x, '{BLANK}') if y <> ''] AS own, trim(lower(x)) AS low
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS n FROM t)),
-judged AS (SELECT rid, n, x, bare, length(bare) > 0 AND (
-  length(bare) - {stripped("bare", rules.SYMBOLS)} > 0.05::DOUBLE * length(bare) OR length(bare) - {stripped("bare", "!")} > 0.05::DOUBLE * length(bare)
-  OR length(bare) - {stripped("bare", "{}[]\\\\^~_=".replace(chr(92) * 2, chr(92)))} > 0.1::DOUBLE * length(bare)
-  OR len([y for y in string_split_regex(low, '[\x20\x09-\x0D]*[|>»•·/][\x20\x09-\x0D]*|[\x20\x09-\x0D]{{2,}}') if NOT list_contains({listed(rules.NAVIGATION)}, y)]) = 0
-  OR (length(bare) - {stripped("bare", "|»•·")} >= 2 AND (length(bare) - {stripped("bare", "|»•·")}) * 8 > len(own))
-  OR (len(own) <= 30 AND ({BOILER}))
-  OR (len(own) >= 10 AND len(list_distinct(own)) * 4 < len(own))) AS fails FROM line),
+line AS (SELECT rid, n, x, lower(x) AS low, {solid("x")} AS solid FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS n FROM t)),
+judged AS (SELECT rid, n, x, solid, {found("x", rules.SYMBOLS)} > 0.05::DOUBLE * solid OR {found("x", "!")} > 0.05::DOUBLE * solid OR {found("x", rules.BRACKETS)} > 0.1::DOUBLE * solid
+  OR ({found("x", rules.BARS)} >= 2 AND {found("x", rules.BARS)} * 40 > solid)
+  OR regexp_matches(low, '^[{rules.BLANKS}]*{ENTRY}(?:(?:[{rules.BLANKS}]*[|>»•·/][{rules.BLANKS}]*|[{rules.BLANKS}]{{2,}}){ENTRY})*[{rules.BLANKS}]*$')
+  OR (length(x) <= {rules.NOTICE_CHARS} AND ({BOILER})) AS fails FROM line),
 cleaned AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (WHERE NOT fails), '') AS cleaned,
-  count(*) FILTER (WHERE bare <> '') - count(DISTINCT x) FILTER (WHERE bare <> '') AS n_dup_lines FROM judged GROUP BY rid),
-base AS (SELECT doc_id, len(own) AS n_words, length(translate(text, {BLANKS}, '')) AS word_chars, length(text) - {stripped("text", rules.SYMBOLS)} AS n_symbols,
+  count(*) FILTER (WHERE solid > 0) - count(DISTINCT x) FILTER (WHERE solid > 0) AS n_dup_lines FROM judged GROUP BY rid),
+base AS (SELECT doc_id, len(own) AS n_words, {solid("text")} AS word_chars, {found("text", rules.SYMBOLS)} AS n_symbols,
   n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, cleaned FROM w JOIN cleaned USING (rid) LEFT JOIN again USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND length(translate(cleaned, {BLANKS}, '')) >= 0.5::DOUBLE * word_chars AS kept, length(cleaned) AS cleaned_chars FROM base"""
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {solid("cleaned")} >= 0.5::DOUBLE * word_chars AS kept, length(cleaned) AS cleaned_chars FROM base"""
 
 CONTAINED_SQL = rf"""
 WITH dw AS (SELECT doc_id, text, [x for x in string_split_regex({FOLDED}, '{BLANK}') if x <> ''] AS w FROM documents),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANK_CHARS, words
+from tessera.llm.common import words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, BRACKETS, BARS = "#*$%&|<>", r"{}\[\]\\^~_=", "|»•·"
+BLANKS = r"\x20\x09-\x0D"
 WINDOW = 8
+#: A longer line is no notice, whatever it mentions.
+NOTICE_CHARS = 240
 
 #: Words that make up navigation and notices.
 NAVIGATION = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "subscribe", "share", "next", "previous", "back", "top", "search", "contact", "about", "sitemap", "read more", "more", "print", "reply", "follow us"]
@@ -51,30 +54,34 @@ def repeat_words(own: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(own) <= window, F.lit(0).cast("bigint")).otherwise(let(let(hashed, windows), count))
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """The base counts of a text."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0)
+def counts(text: Column, own: Column) -> dict[str, Column]:
+    """The base counts of a text with words `own`."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^{BLANKS}]"))
     return {
-        "word_chars": F.length(F.translate(text, BLANK_CHARS, "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
+        "word_chars": F.length(F.array_join(own, "")).cast("bigint"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
     }
 
 
+def filled(text: Column) -> Column:
+    """Characters of a text without white space."""
+    return F.length(text) - F.regexp_count(text, F.lit(f"[{BLANKS}]"))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed: by its punctuation, as navigation, as boilerplate or as one word over and over."""
-    bare = F.translate(line, BLANK_CHARS, "")
-    size = F.length(bare)
-    gone = lambda chars: size - F.length(F.translate(bare, chars, ""))
-    own = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    low = F.trim(F.lower(line))
-    punctuation = (gone(SYMBOLS) > 0.05 * size) | (gone("!") > 0.05 * size) | (gone("{}[]\\^~_=") > 0.1 * size)
-    items = F.split(low, r"\s*[|>»•·/]\s*|\s{2,}")
-    navigation = (F.size(F.array_except(items, F.array(*map(F.lit, NAVIGATION)))) == 0) | ((gone("|»•·") >= 2) & (gone("|»•·") * 8 > F.size(own)))
-    boiler = (F.size(own) <= 30) & (F.greatest(*(F.instr(low, x) for x in BOILERPLATE)) > 0)
-    repeated = let(own, lambda x: (F.size(x) >= 10) & (F.size(F.array_distinct(x)) * 4 < F.size(x)))
-    return (size > 0) & (punctuation | navigation | boiler | repeated)
+    """Whether a line is removed: by its punctuation, as navigation or as boilerplate."""
+
+    def over(chars: str, share: float) -> Column:
+        return F.regexp_count(line, F.lit(f"[{chars}]")) > share * filled(line)
+
+    bars = F.regexp_count(line, F.lit(f"[{BARS}]"))
+    marked = over(SYMBOLS, 0.05) | over("!", 0.05) | over(BRACKETS, 0.1) | ((bars >= 2) & (bars * 40 > filled(line)))
+    entry = "(?:" + "|".join(NAVIGATION) + ")"
+    menu = rf"^[{BLANKS}]*{entry}(?:(?:[{BLANKS}]*[|>»•·/][{BLANKS}]*|[{BLANKS}]{{2,}}){entry})*[{BLANKS}]*$"
+    low = F.lower(line)
+    notice = F.greatest(*(F.instr(low, x) for x in BOILERPLATE)) > 0
+    return (line.rlike(f"[{SYMBOLS}!{BRACKETS}{BARS}]") & marked) | low.rlike(menu) | ((F.length(line) <= NOTICE_CHARS) & notice)
 
 
 def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 20, most_repeat: int = 30) -> DataFrame:
@@ -85,8 +92,9 @@ def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 20, most_r
     as an empty one does. Rows that repeat are judged each; other columns aren't read.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), words(F.col("text"), fold=False).alias("own"))
-    got = base.select("doc_id", "text", F.size("own").cast("bigint").alias("n_words"), *(v.alias(k) for k, v in counts(F.col("text")).items()), repeat_words(F.col("own")).alias("n_repeat_words"), F.array_join(F.filter(F.split("text", "\n"), lambda x: ~line_fails(x)), "\n").alias("cleaned"))
+    text, own = F.col("text"), F.col("own")
+    got = base.select("doc_id", "text", F.size(own).cast("bigint").alias("n_words"), *(v.alias(k) for k, v in counts(text, own).items()), repeat_words(own).alias("n_repeat_words"), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n").alias("cleaned"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
-    left = F.length(F.translate("cleaned", BLANK_CHARS, ""))
+    left = F.when(F.col("cleaned") == text, F.col("word_chars")).otherwise(filled(F.col("cleaned")))
     got = got.withColumn("base_failed", failed)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (left >= (1 - most_lost) * F.col("word_chars"))).alias("kept"), "cleaned")
