@@ -2,7 +2,8 @@
 
 Files of a model, all in one folder of the shared storage:
   words-<shard>.key / .n      hashes of the training words in order, and their counts; a word's id is its rank over all
-  pairs-<shard>.key / .n      hashes of (previous id, id) in order, and their counts; the hash can be undone
+  pairs-<shard>.key / .n      hashes of (previous id, id) in order, and their counts in a byte; the hash can be undone
+  pairs-<shard>.often         place in the shard and count of the pairs that occur more often than a byte tells
   stats-<chunk>.n             by id, 32-bit floats like the pairs' counts, which no corpus overflows: followers' total, distinct followers seen once, twice, more often, distinct predecessors
 A shard holds the hashes that begin with its bits, so arrays grow with the corpus and no task or worker holds a whole one.
 """
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ from tessera.llm.warc import file_system
 U, I = np.uint64, np.int64
 END_WORD = int(np.uint64(0x9E3779B97F4A7C15).view(I))
 #: Bytes of text that are hashed at once, and tokens that are counted before rows leave a task.
-SLAB = 4 << 20
-COUNTED = 4 << 20
+SLAB = 1 << 20
+COUNTED = 2 << 20
+#: Tokens for each shard of the pairs, about.
+SHARD_TOKENS = 2 << 20
+#: A pair's count takes a byte; from here on it is in a list of its own.
+OFTEN = 255
 #: Ids in a chunk of the stats.
 CHUNK = 1 << 18
 FIELDS = 5
@@ -124,58 +130,69 @@ class Sorted:
 
     def __init__(self, folder: str, name: str, bits: int, kind):
         self.bits = bits
-        exists = [os.path.exists(f"{folder}/{name}-{k}.key") for k in range(1 << bits)]
-        self.keys = [mapped(f"{folder}/{name}-{k}.key", I) if ok else np.zeros(0, I) for k, ok in enumerate(exists)]
-        self.counts = [mapped(f"{folder}/{name}-{k}.n", kind) if ok else np.zeros(0, kind) for k, ok in enumerate(exists)]
+        paths = [f"{folder}/{name}-{k}" for k in range(1 << bits)]
+        read = lambda path, kind: mapped(path, kind) if os.path.exists(path) else np.zeros(0, kind)
+        self.keys, self.counts = [read(f"{p}.key", I) for p in paths], [read(f"{p}.n", kind) for p in paths]
+        self.often = [read(f"{p}.often", I).reshape(-1, 2) for p in paths]
         self.first = np.cumsum([0, *map(len, self.keys)])
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1: absent) and count of each."""
         own, back = np.unique(wanted, return_inverse=True)
         rank, count = np.full(len(own), -1, I), np.zeros(len(own), I)
-        shard = (own >> I(64 - self.bits)) + (1 << (self.bits - 1)) if self.bits else np.zeros(len(own), I)
-        cut = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
+        cut = np.searchsorted(shards(own, self.bits), np.arange((1 << self.bits) + 1))
         for k in range(1 << self.bits):
             a, b = cut[k], cut[k + 1]
             if a == b or not len(self.keys[k]):
                 continue
             at = np.minimum(np.searchsorted(self.keys[k], own[a:b]), len(self.keys[k]) - 1)
             ok = self.keys[k][at] == own[a:b]
+            n = self.counts[k][at].astype(I)
+            if len(self.often[k]) and (more := n == OFTEN).any():
+                n[more] = self.often[k][np.minimum(np.searchsorted(self.often[k][:, 0], at[more]), len(self.often[k]) - 1), 1]
             rank[a:b] = np.where(ok, at + self.first[k], -1)
-            count[a:b] = np.where(ok, self.counts[k][at], 0)
+            count[a:b] = np.where(ok, n, 0)
         return rank[back], count[back]
 
 
-def shard_of(bits: int) -> str:
-    return f"shiftright(key, {64 - bits}) + {1 << (bits - 1)}" if bits else "0"
+def shards(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Shard of each key: its first bits, in the order of signed numbers."""
+    return (keys >> I(64 - bits)) + (1 << (bits - 1))
 
 
-def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-    own, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(I))], ["key", "n"])
+def packed(x: np.ndarray) -> bytes:
+    """Ascending whole numbers, or small ones: byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.diff(x, prepend=I(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """From rows (key, n) in order: shard by shard, distinct keys with their sums, some MB at a time."""
-    held_keys, held_n = np.zeros(0, I), np.zeros(0, I)
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(I).ravel())
 
-    def done(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if not len(keys):
-            return
-        shard = (keys >> I(64 - bits)) + (1 << (bits - 1)) if bits else np.zeros(len(keys), I)
-        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        for a, b in zip(at, [*at[1:], len(keys)], strict=True):
-            yield int(shard[a]), keys[a:b], n[a:b]
 
+def counted(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Distinct keys and how many there are, a row for each shard."""
+    own, n = np.unique(np.concatenate(held), return_counts=True)
+    cut = np.searchsorted(shards(own, bits), np.arange((1 << bits) + 1))
+    rows = [(k, packed(own[a:b]), packed(n[a:b].astype(I))) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["shard", "keys", "n"])
+
+
+COUNTS = "shard bigint, keys binary, n binary"
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From rows of counted(), of which a task has all of its shards: each shard's distinct keys in order, and their sums."""
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
-        keys, n = np.r_[held_keys, batch.column(0).to_numpy()], np.r_[held_n, batch.column(1).to_numpy()]
-        if not len(keys):
-            continue
+        for shard, keys, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            held.setdefault(shard, []).append((keys, n))
+    for shard in sorted(held):
+        rows = held.pop(shard)
+        keys, n = (np.concatenate([unpacked(r[k]) for r in rows]) for k in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, n = keys[at], np.add.reduceat(n, at)
-        yield from done(keys[:-1], n[:-1])
-        held_keys, held_n = keys[-1:], n[-1:]
-    yield from done(held_keys, held_n)
+        yield shard, keys[at], np.add.reduceat(n, at)
 
 
 class ShardFiles:
@@ -199,7 +216,7 @@ class ShardFiles:
 # Counting
 
 
-def count_words(texts: DataFrame):
+def count_words(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for _, _, part in slabs(batches, 0):
@@ -207,29 +224,29 @@ def count_words(texts: DataFrame):
             held.append(found)
             n += len(found)
             if n >= COUNTED:
-                yield counted(held)
+                yield counted(held, bits)
                 held, n = [], 0
         if held:
-            yield counted(held)
+            yield counted(held, bits)
 
-    return texts.mapInArrow(run, "key bigint, n bigint")
+    return texts.mapInArrow(run, COUNTS)
 
 
-def count_pairs(texts: DataFrame, uri: str, bits: int, start: int):
+def count_pairs(texts: DataFrame, uri: str, word_bits: int, bits: int, start: int) -> DataFrame:
     def run(batches):
-        known, held, n = Sorted(local_folder(uri), "words", bits, I), [], 0
+        known, held, n = Sorted(local_folder(uri), "words", word_bits, I), [], 0
         for _, _, part in slabs(batches, 0):
             found, ends = tokens(part)
             ids = known.find(found)[0]
             held.append(mixed(previous(ids, ends, start).astype(U) << U(32) | ids.astype(U)).view(I))
             n += len(found)
             if n >= COUNTED:
-                yield counted(held)
+                yield counted(held, bits)
                 held, n = [], 0
         if held:
-            yield counted(held)
+            yield counted(held, bits)
 
-    return texts.mapInArrow(run, "key bigint, n bigint")
+    return texts.mapInArrow(run, COUNTS)
 
 
 def previous(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
@@ -242,91 +259,74 @@ def write_words(counts: DataFrame, uri: str, bits: int) -> DataFrame:
     """(shard, words, tokens) for each shard."""
 
     def run(batches):
-        files, size, total = ShardFiles(uri), {}, {}
-        for shard, keys, n in sorted_runs(batches, bits):
+        files, rows = ShardFiles(uri), []
+        for shard, keys, n in merged(batches):
             files.add(f"words-{shard}.key", keys)
             files.add(f"words-{shard}.n", n)
-            size[shard], total[shard] = size.get(shard, 0) + len(keys), total.get(shard, 0) + int(n.sum())
+            rows.append((shard, len(keys), int(n.sum())))
         files.close()
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (size, size.values(), total.values())], ["shard", "words", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["shard", "words", "tokens"])
 
-    return sharded(counts, bits).mapInArrow(run, "shard bigint, words bigint, tokens bigint")
+    return counts.repartition(1 << bits, "shard").mapInArrow(run, "shard bigint, words bigint, tokens bigint")
 
 
-def sharded(counts: DataFrame, bits: int) -> DataFrame:
-    return counts.repartition(1 << bits, F.expr(shard_of(bits))).sortWithinPartitions("key")
+STATS = "chunk bigint, ids binary, total binary, n1 binary, n2 binary, n3 binary, preds binary"
 
 
 def write_pairs(counts: DataFrame, uri: str, bits: int) -> DataFrame:
-    """Rows (id, total, n1, n2, n3, preds) to sum up for each id; and with id -1 and -2 the number of pairs that occur
-    once, twice, three and four times."""
+    """Sums for each id, a row for each chunk of ids and shard of pairs; and as chunk -1 the number of pairs, and of
+    those that occur once, twice, three and four times."""
 
     def run(batches):
-        files, us, ws, cs, seen = ShardFiles(uri), [], [], [], 0
-        often = np.zeros(5, I)
-
-        def summed():
-            u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(cs)
-            ids, at = np.unique(u, return_inverse=True)
-            cols = [np.bincount(at, x, len(ids)).astype(I) for x in (c, c == 1, c == 2, c >= 3)]
-            after, preds = np.unique(w, return_counts=True)
-            zero = np.zeros(len(after), I)
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[ids, after]), *(pa.array(np.r_[x, zero]) for x in cols), pa.array(np.r_[np.zeros(len(ids), I), preds.astype(I)])], ["id", "total", "n1", "n2", "n3", "preds"])
-
-        for shard, keys, n in sorted_runs(batches, bits):
+        files, often = ShardFiles(uri), np.zeros(5, I)
+        rows: list[tuple] = []
+        for shard, keys, n in merged(batches):
             files.add(f"pairs-{shard}.key", keys)
-            files.add(f"pairs-{shard}.n", n.astype(np.float32))
+            files.add(f"pairs-{shard}.n", np.minimum(n, OFTEN).astype(np.uint8))
+            files.add(f"pairs-{shard}.often", np.stack([np.flatnonzero(n >= OFTEN), n[n >= OFTEN]], 1))
             pair = unmixed(keys.view(U))
-            us.append((pair >> U(32)).astype(I))
-            ws.append((pair & U(0xFFFFFFFF)).astype(I))
-            cs.append(n)
+            u, w = (pair >> U(32)).astype(I), (pair & U(0xFFFFFFFF)).astype(I)
+            ids, at = np.unique(np.r_[u, w], return_inverse=True)
+            first, second = at[: len(u)], at[len(u) :]
+            cols = [np.bincount(first, x, len(ids)).astype(I) for x in (n, n == 1, n == 2, n >= 3)] + [np.bincount(second, minlength=len(ids)).astype(I)]
+            cut = np.flatnonzero(np.r_[True, np.diff(ids // CHUNK) > 0])
+            rows += ((int(ids[a] // CHUNK), packed(ids[a:b]), *(packed(c[a:b]) for c in cols)) for a, b in zip(cut, [*cut[1:], len(ids)], strict=True))
             often += [len(n), *((n == k).sum() for k in (1, 2, 3, 4))]
-            seen += len(n)
-            if seen >= COUNTED:
-                yield summed()
-                us, ws, cs, seen = [], [], [], 0
-        if seen:
-            yield summed()
+            yield stats_rows(rows)
+            rows = []
         files.close()
-        if often[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, *often.tolist())], ["id", "total", "n1", "n2", "n3", "preds"])
+        yield stats_rows([(-1, packed(often), *[b""] * 5)])
 
-    return sharded(counts, bits).mapInArrow(run, "id bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, preds bigint")
+    return counts.repartition(1 << bits, "shard").mapInArrow(run, STATS)
 
 
-def write_stats(sums: DataFrame, uri: str) -> DataFrame:
-    """(pairs, 1, 2, 3, 4, more): pairs, and how many pairs and ids have so many occurrences and predecessors; one row
-    each chunk for ids, one with chunk -1 for pairs."""
+def stats_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(7)], ["chunk", "ids", "total", "n1", "n2", "n3", "preds"])
 
-    def run(batches):
-        files, own, base = ShardFiles(uri), None, -1
-        meta = []
 
-        def flush():
-            if own is not None:
-                files.add(f"stats-{base // CHUNK}.n", own)
-                preds = own[:, 4]
-                meta.append((base // CHUNK, int(preds.sum(dtype=float)), *(int((preds == k).sum()) for k in (1, 2, 3, 4)), int((preds >= 3).sum())))
+def write_stats(sums: DataFrame, uri: str, chunks: int) -> DataFrame:
+    """(chunk, pairs, 1, 2, 3, 4, more): how many pairs, and how many of them or of a chunk's ids have so many
+    occurrences or predecessors; chunk -1 has what concerns pairs, in several rows."""
 
+    def run(batches):
+        files, meta = ShardFiles(uri), []
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(6)], 1)
-            special = rows[rows[:, 0] < 0]
-            meta += [(-1, *map(int, r[1:]), 0) for r in special]
-            rows = rows[rows[:, 0] >= 0]
-            chunk = rows[:, 0] // CHUNK
-            for c in np.unique(chunk):
-                if c * CHUNK != base:
-                    flush()
-                    own, base = np.zeros((CHUNK, FIELDS), np.float32), int(c * CHUNK)
-                part = rows[chunk == c]
-                own[part[:, 0] - base] = part[:, 1:]
-        flush()
+            for chunk, ids, *cols in zip(*(batch.column(k) for k in range(7)), strict=True):
+                chunk, ids = chunk.as_py(), unpacked(ids.as_py())
+                if chunk < 0:
+                    meta.append((-1, *map(int, ids), 0))
+                    continue
+                own = held.setdefault(chunk, np.zeros((CHUNK, FIELDS)))
+                own[ids - chunk * CHUNK] += np.stack([unpacked(c.as_py()) for c in cols], 1)
+        for chunk, own in held.items():
+            files.add(f"stats-{chunk}.n", own.astype(np.float32))
+            preds = own[:, 4]
+            meta.append((chunk, int(preds.sum()), *(int((preds == k).sum()) for k in (1, 2, 3, 4)), int((preds >= 3).sum())))
         files.close()
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*meta, strict=True) if meta else [[]] * 7)], ["chunk", "pairs", "n1", "n2", "n3", "n4", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in meta], pa.int64()) for k in range(7)], ["chunk", "pairs", "n1", "n2", "n3", "n4", "more"])
 
-    total = sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "preds")))
-    by_chunk = total.repartition(F.expr(f"floor(id / {CHUNK})")).sortWithinPartitions("id")
-    return by_chunk.mapInArrow(run, "chunk bigint, pairs bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
+    return sums.repartition(chunks, "chunk").mapInArrow(run, "chunk bigint, pairs bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -338,25 +338,23 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0, *(float(np.clip(d, 0.05 * k, 0.95 * k)) for k, d in enumerate(found, 1))]
 
 
-def shard_bits(spark) -> int:
-    """A shard for each shuffle partition, more or less."""
-    return max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-
-
 def build(docs: DataFrame, uri: str | None = None) -> dict:
     """Counts the texts of `docs` (one column, text) and writes the model; returns what workers need besides the files.
 
-    Nulls count as empty: a lone end. The corpus is read twice; words and pairs are summed in tasks before they are
-    shuffled, by hash, so a frequent word is no task's burden. The driver gets a row for each shard.
+    Nulls count as empty: a lone end. The corpus is read twice. Tasks sum words and pairs before they are dealt by
+    hash, so a frequent word or pair is no task's burden; what is dealt is packed sorted arrays, and the number of
+    shards follows the shuffle partitions and the corpus, so that a shard is some MB. The driver gets a row a shard.
     """
     spark = docs.sparkSession
-    uri, bits = uri or scratch(spark, "lm"), shard_bits(spark)
-    meta = write_words(count_words(docs), uri, bits).collect()
+    uri = uri or scratch(spark, "lm")
+    word_bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    meta = write_words(count_words(docs, word_bits), uri, word_bits).collect()
     size, total = sum(r["words"] for r in meta), sum(r["tokens"] for r in meta)
-    model = {"uri": uri, "bits": bits, "words": size, "tokens": total, "pairs": 0, "pair_discounts": discounts(0, 0, 0, 0), "word_discounts": discounts(0, 0, 0, 0), "rest": 1.0}
+    bits = max(word_bits, (total // SHARD_TOKENS).bit_length())
+    model = {"uri": uri, "word_bits": word_bits, "bits": bits, "words": size, "tokens": total, "pairs": 0, "pair_discounts": discounts(0, 0, 0, 0), "word_discounts": discounts(0, 0, 0, 0), "rest": 1.0}
     if not total:
         return model
-    stats = write_stats(write_pairs(count_pairs(docs, uri, bits, size), uri, bits), uri).collect()
+    stats = write_stats(write_pairs(count_pairs(docs, uri, word_bits, bits, size), uri, bits), uri, size // CHUNK + 1).collect()
     ids, pairs = ([r for r in stats if (r["chunk"] < 0) == x] for x in (False, True))
     add = lambda rows, c: sum(r[c] for r in rows)
     model["pairs"] = add(ids, "pairs")
@@ -375,7 +373,7 @@ class Model:
     def __init__(self, about: dict):
         folder = local_folder(about["uri"])
         self.about = about
-        self.words, self.pairs = Sorted(folder, "words", about["bits"], I), Sorted(folder, "pairs", about["bits"], np.float32)
+        self.words, self.pairs = Sorted(folder, "words", about["word_bits"], I), Sorted(folder, "pairs", about["bits"], np.uint8)
         chunks = about["words"] // CHUNK + 1
         self.stats = [mapped(p, np.float32).reshape(-1, FIELDS) if os.path.exists(p := f"{folder}/stats-{k}.n") else None for k in range(chunks)]
 

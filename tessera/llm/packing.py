@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,34 +14,87 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
-#: Word forms a worker keeps in each of two generations; about 60 MB in all.
-CACHED_WORDS = 150_000
+#: Word forms a worker keeps, some 110 MB; beyond them it goes on with those of the lot at hand.
+CACHED_WORDS = 500_000
+#: Characters that are split into words at once.
+SLAB = 1 << 20
 #: Pieces that are packed together, on average.
 GROUP_PIECES = 4_000
 
 
-class WordIds(dict):
-    """Little-endian ids of words. The vocabulary splits at white space, so a text's ids are its words' ids in turn."""
+class WordIds:
+    """Little-endian ids of words. The vocabulary splits at white space, so a text's ids are its words' ids in turn.
+
+    New words are encoded many at a time. A word of letters is one piece of the vocabulary's split, whose last id alone
+    bears the mark of a word's end; that tells where in a line of such words each one's ids stop. Its full stop or
+    comma is a piece of its own, and the vocabulary folds case.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode, self.older = Tokenizer.from_file(path).encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.asarray(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if len(word) <= 200:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.model = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words."""
+        parts = {w: split_tail(w) for w in words}
+        stems = list({x for pair in parts.values() for x in pair if x})
+        plain, odd = [x for x in stems if x.isalpha()], [x for x in stems if not x.isalpha()]
+        found = {x: ids.tobytes() for x, ids in zip(odd, self.encode(odd), strict=True)}
+        lines = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for own, ids in zip(lines, self.encode([" ".join(x) for x in lines]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(own):
+                found.update(zip(own, (ids[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+            else:  # a letter that the split doesn't count as one
+                found.update((x, one.tobytes()) for x, one in zip(own, self.encode(own), strict=True))
+        found[""] = b""
+        return {w: found[stem] + found[tail] for w, (stem, tail) in parts.items()}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        own = set(chain.from_iterable(split))
+        new = own.difference(self.known)
+        if new and len(self.known) + len(new) > CACHED_WORDS:
+            older = self.known
+            self.known = {w: older[w] for w in own.intersection(older)} | {"": b""}
+        if new:
+            self.known |= self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def split_tail(word: str) -> tuple[str, str]:
+    """A word without a full stop or comma after its letters, in lower case where that is plain; and what went."""
+    tail = ""
+    if word[-1:] in (",", ".") and word[:-1].isalpha():
+        word, tail = word[:-1], word[-1]
+    return (word.lower() if word.isascii() and word.isalpha() else word), tail
+
+
+def lots(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
+    """(position, text), about SLAB characters at a time; a longer text comes in parts that end at a space."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while len(text) - at > SLAB:
+            cut = text.find(" ", at + SLAB)
+            cut = len(text) if cut < 0 else cut
+            yield [*held, (k, text[at:cut])]
+            held, size, at = [], 0, cut
+        held.append((k, text[at:]))
+        size += len(text) - at
+        if size > SLAB:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=2)
@@ -54,16 +108,24 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            whole = [b""] * batch.num_rows
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = known.of(text.as_py() or "") + end
-                n = len(ids) // 4
-                rows += ((doc_id, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window))
+            for lot in lots(x.as_py() or "" for x in batch.column(1)):
+                for (k, _), ids in zip(lot, known.of([t for _, t in lot]), strict=True):
+                    whole[k] += ids
+            for doc_id, ids in zip(doc_ids, whole, strict=True):
+                rows += pieces_of(doc_id, ids + end, window)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
+def pieces_of(doc_id: int | None, ids: bytes, window: int) -> list[tuple]:
+    n = len(ids) // 4
+    return [(doc_id, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
+
+
 def closest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     """The (length, how many) that fill `room` as closely as the multiset `counts` allows.
 
