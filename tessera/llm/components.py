@@ -9,7 +9,7 @@ from tessera.llm.common import shared_dir
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node with an edge; a component is named by its smallest node.
+    """(node, component) of every node with an edge but the smallest of its component, which names it.
 
     `edges` has bigint columns a and b. Each round runs a large-star and a small-star step: joins with the
     minimum of a node's neighbours, found by a partial aggregate, so a node with very many neighbours is no task's
