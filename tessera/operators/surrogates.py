@@ -161,12 +161,12 @@ def r2(y: np.ndarray, p: np.ndarray) -> float:
 
 
 def gradient_fit(x: np.ndarray, y: np.ndarray, masks: np.ndarray, weight: np.ndarray, rank: int, loss: str, steps: int = 1500, rate: float = 0.02, l2: float = 1e-4, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray]:
-    """The same model by Adam. Losses: "utility" (weighted squares), "delta" (squares of the differences of
+    """The same model by Adam, from the linear fit on. Losses: "utility" (weighted squares), "delta" (squares of the differences of
     neighbours, weighted by their size and weight), "mixed" (delta weighted by size over its 70th percentile, plus
     utility), "logistic" (order of neighbours, plus utility)."""
     rng = np.random.default_rng(seed)
     n = x.shape[1]
-    theta = np.concatenate([[y.mean()], np.zeros(n), rng.normal(0, 0.1, n * rank)])
+    theta = np.concatenate([np.linalg.lstsq(np.c_[np.ones(len(y)), x], y, rcond=None)[0], rng.normal(0, 0.1, n * rank)])
     pairs = neighbours(masks)
     weight = weight / weight.mean() if weight.sum() > 0 else np.ones(len(y))
     delta = y[pairs[:, 1]] - y[pairs[:, 0]]

@@ -449,7 +449,7 @@ def fm_closed_form(spark, sf):
 
 @query
 def fm_gradient(spark, sf):
-    return close(spark, sf, surrogates.fit_fm(games.segment_game(spark, sf), 4, "mixed", steps=1500, rate=0.05), 0.1)
+    return close(spark, sf, surrogates.fit_fm(games.segment_game(spark, sf), 4, "mixed", steps=1500, rate=0.01), 0.1)
 
 
 @query
