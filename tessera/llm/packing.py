@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
-#: Word forms a worker keeps, some 110 MB; beyond them it goes on with those of the lot at hand.
+#: Word forms in each of the two generations a worker keeps, some 220 MB together with their ids.
 CACHED_WORDS = 500_000
 #: Characters that are split into words at once.
 SLAB = 1 << 20
@@ -35,6 +35,7 @@ class WordIds:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -43,19 +44,24 @@ class WordIds:
         return [np.asarray(x.ids, "<u4") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words."""
+        """Ids of words; a stem that is known already isn't encoded again."""
         parts = {w: split_tail(w) for w in words}
-        stems = list({x for pair in parts.values() for x in pair if x})
+        found = {"": b""}
+        stems = set(chain.from_iterable(parts.values()))
+        for known in (self.known, self.older):
+            found |= {x: known[x] for x in stems & known.keys()}
+        stems = [x for x in stems if x not in found]
         plain, odd = [x for x in stems if x.isalpha()], [x for x in stems if not x.isalpha()]
-        found = {x: ids.tobytes() for x, ids in zip(odd, self.encode(odd), strict=True)}
+        found |= {x: ids.tobytes() for x, ids in zip(odd, self.encode(odd), strict=True)}
         lines = [plain[k : k + 64] for k in range(0, len(plain), 64)]
         for own, ids in zip(lines, self.encode([" ".join(x) for x in lines]), strict=True):
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(own):
-                found.update(zip(own, (ids[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(own, stops, strict=True):
+                    found[word], at = data[at:stop], stop
             else:  # a letter that the split doesn't count as one
-                found.update((x, one.tobytes()) for x, one in zip(own, self.encode(own), strict=True))
-        found[""] = b""
+                found |= {x: one.tobytes() for x, one in zip(own, self.encode(own), strict=True)}
         return {w: found[stem] + found[tail] for w, (stem, tail) in parts.items()}
 
     def of(self, texts: list[str]) -> list[bytes]:
@@ -63,8 +69,11 @@ class WordIds:
         own = set(chain.from_iterable(split))
         new = own.difference(self.known)
         if new and len(self.known) + len(new) > CACHED_WORDS:
-            older = self.known
-            self.known = {w: older[w] for w in own.intersection(older)} | {"": b""}
+            self.known, self.older = {"": b""}, self.known
+            new = own - {""}
+        again = new & self.older.keys()
+        new -= again
+        self.known |= {w: self.older[w] for w in again}
         if new:
             self.known |= self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
