@@ -108,16 +108,29 @@ def slabs(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[
 # Arrays on shared storage
 
 
+#: Files that a phase reads: counting pairs needs the words alone, while the others are still to come.
+PHASES = {"words": ("words-",), "whole": ("words-", "pairs-", "stats-")}
+
+
 @lru_cache(maxsize=4)
-def local_folder(uri: str) -> str:
-    """The model's folder as a local path; from storage that isn't mounted the files are fetched once a worker."""
+def copied(uri: str) -> str:
+    return tempfile.mkdtemp(prefix="tessera-lm-")
+
+
+@lru_cache(maxsize=8)
+def local_folder(uri: str, phase: str) -> str:
+    """The model's folder as a local path; from storage that isn't mounted a phase's files are fetched once a worker."""
     fs, path = file_system(uri)
     if re.match(r"file:|/", uri):
         return path
-    to = tempfile.mkdtemp(prefix="tessera-lm-")
+    to = copied(uri)
     import pyarrow.fs as pafs
 
-    pafs.copy_files(path, to, source_filesystem=fs)
+    for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        local = f"{to}/{info.base_name}"
+        if info.base_name.startswith(PHASES[phase]) and not os.path.exists(local):
+            pafs.copy_files(info.path, f"{local}.part", source_filesystem=fs)
+            os.replace(f"{local}.part", local)
     return to
 
 
@@ -128,13 +141,18 @@ def mapped(path: str, kind) -> np.ndarray:
 class Sorted:
     """Sorted keys with counts in shards by their first bits."""
 
-    def __init__(self, folder: str, name: str, bits: int, kind):
+    def __init__(self, folder: str, name: str, bits: int, kind, size: int):
+        """`size`: how many keys the build has recorded; files that lack some are an error, not an empty shard."""
         self.bits = bits
         paths = [f"{folder}/{name}-{k}" for k in range(1 << bits)]
         read = lambda path, kind: mapped(path, kind) if os.path.exists(path) else np.zeros(0, kind)
         self.keys, self.counts = [read(f"{p}.key", I) for p in paths], [read(f"{p}.n", kind) for p in paths]
         self.often = [read(f"{p}.often", I).reshape(-1, 2) for p in paths]
         self.first = np.cumsum([0, *map(len, self.keys)])
+        whole = all(len(k) == len(n) for k, n in zip(self.keys, self.counts, strict=True))
+        often = all(len(o) == np.count_nonzero(n == OFTEN) for n, o in zip(self.counts, self.often, strict=True)) if kind == np.uint8 else True
+        if self.first[-1] != size or not whole or not often:
+            raise FileNotFoundError(f"{folder}: {self.first[-1]} of {size} {name} are there, or files beside them are not")
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1: absent) and count of each."""
@@ -234,7 +252,7 @@ def count_words(texts: DataFrame, bits: int) -> DataFrame:
 
 def count_pairs(texts: DataFrame, uri: str, word_bits: int, bits: int, start: int) -> DataFrame:
     def run(batches):
-        known, held, n = Sorted(local_folder(uri), "words", word_bits, I), [], 0
+        known, held, n = Sorted(local_folder(uri, "words"), "words", word_bits, I, start), [], 0
         for _, _, part in slabs(batches, 0):
             found, ends = tokens(part)
             ids = known.find(found)[0]
@@ -351,13 +369,13 @@ def build(docs: DataFrame, uri: str | None = None) -> dict:
     meta = write_words(count_words(docs, word_bits), uri, word_bits).collect()
     size, total = sum(r["words"] for r in meta), sum(r["tokens"] for r in meta)
     bits = max(word_bits, (total // SHARD_TOKENS).bit_length())
-    model = {"uri": uri, "word_bits": word_bits, "bits": bits, "words": size, "tokens": total, "pairs": 0, "pair_discounts": discounts(0, 0, 0, 0), "word_discounts": discounts(0, 0, 0, 0), "rest": 1.0}
+    model = {"uri": uri, "word_bits": word_bits, "bits": bits, "words": size, "tokens": total, "pairs": 0, "pair_discounts": discounts(0, 0, 0, 0), "word_discounts": discounts(0, 0, 0, 0), "rest": 1.0, "chunks": []}
     if not total:
         return model
     stats = write_stats(write_pairs(count_pairs(docs, uri, word_bits, bits, size), uri, bits), uri, size // CHUNK + 1).collect()
     ids, pairs = ([r for r in stats if (r["chunk"] < 0) == x] for x in (False, True))
     add = lambda rows, c: sum(r[c] for r in rows)
-    model["pairs"] = add(ids, "pairs")
+    model["pairs"], model["chunks"] = add(ids, "pairs"), sorted(r["chunk"] for r in ids)
     model["pair_discounts"] = discounts(*(add(pairs, c) for c in ("n1", "n2", "n3", "n4")))
     d = model["word_discounts"] = discounts(*(add(ids, c) for c in ("n1", "n2", "n3", "n4")))
     model["rest"] = (d[1] * add(ids, "n1") + d[2] * add(ids, "n2") + d[3] * add(ids, "more")) / model["pairs"]
@@ -371,11 +389,12 @@ class Model:
     """Mapped arrays, and probabilities from them."""
 
     def __init__(self, about: dict):
-        folder = local_folder(about["uri"])
+        folder = local_folder(about["uri"], "whole")
         self.about = about
-        self.words, self.pairs = Sorted(folder, "words", about["word_bits"], I), Sorted(folder, "pairs", about["bits"], np.uint8)
+        self.words, self.pairs = Sorted(folder, "words", about["word_bits"], I, about["words"]), Sorted(folder, "pairs", about["bits"], np.uint8, about["pairs"])
         chunks = about["words"] // CHUNK + 1
-        self.stats = [mapped(p, np.float32).reshape(-1, FIELDS) if os.path.exists(p := f"{folder}/stats-{k}.n") else None for k in range(chunks)]
+        recorded = set(about["chunks"])
+        self.stats = [mapped(f"{folder}/stats-{k}.n", np.float32).reshape(-1, FIELDS) if k in recorded else None for k in range(chunks)]
 
     def facts(self, ids: np.ndarray) -> np.ndarray:
         """The stats of ids; zeros for -1."""
