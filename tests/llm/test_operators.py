@@ -96,13 +96,6 @@ def test_extraction_on_hostile_pages(spark):
     assert wrappers.extract_pages(pages.limit(0)).count() == 0
 
 
-def test_inferred_expression_has_groups():
-    w = wrappers.Wrapper()
-    for html in ("<ul><li>a</li><li>b</li><li>c</li></ul><p>x</p>", "<ul><li>a</li></ul><div>opt</div><p>y</p>"):
-        w.add(wrappers.fold(wrappers.parse(html)[1]))
-    assert ")+" in w.expression() and ")?" in w.expression()
-
-
 # Packing
 
 
