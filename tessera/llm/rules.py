@@ -10,12 +10,25 @@ from tessera.llm.common import words
 SYMBOLS, BRACKETS, BARS = "#*$%&|<>", r"{}\[\]\\^~_=", "|»•·"
 BLANKS = r"\x20\x09-\x0D"
 WINDOW = 8
-#: A longer line is no notice, whatever it mentions.
-NOTICE_CHARS = 240
-
-#: Words that make up navigation and notices.
-NAVIGATION = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "subscribe", "share", "next", "previous", "back", "top", "search", "contact", "about", "sitemap", "read more", "more", "print", "reply", "follow us"]
-BOILERPLATE = ["all rights reserved", "copyright", "©", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "powered by", "lorem ipsum", "click here", "your browser"]
+#: A line of more words is no notice, whatever it mentions; from so many words on it is judged by how often they repeat, and by whether a sentence ends in it.
+NOTICE_WORDS, REPEAT_WORDS, SOUP_WORDS = 30, 10, 12
+
+#: Entries of menus, and phrases of notices, in English, French, German and Spanish. Other signs of both need no language: separators, addresses.
+NAVIGATION = [
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "subscribe", "share", "next", "previous", "back", "top", "search", "contact", "about", "sitemap", "read more", "more", "print", "reply", "follow us",
+    "accueil", "connexion", "se connecter", "s'inscrire", "s'abonner", "partager", "suivant", "précédent", "retour", "recherche", "rechercher", "à propos", "plan du site", "lire la suite", "imprimer", "répondre", "suivez-nous",
+    "startseite", "menü", "anmelden", "registrieren", "abonnieren", "teilen", "weiter", "zurück", "nach oben", "suche", "suchen", "kontakt", "impressum", "über uns", "weiterlesen", "mehr", "drucken", "antworten", "folgen sie uns",
+    "inicio", "menú", "iniciar sesión", "registrarse", "suscribirse", "compartir", "siguiente", "anterior", "volver", "arriba", "buscar", "contacto", "acerca de", "mapa del sitio", "leer más", "más", "imprimir", "responder", "síguenos",
+]
+BOILERPLATE = [
+    "all rights reserved", "copyright", "©", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "powered by", "lorem ipsum", "click here", "your browser",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "propulsé par", "cliquez ici", "votre navigateur",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "bereitgestellt von", "klicken sie hier", "ihr browser",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "con tecnología de", "haga clic aquí", "su navegador",
+]
+ENTRY = "(?:" + "|".join(NAVIGATION) + ")"
+MENU = rf"^[{BLANKS}]*{ENTRY}(?:(?:[{BLANKS}]*[|>»•·/][{BLANKS}]*|[{BLANKS}]{{2,}}){ENTRY})*[{BLANKS}]*$"
+ADDRESS, SENTENCE_END = r"(?:https?://|www\.)[^\x20\x09-\x0D]", "[.!?…:;。！？]"
 
 
 def let(value: Column, then) -> Column:
@@ -70,24 +83,31 @@ def filled(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed: by its punctuation, as navigation or as boilerplate."""
+    """Whether a line is removed: by its punctuation, as navigation, as boilerplate or as the same words over and over."""
 
     def over(chars: str, share: float) -> Column:
-        return F.regexp_count(line, F.lit(f"[{chars}]")) > share * filled(line)
+        n = F.regexp_count(line, F.lit(f"[{chars}]"))
+        return (n > 1) & (n > share * filled(line))
 
     bars = F.regexp_count(line, F.lit(f"[{BARS}]"))
     marked = over(SYMBOLS, 0.05) | over("!", 0.05) | over(BRACKETS, 0.1) | ((bars >= 2) & (bars * 40 > filled(line)))
-    entry = "(?:" + "|".join(NAVIGATION) + ")"
-    menu = rf"^[{BLANKS}]*{entry}(?:(?:[{BLANKS}]*[|>»•·/][{BLANKS}]*|[{BLANKS}]{{2,}}){entry})*[{BLANKS}]*$"
-    low = F.lower(line)
-    notice = F.greatest(*(F.instr(low, x) for x in BOILERPLATE)) > 0
-    return (line.rlike(f"[{SYMBOLS}!{BRACKETS}{BARS}]") & marked) | low.rlike(menu) | ((F.length(line) <= NOTICE_CHARS) & notice)
+
+    def by_words(own: Column) -> Column:
+        n = F.size(own)
+        low = F.lower(line)
+        notice = (n <= NOTICE_WORDS) & (F.greatest(*(F.instr(low, x) for x in BOILERPLATE)) > 0)
+        addresses = (n > 0) & line.rlike(ADDRESS) & (2 * F.regexp_count(line, F.lit(ADDRESS)) >= n)
+        repeated = (n >= REPEAT_WORDS) & (F.size(F.array_distinct(own)) * 4 < n)
+        soup = (n >= SOUP_WORDS) & ~line.rlike(SENTENCE_END)
+        return notice | addresses | repeated | soup
+
+    return (line.rlike(f"[{SYMBOLS}!{BRACKETS}{BARS}]") & marked) | line.rlike(f"(?iu){MENU}") | let(words(line, fold=False), by_words)
 
 
 def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 20, most_repeat: int = 30) -> DataFrame:
     """A row for each document: doc_id, n_words, the base counts, base_failed, kept, and the cleaned text.
 
-    Lines are judged first and those that fail are left out of `cleaned`; a document is kept if the base rules hold
+    Lines are judged first, by line_fails(), and those that fail are left out of `cleaned`; a document is kept if the base rules hold
     and no more than `most_lost` of its non-blank characters went with the lines. A null text has no words and fails,
     as an empty one does. Rows that repeat are judged each; other columns aren't read.
     """
