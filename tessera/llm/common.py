@@ -20,10 +20,13 @@ BROADCAST_ROWS = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share (`spark.checkpoint.dir`).
 
-    Where the session has none, as in tests on one machine, a local folder is set.
+    Where a session on one machine (a local master, as in tests) has none, a local folder is set; a cluster without
+    one is an error, as its machines would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     context = spark.sparkContext
@@ -49,6 +52,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(names: list[str], base: str) -> str:
+    """A column name like `base` that none of `names` is, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def with_values(rows: DataFrame, values: DataFrame, on: list[str], together: int = 50_000) -> DataFrame:
+    """`rows` with the columns of `values`, which has one row a key, or nulls: a left join that no frequent key skews.
+
+    Few values are broadcast. Otherwise keys with more than `together` rows are dealt by a hash of the row, and their
+    values are repeated for each part.
+    """
+    if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(values), on, "left")
+    parts, part = free([*rows.columns, *values.columns], "parts"), free([*rows.columns, *values.columns], "part")
+    many = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together)
+    many = small(written(many.select(*on, F.ceil(F.col("n") / together).alias(parts)), "frequent-keys"))
+    several = F.coalesce(F.col(parts), F.lit(1))
+    left = rows.join(many, on, "left").withColumn(part, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith("map"))), several)).drop(parts)
+    right = values.join(many, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), several - 1))).drop(parts)
+    return left.join(right, [*on, part], "left").drop(part)
+
+
 def words(text: Column, fold: bool = True) -> Column:
     """Array of the words of a text; none for null. `fold`: A-Z in lower case."""
     text = F.coalesce(text, F.lit(""))
