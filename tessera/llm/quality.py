@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder
+from tessera.llm.common import free, remainder
 from tessera.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 12, 4, 8, 32, 16
@@ -19,8 +19,10 @@ POSITIONS = 64
 BLOCK = POSITIONS * STEP
 #: Bytes of a document that are filtered at once.
 SLAB = BLOCK * 256
-#: The bound of the training sample: documents of either label, and characters of each.
-PER_CLASS, CHARS = 2000, 4096
+#: The bound of the training sample: documents of either label (see labelled_sample() for that of their characters).
+PER_CLASS = 2000
+#: Batches of the fit at most: a bound on the driver's time, which every chunk of the sample shares evenly.
+MOST_STEPS = 3000
 
 
 @dataclass
@@ -93,7 +95,8 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
     sides = [np.flatnonzero(label == k) for k in (0, 1)]
     params = ("embedding", "filters", "bias", "hidden", "hidden_bias", "out")
     moments = {p: [np.zeros_like(getattr(net, p)), np.zeros_like(getattr(net, p))] for p in params}
-    half, steps = 24, max(60, epochs * min(len(rows), 24_000) // 48)
+    half = 24
+    steps = min(MOST_STEPS, max(60, epochs * len(rows) // (2 * half)))
     for step in range(1, steps + 1):
         own = np.concatenate([rng.choice(x, half) for x in sides])
         b, want = raw[own], label[own]
@@ -124,8 +127,8 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
     return net
 
 
-def trained(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, per_class: int = PER_CLASS, chars: int = CHARS) -> Network:
-    return train(*labelled_sample(docs, labels, "quality", by, held, per_class, chars))
+def trained(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, per_class: int = PER_CLASS, **bounds) -> Network:
+    return train(*labelled_sample(docs, labels, "quality", by, held, per_class, **bounds))
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
@@ -141,7 +144,11 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
-    """(doc_id, held_out, score, predicted). A null doc_id was held out of training. Repeated rows are scored each."""
+    """(doc_id, held_out, score, predicted) of every row, over the whole text.
+
+    Null and empty texts get the share of label 1 in training, without labels 0.5; a score of just 0.5 is predicted 1.
+    A null doc_id was held out of training. Repeated rows are scored each; other columns aren't read; no rows give none.
+    """
     net = trained(docs, labels, **sample)
     by, held = sample.get("by", 3), sample.get("held", 1)
     rest = F.coalesce(remainder(F.col("doc_id"), by) == held, F.lit(True)).alias("held_out")
@@ -149,7 +156,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **sample) -> DataFrame:
-    """The rows of `docs` whose score is `least` or more, with their columns as they are."""
+    """The rows of `docs` whose score is `least` or more, with their columns as they are, whatever they are called.
+
+    Null and empty texts are scored like any other, by the share of label 1; a score of just `least` stays; repeated
+    rows stay or go together; no rows give none; without labels every score is 0.5.
+    """
     net = trained(docs, labels, **sample)
 
     @F.pandas_udf("double")
@@ -157,4 +168,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **sampl
         return text.map(lambda x: net.score(x))
 
     names = list(docs.columns)
-    return docs.withColumn("__score", score(F.col("text").cast("string"))).where(F.col("__score") >= least).select(*(F.col(f"`{c}`") for c in names))
+    own = free(names, "score")
+    return docs.withColumn(own, score(F.col("text").cast("string"))).where(F.col(own) >= least).select(*(F.col(f"`{c}`") for c in names))
