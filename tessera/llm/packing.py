@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Word forms in each of the two generations a worker keeps, some 220 MB together with their ids.
@@ -185,21 +187,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, g
     """Sequences of at most `window` ids from the documents; a row for each piece.
 
     Pieces are dealt by a hash of their own content into groups of about `group_pieces`, whose lengths alone are
-    packed, each group in one task; a hot source or a long document is spread like anything else. A group leaves at
-    most a few windows with room. Rows that repeat, even with the same id, are documents of their own; null ids stay
-    null; no documents give no rows. Columns but doc_id and text aren't read.
+    packed, each group in one task; a hot source or a long document is spread like anything else, and so are pieces
+    that are all alike, which are counted first and told apart by their number. Where a piece goes depends on no
+    partition. A group leaves at most a few windows with room. Rows that repeat, even with the same id, are documents
+    of their own; null ids stay null; no documents give no rows. Columns but doc_id and text aren't read.
     """
-    groups = max(1, -(-docs.count() // group_pieces))
 
     def fit(frame):
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens", "copy"], kind="stable").reset_index(drop=True)
         group, lengths = int(frame["salt"].iloc[0]), frame["length"].to_numpy()
         sequence, offset = np.zeros(len(frame), "int64"), np.zeros(len(frame), "int64")
         for k, own in enumerate(fill(lengths, window)):
             sequence[own] = (group << 32) + k
             offset[own] = np.cumsum([0, *lengths[own][:-1]])
-        return frame.drop(columns="salt").assign(sequence_id=sequence, offset=offset)
-
-    cut = pieces(docs, tokenizer, window, end_id)
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
-    return cut.withColumn("salt", salt).groupBy("salt").applyInPandas(fit, PACKED)
+        return frame.drop(columns=["salt", "copy"]).assign(sequence_id=sequence, offset=offset)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    alike = written(pieces(docs, tokenizer, window, end_id).groupBy(*names).agg(F.count(F.lit(1)).alias("copies")), "pieces")
+    groups = max(1, -(-(alike.agg(F.sum("copies")).first()[0] or 0) // group_pieces))
+    each = alike.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    salt = F.pmod(F.xxhash64(*names, "copy"), F.lit(groups))
+    return each.withColumn("salt", salt).groupBy("salt").applyInPandas(fit, PACKED)
