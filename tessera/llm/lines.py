@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANK, small, written
+from tessera.llm.common import BLANK, BROADCAST_ROWS, free, with_values, written
 
 #: A line on more than this share of a site's pages is boilerplate ...
 RATIO = 0.05
@@ -52,24 +52,32 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
 
     A row is a page of the site that column `host` names. A null text stays null (0 lines); a text loses lines, never
     its row: one of boilerplate alone becomes empty. Rows that repeat are pages of their own. Existing columns called
-    n_lines or n_dropped are replaced.
+    n_lines or n_dropped are replaced; any other name may be there. The lines of a site go to its pages by a broadcast
+    if they are few, else by a join in which no site is one task's.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return counted_lines(docs, kept, host, ratio, least_pages, "n_lines", "n_dropped")
+
+
+def counted_lines(docs: DataFrame, kept: list[str], host: str, ratio: float, least_pages: int, n_lines: str, n_dropped: str) -> DataFrame:
     sited = docs.select(site_key(F.col(host)).alias("site"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     often = written(boilerplate(sited.select("site", F.col("row")["text"].alias("text")), ratio, least_pages), "boilerplate")
     size = often.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    joined = sited.join(small(often) if size <= 2_000_000 else often, "site", "left")
+    joined = sited.join(F.broadcast(often), "site", "left") if size <= BROADCAST_ROWS else with_values(sited, often, ["site"])
     own = F.split(F.col("row")["text"], "\n")
     left = F.when(F.col("lines").isNull(), own).otherwise(F.filter(own, lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(normal(x)))))
-    out = joined.select("row", F.coalesce(F.size(own), F.lit(0)).alias("n_lines"), left.alias("left"))
-    out = out.select(*(F.array_join("left", "\n").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept), "n_lines", (F.col("n_lines") - F.coalesce(F.size("left"), F.lit(0))).alias("n_dropped"))
-    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("bigint")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("bigint"))
+    out = joined.select("row", F.coalesce(F.size(own), F.lit(0)).alias("n"), left.alias("left"))
+    number = lambda c: F.greatest(c, F.lit(0)).cast("bigint")
+    columns = [F.array_join("left", "\n").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept]
+    return out.select(*columns, number(F.col("n")).alias(n_lines), number(F.col("n") - F.coalesce(F.size("left"), F.lit(0))).alias(n_dropped))
 
 
-def without_boilerplate(docs: DataFrame, **rules) -> DataFrame:
-    """`docs` with cleaned texts and, if there is a column n_chars, their new lengths; the columns stay the same."""
+def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = PAGES) -> DataFrame:
+    """`docs` with cleaned texts and, if there is a column n_chars, their new lengths; all other columns stay as they
+    are, whatever they are called. Nulls stay null and count 0 characters; no rows give none."""
     names = list(docs.columns)
-    out = dedup_lines(docs, **rules)
+    lines = free(names, "n_lines")
+    out = counted_lines(docs, names, host, ratio, least_pages, lines, free([*names, lines], "n_dropped"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
     return out.select(*(F.col(f"`{c}`") for c in names))
