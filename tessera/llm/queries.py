@@ -38,7 +38,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived_pages(warc.read_archive(spark, warc.archive(table(spark, sf_dir, "pages"))))
+    return warc.read_pages(spark, warc.archive(table(spark, sf_dir, "pages")))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from tessera.llm.common import scratch, small
+from tessera.llm.common import scratch, with_values, written
 
 SCHEMA = "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, content_type string, content_length bigint, headers map<string,string>, payload binary"
 #: Columns that are a header of the record itself; filters on them are settled before the record's block is read.
@@ -218,13 +218,13 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     The payload is the html in UTF-8, a null one empty. Of rows with equal payloads of `least_bytes` or more, those
     with the largest page_id are responses and the others revisit it; among null ids only, all are responses.
-    Equality is that of the SHA-1 and the length. The html is shuffled once at most, and only if payloads repeat too
-    often for a broadcast.
+    Equality is that of the SHA-1 and the length. The html is shuffled once at most, and only if too many different
+    payloads repeat for a broadcast; a payload of very many pages is no one task's then.
     """
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha"), F.length("payload").cast("bigint").alias("size"))
     again = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null").select("sha", "size", "first")
-    joined = rows.join(small(again), ["sha", "size"], "left")
+    joined = with_values(rows, written(again, "warc-again"), ["sha", "size"])
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     # SHA-1's 40 hex digits are 4 lots of 10, each 8 base32 digits: 5 bits at a time.
     lot = lambda k: F.lpad(F.conv(F.substring("sha", 10 * k + 1, 10), 16, 32), 8, "0")
@@ -250,6 +250,14 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """archived_pages() of an archive: responses with their payloads, and revisits by their heads alone. Both predicates
+    on the record type are pushed down, so no revisit's block and no other kind of record is read or decoded."""
+    full = read_archive(spark, path).where(F.col("warc_type") == "response")
+    heads = read_archive(spark, path, payload=False).where(F.col("warc_type") == "revisit")
+    return archived_pages(full).unionByName(archived_pages(heads))
+
+
 def archived_pages(records: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. What a response says of its payload
     is computed from the payload itself; a revisit has it in its headers."""
