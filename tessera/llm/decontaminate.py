@@ -7,9 +7,12 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, words, written
+from tessera.llm.common import free, small, words, written
 
-SHINGLE, CONTAINED, SKETCH = 5, 0.8, 16
+SHINGLE, CONTAINED = 5, 0.8
+#: Size ranges of the items by their distinct shingles, from the second number of the row before on, with the MinHash
+#: values of each range's sketch: None for all of them.
+RANGES = ((16, None), (32, 16), (64, 20), (128, 24), (512, 32), (2**62, 40))
 #: Chance that an item contained in just `CONTAINED` of its shingles is not a candidate.
 MISSED = 1e-6
 
@@ -45,34 +48,44 @@ def item_key() -> Column:
     return F.struct(F.col("item_id").alias("id"), F.xxhash64("text").alias("text"))
 
 
-def item_table(items: DataFrame, sketch: int = SKETCH, contained: float = CONTAINED) -> DataFrame:
-    """(item, size, keys, least, sketch, hits): an item's shingles and its MinHash sketch.
+def item_table(items: DataFrame, ranges: tuple = RANGES, contained: float = CONTAINED) -> DataFrame:
+    """(item, part, size, keys, least, sketch, hits): an item's shingles, its size range and its MinHash sketch.
 
-    Items are partitioned by size. One with at most `sketch` distinct shingles is its own sketch and needs the share
-    itself; a larger one is sketched by its `sketch` smallest shingle hashes and needs hits_needed() of them, of
-    which the share in a document estimates the containment however much longer the document is.
+    Items are partitioned by size, and each range has a sketch size and a threshold of its own. Where the sketch is
+    the whole item it needs the share itself; a larger item is sketched by so many of its smallest shingle hashes and
+    needs hits_needed() of them, of which the share in a document estimates the containment however much longer the
+    document is.
     """
     keyed = items.select(item_key().alias("item"), F.array_sort(F.array_distinct(shingle_keys(F.col("text").cast("string")))).alias("keys")).where(F.size("keys") > 0)
     size = F.size("keys")
-    return keyed.select("item", "keys", size.alias("size"), F.ceil(contained * size - 1e-9).alias("least"), F.slice("keys", 1, sketch).alias("sketch"), F.when(size <= sketch, F.ceil(contained * size - 1e-9)).otherwise(hits_needed(sketch, contained)).alias("hits"))
+    least = F.ceil(contained * size - 1e-9)
+    part = sketch = hits = None
+    for k, (most, n) in enumerate(ranges):
+        own = (F.lit(k), F.col("keys") if n is None else F.slice("keys", 1, n), least if n is None else F.lit(hits_needed(n, contained)).cast("bigint"))
+        here = size <= most
+        part, sketch, hits = (F.when(here, v) if c is None else c.when(here, v) for c, v in zip((part, sketch, hits), own, strict=True))
+    return keyed.select("item", part.alias("part"), size.alias("size"), "keys", least.alias("least"), sketch.alias("sketch"), hits.alias("hits"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, sketch: int = SKETCH) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, ranges: tuple = RANGES) -> DataFrame:
     """(doc_id, text_key, item_id, item_shingles, shared, containment) of the items with `contained` of their distinct
     5-word shingles, or more, in the text of a document.
 
-    Candidates: documents with enough of an item's sketch, of at least the size containment needs. Only their texts
-    are shingled once more, as strings, and compared with the whole items. Nulls and texts without words contain
+    Candidates: documents with enough of an item's sketch, of at least the size that containment needs. A document
+    meets a size range by those of its own shingles that can be in a sketch there: the hashes up to the greatest one
+    of the range's sketches, which for large items is a small part of them. Only candidates' texts are shingled once
+    more, as strings, and compared with the whole items. Nulls and texts without words contain
     nothing and are contained nowhere. Documents are told apart by id and text, so repeated ids don't mix; rows that
     repeat whole give one. Items that repeat by id and text count once; a null item_id stays null.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    table = written(item_table(items, sketch, contained), "benchmark-items")
+    table = written(item_table(items, ranges, contained), "benchmark-items")
     marks = table.select("item", "size", "least", "hits", F.explode("sketch").alias("key"))
+    bounds = table.agg(F.max(F.element_at("sketch", -1)).alias("top"), F.min("least").alias("least")).first()
     keyed = docs.select("doc_id", "text_key", shingle_keys(F.col("text")).alias("keys"))
-    keyed = keyed.select("doc_id", "text_key", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    met = keyed.join(small(marks), "key").where(F.col("n") >= F.col("least"))
+    keyed = keyed.where(F.size("keys") >= (bounds["least"] or 0)).select("doc_id", "text_key", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    met = keyed.where(F.col("key") <= F.lit(bounds["top"])).join(small(marks), "key").where(F.col("n") >= F.col("least"))
     found = met.groupBy("doc_id", "text_key", "item", "size", "hits").agg(F.count_distinct("key").alias("got")).where("got >= hits")
     found = written(found.select("doc_id", "text_key", "item"), "benchmark-candidates")
     ids = found.select("doc_id", "text_key").distinct()
@@ -86,9 +99,14 @@ def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAI
     return sure.select("doc_id", "text_key", F.col("item")["id"].alias("item_id"), "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, sketch: int = SKETCH) -> DataFrame:
-    """`docs` without the documents that contain an item; the columns stay as they are."""
-    bad = written(contained_items(docs, items, contained, sketch).select("doc_id", "text_key").distinct(), "contaminated")
-    keyed = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias("__key")).alias("d")
-    bad = small(bad).alias("b")
-    return keyed.join(bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("d.__key").eqNullSafe(F.col("b.text_key")), "left_anti").drop("__key")
+def decontaminate(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, ranges: tuple = RANGES) -> DataFrame:
+    """`docs` without the documents that contain an item; the columns stay as they are, whatever they are called.
+
+    Null and empty texts contain nothing and stay; an item in just `contained` of its shingles counts; rows that
+    repeat stay or go together; no items remove nothing.
+    """
+    names = list(docs.columns)
+    key, doc_id, text_key = free(names, "key"), free(names, "b_doc_id"), free(names, "b_text_key")
+    bad = written(contained_items(docs, items, contained, ranges).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(text_key)).distinct(), "contaminated")
+    keyed = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias(key))
+    return keyed.join(small(bad), F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col(key).eqNullSafe(F.col(text_key)), "left_anti").drop(key)
