@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import free, written
 from tessera.llm.components import components
 
 BITS = 64
@@ -141,10 +141,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Of rows that share an id the one with the smallest text stays. Rows without an id can't be named by one: all stay.
     """
     names = list(docs.columns)
+    kept_id, place = free(names, "kept"), free(names, "place")
     groups = near_duplicates(docs, **how)
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(ids, named["doc_id"] == ids["__kept"], "left_semi")
+    kept = named.join(ids, F.col("doc_id") == F.col(kept_id), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*(F.col(f"`{c}`") for c in names))))
-    kept = kept.withColumn("__first", first).where("__first = 1")
+    kept = kept.withColumn(place, first).where(F.col(place) == 1)
     return kept.select(*(F.col(f"`{c}`") for c in names)).unionByName(docs.where(F.col("doc_id").isNull()))
