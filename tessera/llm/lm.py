@@ -4,8 +4,11 @@ Files of a model, all in one folder of the shared storage:
   words-<shard>.key / .n      hashes of the training words in order, and their counts; a word's id is its rank over all
   pairs-<shard>.key / .n      hashes of (previous id, id) in order, and their counts in a byte; the hash can be undone
   pairs-<shard>.often         place in the shard and count of the pairs that occur more often than a byte tells
-  stats-<chunk>.n             by id, 32-bit floats like the pairs' counts, which no corpus overflows: followers' total, distinct followers seen once, twice, more often, distinct predecessors
-A shard holds the hashes that begin with its bits, so arrays grow with the corpus and no task or worker holds a whole one.
+  words-first, pairs-first    how many keys lie before each shard
+  stats-<chunk>.n             by id: followers' total, distinct followers seen once, twice, more often, distinct predecessors
+A shard holds the hashes that begin with its bits, so arrays grow with the corpus and no building task holds a whole
+one. Workers map a shard when a text first needs it, and pages of it are in memory as far as they are read. Where the
+shared storage isn't mounted, the workers of an executor share one local copy of the shards they have needed.
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +36,7 @@ from tessera.llm.warc import file_system
 
 U, I = np.uint64, np.int64
 END_WORD = int(np.uint64(0x9E3779B97F4A7C15).view(I))
+BASE, BLANK_BYTES = 0xD1342543DE82EF95, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 #: Bytes of text that are hashed at once, and tokens that are counted before rows leave a task.
 SLAB = 1 << 20
 COUNTED = 2 << 20
@@ -48,9 +55,8 @@ FIELDS = 5
 @lru_cache(maxsize=1)
 def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Values of bytes, powers of an odd base and of its inverse modulo 2**64, and which bytes are white space."""
-    base = 0xD1342543DE82EF95
     values = np.random.default_rng(1995).integers(0, 1 << 64, 256, U, endpoint=False)
-    up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
+    up, down = np.full(n, BASE, U), np.full(n, pow(BASE, -1, 1 << 64), U)
     up[0] = down[0] = 1
     blank = np.zeros(256, bool)
     blank[[32, 9, 10, 11, 12, 13]] = True
@@ -90,89 +96,141 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def slabs(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[list[int], pa.RecordBatch, list[bytes]]]:
-    """Rows of the batches, some MB of text at a time."""
+@dataclass
+class Lot:
+    """Tokens of some whole texts, or of a part of a long one: rows of the batch, and whether its text begins and ends here."""
+
+    rows: list[int]
+    batch: pa.RecordBatch
+    found: np.ndarray
+    ends: np.ndarray
+    first: bool = True
+    last: bool = True
+
+
+def lots(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[Lot]:
+    """The batches' texts as tokens, about SLAB bytes of text at a time however long a text is."""
     for batch in batches:
         rows, texts, held = [], [], 0
         for k, x in enumerate(batch.column(column)):
+            data = memoryview(x.as_buffer() or b"")
+            if len(data) > 2 * SLAB:
+                if rows:
+                    yield Lot(rows, batch, *tokens(texts))
+                    rows, texts, held = [], [], 0
+                yield from long_text(k, batch, data)
+                continue
             rows.append(k)
-            texts.append((x.as_py() or "").encode())
-            held += len(texts[-1])
+            texts.append(bytes(data))
+            held += len(data)
             if held >= SLAB:
-                yield rows, batch, texts
+                yield Lot(rows, batch, *tokens(texts))
                 rows, texts, held = [], [], 0
         if rows:
-            yield rows, batch, texts
+            yield Lot(rows, batch, *tokens(texts))
+
+
+def long_text(row: int, batch: pa.RecordBatch, data: memoryview) -> Iterator[Lot]:
+    """A long text part by part; parts end at white space, and a word longer than a part is a part of its own."""
+    at, n, none = 0, len(data), np.zeros(0, I)
+    while at < n:
+        part = bytes(data[at : at + SLAB])
+        cut = n - at if at + SLAB >= n else max(part.rfind(c) for c in BLANK_BYTES) + 1
+        if cut:
+            found, _ = tokens([part[:cut]])
+            found = found[:-1]
+        else:
+            found, cut = long_word(data, at)
+        yield Lot([row], batch, found, none, at == 0, False)
+        at += cut
+    yield Lot([row], batch, np.array([END_WORD], I), np.array([0]), n == 0, True)
+
+
+def long_word(data: memoryview, at: int) -> tuple[np.ndarray, int]:
+    """The token of the word that begins at a place, and its length."""
+    values, up, _, blank = tables(2 * SLAB)
+    total, length = 0, 0
+    while at + length < len(data):
+        raw = np.frombuffer(bytes(data[at + length : at + length + SLAB]).lower(), np.uint8)
+        white = np.flatnonzero(blank[raw])
+        raw = raw[: white[0]] if len(white) else raw
+        part = int((values[raw] * up[: len(raw)]).sum(dtype=U))
+        total = (total + part * pow(BASE, length, 1 << 64)) % (1 << 64)
+        length += len(raw)
+        if len(white):
+            break
+    return mixed(np.array([(total + length) % (1 << 64)], U)).view(I), length
 
 
 # Arrays on shared storage
 
 
-#: Files that a phase reads: counting pairs needs the words alone, while the others are still to come.
-PHASES = {"words": ("words-",), "whole": ("words-", "pairs-", "stats-")}
-
-
-@lru_cache(maxsize=4)
-def copied(uri: str) -> str:
-    return tempfile.mkdtemp(prefix="tessera-lm-")
-
-
-@lru_cache(maxsize=8)
-def local_folder(uri: str, phase: str) -> str:
-    """The model's folder as a local path; from storage that isn't mounted a phase's files are fetched once a worker."""
-    fs, path = file_system(uri)
-    if re.match(r"file:|/", uri):
-        return path
-    to = copied(uri)
-    import pyarrow.fs as pafs
-
-    for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
-        local = f"{to}/{info.base_name}"
-        if info.base_name.startswith(PHASES[phase]) and not os.path.exists(local):
-            pafs.copy_files(info.path, f"{local}.part", source_filesystem=fs)
-            os.replace(f"{local}.part", local)
-    return to
+class Folder:
+    """Files of a model, by name. From storage that isn't mounted each is fetched once an executor, when it is needed."""
 
+    def __init__(self, uri: str):
+        self.fs, self.path = file_system(uri)
+        self.mounted = bool(re.match(r"file:|/", uri))
+        self.local = self.path if self.mounted else os.path.join(tempfile.gettempdir(), f"tessera-lm-{xxhash.xxh64_hexdigest(uri)}")
 
-def mapped(path: str, kind) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    def read(self, name: str, kind) -> np.ndarray:
+        """A mapped array. A file that isn't there is an error."""
+        path = os.path.join(self.local, name)
+        if not self.mounted and not os.path.exists(path):
+            os.makedirs(self.local, exist_ok=True)
+            own = f"{path}.{uuid.uuid4().hex}"
+            pafs.copy_files(posixpath.join(self.path, name), own, source_filesystem=self.fs)
+            os.replace(own, path)
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
 class Sorted:
-    """Sorted keys with counts in shards by their first bits."""
-
-    def __init__(self, folder: str, name: str, bits: int, kind, size: int):
-        """`size`: how many keys the build has recorded; files that lack some are an error, not an empty shard."""
-        self.bits = bits
-        paths = [f"{folder}/{name}-{k}" for k in range(1 << bits)]
-        read = lambda path, kind: mapped(path, kind) if os.path.exists(path) else np.zeros(0, kind)
-        self.keys, self.counts = [read(f"{p}.key", I) for p in paths], [read(f"{p}.n", kind) for p in paths]
-        self.often = [read(f"{p}.often", I).reshape(-1, 2) for p in paths]
-        self.first = np.cumsum([0, *map(len, self.keys)])
-        whole = all(len(k) == len(n) for k, n in zip(self.keys, self.counts, strict=True))
-        often = all(len(o) == np.count_nonzero(n == OFTEN) for n, o in zip(self.counts, self.often, strict=True)) if kind == np.uint8 else True
-        if self.first[-1] != size or not whole or not often:
-            raise FileNotFoundError(f"{folder}: {self.first[-1]} of {size} {name} are there, or files beside them are not")
+    """Sorted keys with counts in shards by their first bits. A shard is mapped when it is first looked into; one that
+    hasn't as many keys as the build has recorded is an error, not an empty shard."""
+
+    def __init__(self, folder: Folder, name: str, bits: int, kind):
+        self.folder, self.name, self.bits, self.kind = folder, name, bits, kind
+        self.first = folder.read(f"{name}-first", I)
+        self.open: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, counts, and places and counts of those too great for their kind."""
+        if k not in self.open:
+            path = f"{self.name}-{k}"
+            keys, counts = self.folder.read(f"{path}.key", I), self.folder.read(f"{path}.n", self.kind)
+            often = self.folder.read(f"{path}.often", I).reshape(-1, 2) if self.kind == np.uint8 else np.zeros((0, 2), I)
+            size = self.first[k + 1] - self.first[k]
+            if len(keys) != size or len(counts) != size or (self.kind == np.uint8 and len(often) != np.count_nonzero(counts == OFTEN)):
+                raise FileNotFoundError(f"{self.folder.local}/{path} has {len(keys)} of {size} keys, or files beside it are not whole")
+            self.open[k] = keys, counts, often
+        return self.open[k]
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1: absent) and count of each."""
         own, back = np.unique(wanted, return_inverse=True)
         rank, count = np.full(len(own), -1, I), np.zeros(len(own), I)
-        cut = np.searchsorted(shards(own, self.bits), np.arange((1 << self.bits) + 1))
-        for k in range(1 << self.bits):
-            a, b = cut[k], cut[k + 1]
-            if a == b or not len(self.keys[k]):
+        shard = shards(own, self.bits)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(own) else []
+        for a, b in zip(cut, [*cut[1:], len(own)], strict=True):
+            k = int(shard[a])
+            if self.first[k + 1] == self.first[k]:
                 continue
-            at = np.minimum(np.searchsorted(self.keys[k], own[a:b]), len(self.keys[k]) - 1)
-            ok = self.keys[k][at] == own[a:b]
-            n = self.counts[k][at].astype(I)
-            if len(self.often[k]) and (more := n == OFTEN).any():
-                n[more] = self.often[k][np.minimum(np.searchsorted(self.often[k][:, 0], at[more]), len(self.often[k]) - 1), 1]
+            keys, counts, often = self.shard(k)
+            at = np.minimum(np.searchsorted(keys, own[a:b]), len(keys) - 1)
+            ok = keys[at] == own[a:b]
+            n = counts[at].astype(I)
+            if len(often) and (more := n == OFTEN).any():
+                n[more] = often[np.minimum(np.searchsorted(often[:, 0], at[more]), len(often) - 1), 1]
             rank[a:b] = np.where(ok, at + self.first[k], -1)
             count[a:b] = np.where(ok, n, 0)
         return rank[back], count[back]
 
 
+@lru_cache(maxsize=2)
+def known_words(uri: str, bits: int) -> Sorted:
+    return Sorted(Folder(uri), "words", bits, I)
+
+
 def shards(keys: np.ndarray, bits: int) -> np.ndarray:
     """Shard of each key: its first bits, in the order of signed numbers."""
     return (keys >> I(64 - bits)) + (1 << (bits - 1))
@@ -237,10 +295,9 @@ class ShardFiles:
 def count_words(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         held, n = [], 0
-        for _, _, part in slabs(batches, 0):
-            found, _ = tokens(part)
-            held.append(found)
-            n += len(found)
+        for lot in lots(batches, 0):
+            held.append(lot.found)
+            n += len(lot.found)
             if n >= COUNTED:
                 yield counted(held, bits)
                 held, n = [], 0
@@ -252,12 +309,11 @@ def count_words(texts: DataFrame, bits: int) -> DataFrame:
 
 def count_pairs(texts: DataFrame, uri: str, word_bits: int, bits: int, start: int) -> DataFrame:
     def run(batches):
-        known, held, n = Sorted(local_folder(uri, "words"), "words", word_bits, I, start), [], 0
-        for _, _, part in slabs(batches, 0):
-            found, ends = tokens(part)
-            ids = known.find(found)[0]
-            held.append(mixed(previous(ids, ends, start).astype(U) << U(32) | ids.astype(U)).view(I))
-            n += len(found)
+        known, held, n, last = known_words(uri, word_bits), [], 0, start
+        for lot in lots(batches, 0):
+            ids = known.find(lot.found)[0]
+            held.append(mixed(previous(ids, lot.ends, start if lot.first else last, start).astype(U) << U(32) | ids.astype(U)).view(I))
+            n, last = n + len(ids), ids[-1] if len(ids) else last
             if n >= COUNTED:
                 yield counted(held, bits)
                 held, n = [], 0
@@ -267,8 +323,9 @@ def count_pairs(texts: DataFrame, uri: str, word_bits: int, bits: int, start: in
     return texts.mapInArrow(run, COUNTS)
 
 
-def previous(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
-    before = np.r_[I(start), ids[:-1]]
+def previous(ids: np.ndarray, ends: np.ndarray, last: int, start: int) -> np.ndarray:
+    """Of each id the one before: `last` of the first one, `start` after an end."""
+    before = np.r_[I(last), ids][: len(ids)]
     before[ends[:-1] + 1] = start
     return before
 
@@ -292,11 +349,11 @@ STATS = "chunk bigint, ids binary, total binary, n1 binary, n2 binary, n3 binary
 
 
 def write_pairs(counts: DataFrame, uri: str, bits: int) -> DataFrame:
-    """Sums for each id, a row for each chunk of ids and shard of pairs; and as chunk -1 the number of pairs, and of
-    those that occur once, twice, three and four times."""
+    """Sums for each id, a row for each chunk of ids and shard of pairs; and for each shard, as chunk -1 - shard, the
+    number of its pairs, and of those that occur once, twice, three and four times."""
 
     def run(batches):
-        files, often = ShardFiles(uri), np.zeros(5, I)
+        files = ShardFiles(uri)
         rows: list[tuple] = []
         for shard, keys, n in merged(batches):
             files.add(f"pairs-{shard}.key", keys)
@@ -309,11 +366,10 @@ def write_pairs(counts: DataFrame, uri: str, bits: int) -> DataFrame:
             cols = [np.bincount(first, x, len(ids)).astype(I) for x in (n, n == 1, n == 2, n >= 3)] + [np.bincount(second, minlength=len(ids)).astype(I)]
             cut = np.flatnonzero(np.r_[True, np.diff(ids // CHUNK) > 0])
             rows += ((int(ids[a] // CHUNK), packed(ids[a:b]), *(packed(c[a:b]) for c in cols)) for a, b in zip(cut, [*cut[1:], len(ids)], strict=True))
-            often += [len(n), *((n == k).sum() for k in (1, 2, 3, 4))]
+            rows.append((-1 - shard, packed(np.array([len(n), *((n == k).sum() for k in (1, 2, 3, 4))], I)), *[b""] * 5))
             yield stats_rows(rows)
             rows = []
         files.close()
-        yield stats_rows([(-1, packed(often), *[b""] * 5)])
 
     return counts.repartition(1 << bits, "shard").mapInArrow(run, STATS)
 
@@ -324,7 +380,7 @@ def stats_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def write_stats(sums: DataFrame, uri: str, chunks: int) -> DataFrame:
     """(chunk, pairs, 1, 2, 3, 4, more): how many pairs, and how many of them or of a chunk's ids have so many
-    occurrences or predecessors; chunk -1 has what concerns pairs, in several rows."""
+    occurrences or predecessors; negative chunks are shards of pairs."""
 
     def run(batches):
         files, meta = ShardFiles(uri), []
@@ -333,12 +389,12 @@ def write_stats(sums: DataFrame, uri: str, chunks: int) -> DataFrame:
             for chunk, ids, *cols in zip(*(batch.column(k) for k in range(7)), strict=True):
                 chunk, ids = chunk.as_py(), unpacked(ids.as_py())
                 if chunk < 0:
-                    meta.append((-1, *map(int, ids), 0))
+                    meta.append((chunk, *map(int, ids), 0))
                     continue
                 own = held.setdefault(chunk, np.zeros((CHUNK, FIELDS)))
                 own[ids - chunk * CHUNK] += np.stack([unpacked(c.as_py()) for c in cols], 1)
         for chunk, own in held.items():
-            files.add(f"stats-{chunk}.n", own.astype(np.float32))
+            files.add(f"stats-{chunk}.n", own)
             preds = own[:, 4]
             meta.append((chunk, int(preds.sum()), *(int((preds == k).sum()) for k in (1, 2, 3, 4)), int((preds >= 3).sum())))
         files.close()
@@ -347,6 +403,12 @@ def write_stats(sums: DataFrame, uri: str, chunks: int) -> DataFrame:
     return sums.repartition(chunks, "chunk").mapInArrow(run, "chunk bigint, pairs bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
 
 
+def write_first(uri: str, name: str, bits: int, sizes: dict[int, int]) -> None:
+    files = ShardFiles(uri)
+    files.add(f"{name}-first", np.cumsum([0, *(sizes.get(k, 0) for k in range(1 << bits))]).astype(I))
+    files.close()
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; where the counts of counts are too few to tell, 0.5, 1 and 1.5."""
     if not (n1 and n2 and n3 and n4):
@@ -367,6 +429,7 @@ def build(docs: DataFrame, uri: str | None = None) -> dict:
     uri = uri or scratch(spark, "lm")
     word_bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     meta = write_words(count_words(docs, word_bits), uri, word_bits).collect()
+    write_first(uri, "words", word_bits, {r["shard"]: r["words"] for r in meta})
     size, total = sum(r["words"] for r in meta), sum(r["tokens"] for r in meta)
     bits = max(word_bits, (total // SHARD_TOKENS).bit_length())
     model = {"uri": uri, "word_bits": word_bits, "bits": bits, "words": size, "tokens": total, "pairs": 0, "pair_discounts": discounts(0, 0, 0, 0), "word_discounts": discounts(0, 0, 0, 0), "rest": 1.0, "chunks": []}
@@ -374,6 +437,7 @@ def build(docs: DataFrame, uri: str | None = None) -> dict:
         return model
     stats = write_stats(write_pairs(count_pairs(docs, uri, word_bits, bits, size), uri, bits), uri, size // CHUNK + 1).collect()
     ids, pairs = ([r for r in stats if (r["chunk"] < 0) == x] for x in (False, True))
+    write_first(uri, "pairs", bits, {-1 - r["chunk"]: r["pairs"] for r in pairs})
     add = lambda rows, c: sum(r[c] for r in rows)
     model["pairs"], model["chunks"] = add(ids, "pairs"), sorted(r["chunk"] for r in ids)
     model["pair_discounts"] = discounts(*(add(pairs, c) for c in ("n1", "n2", "n3", "n4")))
@@ -389,36 +453,41 @@ class Model:
     """Mapped arrays, and probabilities from them."""
 
     def __init__(self, about: dict):
-        folder = local_folder(about["uri"], "whole")
-        self.about = about
-        self.words, self.pairs = Sorted(folder, "words", about["word_bits"], I, about["words"]), Sorted(folder, "pairs", about["bits"], np.uint8, about["pairs"])
-        chunks = about["words"] // CHUNK + 1
-        recorded = set(about["chunks"])
-        self.stats = [mapped(f"{folder}/stats-{k}.n", np.float32).reshape(-1, FIELDS) if k in recorded else None for k in range(chunks)]
+        self.folder, self.about = Folder(about["uri"]), about
+        self.words = known_words(about["uri"], about["word_bits"])
+        self.pairs = Sorted(self.folder, "pairs", about["bits"], np.uint8) if about["pairs"] else None
+        self.recorded = set(about["chunks"])
+        self.stats: dict[int, np.ndarray] = {}
+
+    def chunk(self, k: int) -> np.ndarray:
+        if k not in self.stats:
+            self.stats[k] = self.folder.read(f"stats-{k}.n", np.float64).reshape(-1, FIELDS)
+        return self.stats[k]
 
     def facts(self, ids: np.ndarray) -> np.ndarray:
         """The stats of ids; zeros for -1."""
         own, back = np.unique(ids, return_inverse=True)
         out, chunk = np.zeros((len(own), FIELDS), np.float64), own // CHUNK
         for c in np.unique(chunk[own >= 0]):
-            if self.stats[c] is not None:
-                out[chunk == c] = self.stats[c][own[chunk == c] - c * CHUNK]
+            if c in self.recorded:
+                out[chunk == c] = self.chunk(int(c))[own[chunk == c] - c * CHUNK]
         return out[back]
 
-    def log10(self, found: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p(token | the one before) of tokens, and their training counts."""
+    def log10(self, found: np.ndarray, ends: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """log10 p(token | the one before) of tokens, their training counts, and the last id. `last`: the id before the
+        first token, if a text doesn't begin with it."""
         a = self.about
         ids, count = self.words.find(found)
-        before = previous(ids, ends, a["words"])
+        before = previous(ids, ends, a["words"] if last is None else last, a["words"])
         key = mixed(np.maximum(before, 0).astype(U) << U(32) | np.maximum(ids, 0).astype(U)).view(I)
-        met = self.pairs.find(key)[1] * ((ids >= 0) & (before >= 0))
+        met = (self.pairs.find(key)[1] if self.pairs else np.zeros(len(ids), I)) * ((ids >= 0) & (before >= 0))
         less = lambda n, d: np.maximum(n - np.asarray(d)[np.minimum(n, 3).astype(int)], 0)
         preds, after = self.facts(ids)[:, 4], self.facts(before)
         lower = less(preds, a["word_discounts"]) / max(1, a["pairs"]) + a["rest"] / (a["words"] + 1)
         total, d = after[:, 0], a["pair_discounts"]
         seen = np.maximum(total, 1)
         free = np.where(total > 0, (d[1] * after[:, 1] + d[2] * after[:, 2] + d[3] * after[:, 3]) / seen, 1.0)
-        return np.log10(less(met, d) / seen + free * lower), count
+        return np.log10(less(met, d) / seen + free * lower), count, int(ids[-1]) if len(ids) else last
 
 
 @lru_cache(maxsize=2)
@@ -433,14 +502,21 @@ def score(docs: DataFrame, about: dict) -> DataFrame:
     def run(batches):
         model = opened(told)
         n, v = about["tokens"], about["words"]
-        for rows, batch, texts in slabs(batches):
-            found, ends = tokens(texts)
-            log, count = model.log10(found, ends)
+        part, last = np.zeros(4), None
+        for lot in lots(batches):
+            log, count, last = model.log10(lot.found, lot.ends, None if lot.first else last)
             base = np.log10((count + 1) / (n + v + 1))
-            first = np.r_[0, ends[:-1] + 1]
-            size = ends - first + 1
-            total = np.add.reduceat(log, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(size), pa.array(np.add.reduceat((count > 0).astype(I), first)), pa.array(np.full(len(rows), n, I)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.array(10 ** (-total / size))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+            if not (lot.first and lot.last):  # a part of a long text
+                part += [len(lot.found), (count > 0).sum(), base.sum(), log.sum()]
+                if not lot.last:
+                    continue
+                sums, part = part[:, None], np.zeros(4)
+            else:
+                first = np.r_[0, lot.ends[:-1] + 1]
+                sums = np.stack([lot.ends - first + 1, *(np.add.reduceat(x, first) for x in ((count > 0).astype(float), base, log))])
+            size, known, base_sum, total = sums
+            columns = [lot.batch.column(0).take(pa.array(lot.rows)), pa.array(size.astype(I)), pa.array(known.astype(I)), pa.array(np.full(len(lot.rows), n, I)), pa.array(base_sum), pa.array(total), pa.array(10 ** (-total / size))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 

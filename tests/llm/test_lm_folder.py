@@ -31,7 +31,7 @@ def copy(near, far, *names):
 def test_folder_that_had_words_alone(built):
     about, near, far, uri = built
     copy(near, far, "words")
-    words = lm.Sorted(lm.local_folder(uri, "words"), "words", about["word_bits"], lm.I, about["words"])
+    words = lm.Sorted(lm.Folder(uri), "words", about["word_bits"], lm.I)
     assert words.first[-1] == about["words"] > 0
     copy(near, far, "pairs", "stats")
     found = lm.tokens([b"a b c", b"d a"])
@@ -46,4 +46,22 @@ def test_missing_file_is_an_error(built, gone):
     copy(near, far, "words", "pairs", "stats")
     max(far.glob(gone), key=lambda p: p.stat().st_size).unlink()
     with pytest.raises((FileNotFoundError, ValueError)):
-        lm.Model(about | {"uri": uri})
+        lm.Model(about | {"uri": uri}).log10(*lm.tokens([b"a b a b c", b"b c d", b""]))
+
+
+def test_long_texts_part_by_part(spark, monkeypatch):
+    """A text gives the same tokens and score whether it is read whole or in small parts, words longer than a part included."""
+    texts = ["Aa b " * 40, "x" * 300 + " b\tc " + "y" * 90, "", " " * 200, "b" * 64, None, "é" * 70 + "\x0bd"]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(texts)], ["text"])
+    whole = lm.tokens([(t or "").encode() for t in texts])[0]
+    monkeypatch.setattr(lm, "SLAB", 16)
+    parts = list(lm.lots(iter([batch]), 0))
+    assert np.array_equal(np.concatenate([p.found for p in parts]), whole) and len(parts) > 20
+
+
+def test_score_of_long_texts(spark):
+    docs = spark.createDataFrame([(k, "a b c d e " * (400_000 if k == 3 else 3)) for k in range(8)], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    assert rows[3]["n_tokens"] == 2_000_001 and rows[4]["n_tokens"] == 16
+    a = {k: r["score"] for k, r in rows.items()}
+    assert a[3] == pytest.approx((a[3] / 2_000_001) * 2_000_001) and a[3] < a[4] < 0
