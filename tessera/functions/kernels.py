@@ -17,6 +17,14 @@ def choose(n: Column, k: Column) -> Column:
     return F.when((k >= 0) & (k <= n), factorial(n) / (factorial(k) * factorial(n - k))).otherwise(F.lit(0.0))
 
 
+def wide_choose(n: Column, k: int) -> Column:
+    """Binomial coefficient of a fixed `k`, for an n too great for factorials."""
+    value = F.lit(1.0)
+    for j in range(k):
+        value = value * (n - j) / float(j + 1)
+    return value
+
+
 def size_law(n: Column, z: Column) -> Column:
     """(n - 1) / (z (n - z)), in proportion to which sizes are drawn; 0 at both ends."""
     inner = (z > 0) & (z < n)
@@ -34,6 +42,18 @@ def size_kernel(n: Column, z: Column) -> Column:
     return choose(n - 1, z)
 
 
+def shap_kernel_mean_one(n: Column, z: Column, ends: float = 1000.0) -> Column:
+    """shap_kernel() over its mean on the sizes 0 to n."""
+    sizes = F.sequence(F.lit(0), n.cast("int"))
+    total = F.aggregate(sizes, F.lit(0.0), lambda s, k: s + shap_kernel(n, k, ends))
+    return shap_kernel(n, z, ends) * (n + 1) / total
+
+
+def size_kernel_share(n: Column, z: Column) -> Column:
+    """size_kernel() over its sum on all sizes, 2 ** (n - 1)."""
+    return size_kernel(n, z) / F.pow(F.lit(2.0), n - 1)
+
+
 def shapley_weight(n: Column, s: Column) -> Column:
     """Weight of a marginal contribution to a coalition of size s among n items."""
     return factorial(s) * factorial(n - s - 1) / factorial(n)

@@ -146,6 +146,21 @@ def jensen_shannon(dists: DataFrame, keys: list[str], p: str = "p", q: str = "q"
     return rows.groupBy(*keys).agg((0.5 * F.sum(F.col("a") * F.ln(F.col("a") / m)) + 0.5 * F.sum(F.col("b") * F.ln(F.col("b") / m))).alias("jsd"))
 
 
+def divergence_of_sets(dists: DataFrame) -> DataFrame:
+    """(game_id, gone, jsd, gain): how far the distribution without a set of items is from the full one.
+
+    `dists` has game_id, gone (mask of the items left out, 0 for none), token, and p, the token's probability; gone = 0
+    must be there. With a set of one item this is leave-one-out by divergence; `gain` is 1 - exp(-jsd), the loss in a
+    utility of exp(-jsd). Divergences of several answer positions add up where `token` tells them apart.
+    """
+    full = dists.where("gone = 0").select("game_id", "token", F.col("p").alias("q"))
+    sets = dists.where("gone <> 0").select("game_id", "gone").distinct()
+    left = dists.where("gone <> 0").select("game_id", "gone", "token", "p")
+    both = sets.join(full, "game_id").join(left, ["game_id", "gone", "token"], "full_outer").select("game_id", "gone", "p", "q")
+    found = jensen_shannon(both, ["game_id", "gone"])
+    return found.select("game_id", "gone", "jsd", (1 - F.exp(-F.col("jsd"))).alias("gain"))
+
+
 def bundle(utilities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shapley values and order-2 faithful interactions, the references that estimates are held against."""
     return shapley(utilities), coefficient_pairs(faithful(mobius(utilities)))

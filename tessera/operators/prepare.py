@@ -105,3 +105,29 @@ def scaled(rows: DataFrame, keys: list[str], columns: list[str], how: str = "sep
 def without_header_rows(rows: DataFrame, column: str) -> DataFrame:
     """Rows of a text table that repeat its header go."""
     return rows.where(~F.col(column).eqNullSafe(F.lit(column)))
+
+
+def stored_gold(questions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """`questions` with gold, an array of item indices, from a table of (key, gold); null where none is stored."""
+    one = gold.groupBy(key).agg(F.max("gold").alias("gold"))
+    return questions.join(one, key, "left")
+
+
+def printed_gold(cell: Column) -> Column:
+    """Item indices from a cell such as "[0, 2]"; null for cells that are no list of whole numbers."""
+    return F.from_json(F.when(cell.rlike(r"^\s*\[\s*(\d+\s*(,\s*\d+\s*)*)?\]\s*$"), cell), "array<int>")
+
+
+def gold_overlap(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """(candidate, games, overlap): how well each candidate for the gold items agrees with the scores.
+
+    `scores` (game_id, item_idx, phi), `gold` (candidate, game_id, item_idx). Of each game, the share of the candidate's
+    items that are among as many items of highest phi, ties to the smaller item; its mean over the games that have some.
+    """
+    place = F.row_number().over(Window.partitionBy("game_id").orderBy(F.col("phi").desc(), "item_idx"))
+    ranked = scores.withColumn("place", place).select("game_id", "item_idx", "place")
+    own = gold.select("candidate", "game_id", "item_idx").distinct()
+    size = own.groupBy("candidate", "game_id").agg(F.count(F.lit(1)).alias("size"))
+    met = size.join(own, ["candidate", "game_id"]).join(ranked, ["game_id", "item_idx"], "left")
+    share = met.groupBy("candidate", "game_id", "size").agg((F.count_if(F.col("place") <= F.col("size")) / F.col("size")).alias("share"))
+    return share.groupBy("candidate").agg(F.count(F.lit(1)).alias("games"), F.avg("share").alias("overlap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
@@ -72,3 +72,24 @@ def evaluate(coalitions: DataFrame, known: DataFrame, provider: str, mode: str,
 def calls(coalitions: DataFrame) -> DataFrame:
     """(game_id, n): distinct coalitions to evaluate."""
     return coalitions.groupBy("game_id").agg(F.count_distinct("mask").alias("n"))
+
+
+def within_budget(lookups: DataFrame, utilities: DataFrame, budget: int, known: DataFrame | None = None) -> DataFrame:
+    """`lookups` (game_id, step, mask; step orders them) with value and evaluations, the number spent so far.
+
+    The first lookup of a mask is an evaluation, later ones are free, and so are masks in `known` (game_id, mask).
+    A lookup that would be one evaluation too many is refused: its value is minus infinity. Windows go over the
+    lookups of one game, which its budget and number of orders bound.
+    """
+    game = Window.partitionBy("game_id").orderBy("step")
+    first = (F.row_number().over(Window.partitionBy("game_id", "mask").orderBy("step")) == 1).cast("int")
+    rows = lookups.select("game_id", "step", "mask").withColumn("new", first)
+    if known is not None:
+        have = known.select("game_id", "mask").distinct().withColumn("free", F.lit(True))
+        rows = rows.join(have, ["game_id", "mask"], "left").withColumn("new", F.when(F.col("free"), 0).otherwise(F.col("new"))).drop("free")
+    order = F.sum("new").over(game)
+    rows = rows.withColumn("order", F.when(F.col("new") == 1, order))
+    spent = F.max("order").over(Window.partitionBy("game_id", "mask"))
+    rows = rows.withColumn("refused", F.coalesce(spent > budget, F.lit(False))).withColumn("evaluations", F.least(order, F.lit(budget)))
+    value = F.when(F.col("refused"), F.lit(float("-inf"))).otherwise(F.col("value"))
+    return rows.join(utilities.select("game_id", "mask", "value"), ["game_id", "mask"]).select("game_id", "step", "mask", value.alias("value"), "evaluations")

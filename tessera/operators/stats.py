@@ -1,19 +1,20 @@
 """Statistics over many questions. `metrics`: qid, metric, method, budget (null for methods without one), value.
 
-Grouped frames handed to numpy are one value a question of one (metric, method, budget); everything else is aggregates
-and windows. Values that are null, NaN or infinite never count.
+Frames handed to numpy are rows of a task or sums of a cell, never all rows of one; everything else is aggregates and
+windows. Values that are null, NaN or infinite never count.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.exact import finite
 from tessera.operators.metrics import average_rank, correlation
@@ -71,6 +72,23 @@ def summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy(*CELL).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")).orderBy("metric", "method", F.col("budget").asc_nulls_first())
 
 
+def interval_summary(metrics: DataFrame, **how) -> DataFrame:
+    """summary() with the interval of each mean: metric, method, budget, n, mean, sd, low, high; null budgets first."""
+    base, found = summary(metrics), bootstrap_ci(metrics, CELL, **how).select(*(F.col(c).alias(f"i_{c}") for c in CELL), "low", "high")
+    on = F.lit(True)
+    for c in CELL:
+        on = on & F.col(c).eqNullSafe(F.col(f"i_{c}"))
+    return base.join(found, on, "left").select(*base.columns, "low", "high").orderBy("metric", "method", F.col("budget").asc_nulls_first())
+
+
+def series(metrics: DataFrame, metric: str, method: str, budget: int | None = None, any_budget: bool = False) -> DataFrame:
+    """(qid, value): a method's finite values in the order of the questions, at a budget (None: rows without one) or, with
+    `any_budget`, at all of them."""
+    rows = metrics.where((F.col("metric") == metric) & (F.col("method") == method))
+    rows = rows if any_budget else rows.where(budget_is(budget))
+    return rows.select("qid", finite(F.col("value")).alias("value")).where("value is not null").orderBy("qid", "value")
+
+
 def variance_report(metrics: DataFrame) -> DataFrame:
     """n, mean, sample deviation, standard error and interquartile range."""
     v = finite(F.col("value"))
@@ -96,40 +114,42 @@ def signed_rank(pairs: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
     return got.select(*keys, "n", "nonzero", F.when(enough, F.col("r_pos")).alias("r_pos"), F.when(enough, F.col("r_neg")).alias("r_neg"), F.when(enough, (F.col("r_pos") - F.col("r_neg")) / (F.col("r_pos") + F.col("r_neg"))).alias("effect"), "win_rate")
 
 
-def signed_rank_p(d: np.ndarray, exact_up_to: int = 50) -> float:
-    """Two-sided p: exact without ties up to so many pairs, else the normal approximation with the tie correction."""
-    d = d[np.isfinite(d) & (d != 0)]
-    n = len(d)
+def signed_rank_p(n: int, low: float, tied: float, exact_up_to: int = 50) -> float:
+    """Two-sided p from the number of non-zero pairs, the smaller rank sum, and the sum of t**3 - t over ties: exact
+    without ties up to so many pairs, else the normal approximation with the tie correction."""
     if n < 6:
         return float("nan")
-    size, counts = np.unique(np.abs(d), return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[np.searchsorted(size, np.abs(d))]
-    low = min(ranks[d > 0].sum(), ranks[d < 0].sum())
-    if n <= exact_up_to and len(size) == n:
+    if n <= exact_up_to and not tied:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for r in range(1, n + 1):
             ways[r:] = ways[r:] + ways[:-r]
         return float(min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**n))
-    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (counts**3 - counts).sum() / 48)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48)
     return float(math.erfc(abs(low - n * (n + 1) / 4) / spread / math.sqrt(2)))
 
 
-def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """signed_rank() and its p."""
+def tie_terms(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tied): the sum of t**3 - t over the sizes of the non-zero differences, from their counts."""
+    size = F.abs(F.col("x") - F.col("y")).alias("size")
+    counts = pairs.select(*keys, size).where("size > 0").groupBy(*keys, "size").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    return counts.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
+
+
+@F.pandas_udf(T.DoubleType())
+def p_values(n: pd.Series, low: pd.Series, tied: pd.Series) -> pd.Series:
+    found = [signed_rank_p(int(a), float(b), float(c)) if b is not None and not math.isnan(b) else None for a, b, c in zip(n, low, tied, strict=True)]
+    return pd.Series([None if x is None or math.isnan(x) else x for x in found], dtype="float64")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [frame[k].iloc[0]] for k in keys}
-        return pd.DataFrame(head | {"p": [signed_rank_p((frame["x"] - frame["y"]).to_numpy(float))]})
 
-    kinds = dict(pairs.dtypes)
-    p = pairs.select(*keys, "x", "y").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", p double")
-    p = p.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.when(~F.isnan("p"), F.col("p")).alias("p"))
+def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """signed_rank() and its p, which takes a row a cell: the rank sums and the tie term are aggregates."""
     base = signed_rank(pairs, keys)
+    ties = tie_terms(pairs, keys).withColumnsRenamed({k: f"t_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"p_{k}"))
-    return base.join(p, on, "left").select(*base.columns, "p")
+        on = on & F.col(k).eqNullSafe(F.col(f"t_{k}"))
+    return base.join(ties, on, "left").withColumn("p", p_values("nonzero", F.least("r_pos", "r_neg"), F.coalesce("tied", F.lit(0.0)))).select(*base.columns, "p")
 
 
 def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
@@ -143,40 +163,80 @@ def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return rows.unionByName(none)
 
 
-STATS = {"mean": np.mean, "median": np.median, "sum": np.sum, "std": np.std}
+#: Statistics that weighted sums of 1, x and x * x give.
+STATS = ("mean", "sum", "std")
+GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The Poisson distribution of mean 1 up to where 32 bits end.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+
 
+def poisson_weights(rows: np.ndarray, start: int, stop: int, seed: int) -> np.ndarray:
+    """How often each row (a 64-bit hash) occurs in each of the resamples `start` to `stop`: of row and number alone."""
+    with np.errstate(over="ignore"):
+        x = rows.view(np.uint64)[:, None] + (np.arange(start, stop, dtype=np.uint64) + np.uint64(1) + np.uint64(seed << 32))[None] * GOLDEN
+        x = (x ^ (x >> np.uint64(30))) * MIX1
+        x = (x ^ (x >> np.uint64(27))) * MIX2
+    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
 
-def bootstrap(x: np.ndarray, stat: str = "mean", times: int = 10_000, alpha: float = 0.05, seed: int = 42, block: int = 1 << 22) -> tuple[float, float, float]:
-    """Point, low and high by percentiles of resamples; one value is its own interval, none gives NaN. In blocks of
-    `block` draws, so that memory doesn't grow with the sample."""
-    x = x[np.isfinite(x)]
-    if len(x) < 2:
-        one = float(x[0]) if len(x) else float("nan")
-        return one, one, one
-    rng, f = np.random.default_rng(seed), STATS[stat]
-    rows = max(1, block // len(x))
-    found = np.concatenate([f(x[rng.integers(0, len(x), (min(rows, times - k), len(x)))], axis=1) for k in range(0, times, rows)])
-    low, high = np.percentile(found, [50 * alpha, 100 - 50 * alpha])
-    return float(f(x)), float(low), float(high)
 
+def of_sums(stat: str, w: np.ndarray, wx: np.ndarray, wxx: np.ndarray, n: int) -> np.ndarray:
+    """A statistic of resamples from their weighted sums; NaN for one without rows."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = wx / w
+        return mean if stat == "mean" else mean * n if stat == "sum" else np.sqrt(np.maximum(wxx / w - mean * mean, 0))
 
-def bootstrap_ci(metrics: DataFrame, keys: list[str], value: str = "value", stat: str = "mean", times: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(keys, n, point, low, high). A group's resamples depend on the seed and its keys; its values are taken in order."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [frame[k].iloc[0]] for k in keys}
-        x = np.sort(frame[value].to_numpy(float))
-        own = zlib.crc32("|".join("" if pd.isna(v[0]) else str(v[0]) for v in head.values()).encode())
-        point, low, high = bootstrap(x, stat, times, alpha, (seed << 32) + own)
-        return pd.DataFrame(head | {"n": [int(np.isfinite(x).sum())], "point": [point], "low": [low], "high": [high]})
+def bootstrap_ci(metrics: DataFrame, keys: list[str], value: str = "value", stat: str = "mean", times: int = 10_000, alpha: float = 0.05, seed: int = 42, block: int = 1 << 21) -> DataFrame:
+    """(keys, n, point, low, high): percentile intervals of mean, sum or (population) std.
 
+    A resample gives each value a Poisson weight, which depends on the seed, the row and the resample alone, so tasks
+    add up weighted sums of whatever rows they have and a cell of any size is never one task's: a cell's tasks hand on
+    three sums a resample. One value is its own interval, none gives nulls. Rows that are equal in all columns share
+    their weights but for their number among themselves.
+    """
+    if stat not in STATS:
+        raise ValueError(f"unknown statistic {stat!r}; known: {STATS}")
     kinds = dict(metrics.dtypes)
-    return metrics.select(*keys, F.col(value).cast("double")).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, point double, low double, high double")
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in metrics.dtypes if not kind.startswith("map")))
+    alike = metrics.select(*keys, finite(F.col(value).cast("double")).alias("x"), hashed.alias("row")).groupBy(*keys, "x", "row").agg(F.count(F.lit(1)).alias("copies"))
+    rows = alike.select(*keys, "x", "row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).select(*keys, "x", F.xxhash64("row", "copy").alias("row"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, cell in frame.groupby(keys, dropna=False, sort=False):
+                x, row = cell["x"].to_numpy(float), cell["row"].to_numpy("int64")
+                good = np.isfinite(x)
+                x, row = x[good], row[good]
+                total = np.zeros((3, times))
+                step = max(1, block // max(1, len(x)))
+                for at in range(0, times if len(x) else 0, step):
+                    w = poisson_weights(row, at, min(times, at + step), seed)
+                    total[:, at : at + step] = np.stack([w.sum(0), x @ w, (x * x) @ w])
+                head = cell[keys].iloc[:1].reset_index(drop=True)
+                yield head.assign(n=len(x), s=float(x.sum()), ss=float((x * x).sum()), only=float(x[0]) if len(x) else np.nan, sums=[total.tobytes()])
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        n = int(frame["n"].sum())
+        total = sum(np.frombuffer(b).reshape(3, times) for b in frame["sums"])
+        out = frame[keys].iloc[:1].reset_index(drop=True)
+        if n < 2:
+            one = float(frame["only"].dropna().iloc[0]) if n else None
+            one = 0.0 if n and stat == "std" else one
+            return out.assign(n=n, point=one, low=one, high=one)
+        found = of_sums(stat, *total, n)
+        low, high = np.nanpercentile(found, [50 * alpha, 100 - 50 * alpha])
+        point = of_sums(stat, np.array([float(n)]), np.array([frame["s"].sum()]), np.array([frame["ss"].sum()]), n)[0]
+        return out.assign(n=n, point=float(point), low=float(low), high=float(high))
+
+    partial = rows.mapInPandas(sums, f"{schema}, n bigint, s double, ss double, only double, sums binary")
+    return partial.groupBy(*keys).applyInPandas(interval, f"{schema}, n bigint, point double, low double, high double")
 
 
 def paired_bootstrap_ci(pairs: DataFrame, keys: list[str], **how) -> DataFrame:
     """Interval of the mean of x - y."""
-    return bootstrap_ci(pairs.select(*keys, (F.col("x") - F.col("y")).alias("value")), keys, **how)
+    own = [c for c in pairs.columns if c not in (*keys, "x", "y")]
+    return bootstrap_ci(pairs.select(*keys, *own, (F.col("x") - F.col("y")).alias("value")), keys, **how)
 
 
 def contributions(metrics: DataFrame, full: str, **how) -> DataFrame:
@@ -218,6 +278,18 @@ def budget_table(metrics: DataFrame, budgets: list[int]) -> DataFrame:
     return metrics.groupBy("metric", "method").pivot("budget", budgets).agg(F.avg(finite(F.col("value"))))
 
 
+def by_k_table(metrics: DataFrame, budget: int, ks: list[int]) -> DataFrame:
+    """(metric, method, a column for each k): means at one budget and of methods without one."""
+    return at_budget(metrics, budget).groupBy("metric", "method").pivot("k", ks).agg(F.avg(finite(F.col("value"))))
+
+
+def detectable_effects(metrics: DataFrame, power: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """(metric, method, budget, n, effect): the least mean difference that each cell's number of questions shows, by its own deviation."""
+    z = NormalDist().inv_cdf
+    rows = variance_report(metrics)
+    return rows.select(*CELL, "n", ((z(1 - alpha / 2) + z(power)) * F.col("sem")).alias("effect"))
+
+
 def at_budget(metrics: DataFrame, budget: int) -> DataFrame:
     """Rows of one budget and of methods without one."""
     return metrics.where((F.col("budget") == budget) | F.col("budget").isNull())

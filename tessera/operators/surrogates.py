@@ -85,6 +85,17 @@ def solve(game: int, n: int, sums, order: int, ridge: float, lasso: float) -> pd
     return pd.DataFrame({"game_id": game, "subset": [0, *names], "coef": [ybar - mean @ coef, *coef]})
 
 
+def soft_threshold(x: Column, by: float) -> Column:
+    """`x` nearer to 0 by `by`, and 0 if it is nearer than that."""
+    return F.signum(x) * F.greatest(F.abs(x) - by, F.lit(0.0))
+
+
+def pairwise_logistic(difference: Column, sign: Column) -> Column:
+    """ln(1 + exp(-sign * difference)): the loss of a predicted difference of two neighbours by the sign of the true one."""
+    margin = -F.signum(sign) * difference
+    return F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
+
+
 def soft(x: float, by: float) -> float:
     return float(np.sign(x) * max(abs(x) - by, 0.0))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import metrics, surrogates
 from tessera.operators.coalitions import structured_sample
 from tessera.operators.exact import bundle, coefficient_pairs
+from tessera.operators.exact import shapley as exact_shapley
 from tessera.operators.surrogates import attributions, fit_fm, main_effects, prune_interactions, pruned_attributions
 
 
@@ -76,6 +77,20 @@ def score_variant(utilities: DataFrame, variant: Variant, budget: int, seed: int
     return rows
 
 
+def rank_oracle(utilities: DataFrame, budget: int, ranks: tuple[int, ...] = (1, 2, 4, 8), k: int = 5, seed: int = 42) -> DataFrame:
+    """(game_id, rank, ndcg): of each game the rank with the greatest NDCG of its attributions against the exact ones,
+    ties to the lower rank. It looks at what it is judged by, so it is no rule but a ceiling for rules."""
+    games = utilities.select("game_id", "n_items").distinct()
+    train = structured_sample(games, budget, seed=seed).select("game_id", "mask").join(utilities, ["game_id", "mask"])
+    truth, rows = exact_shapley(utilities).withColumnRenamed("phi", "truth"), None
+    for rank in ranks:
+        items = attributions(fit_fm(train, rank, seed=seed)).withColumnRenamed("phi", "pred").join(truth, ["game_id", "item_idx"])
+        one = metrics.ndcg(items, ["game_id"], k).select("game_id", F.lit(rank).alias("rank"), F.col("value").alias("ndcg"))
+        rows = one if rows is None else rows.unionByName(one)
+    best = rows.groupBy("game_id").agg(F.max(F.struct(F.round("ndcg", 9).alias("ndcg"), (-F.col("rank")).alias("low"))).alias("b"))
+    return best.select("game_id", (-F.col("b.low")).alias("rank"), F.col("b.ndcg").alias("ndcg"))
+
+
 def grid(utilities: DataFrame, budgets: Sequence[int], chosen: Sequence[Variant] = VARIANTS, **how) -> DataFrame:
     """Metric rows of all variants at all budgets."""
     rows = None

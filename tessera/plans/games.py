@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import bits
 from tessera.functions.text import answer_tokens, f1
 from tessera.functions.utilities import unit_vector
-from tessera.operators.coalitions import powerset
+from tessera.operators.coalitions import MOST_ITEMS, powerset
 from tessera.operators.exact import subset_sums
 from tessera.operators.prepare import with_duplicate
 from tessera.operators.providers import degree_two
 from tessera.operators.retrieval import nearest
 
-SUPPLIERS, TYPES, TURNS, SEGMENTS = 8, 5, 7, 5
+SUPPLIERS, TYPES, SEGMENTS = 8, 5, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,8 @@ def event_game(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_game(turns: DataFrame) -> DataFrame:
-    """From (game_id, texts, target): a coalition of texts has the token F1 of its words with the target's.
+    """From (game_id, texts, target): a coalition of texts has the token F1 of its words with the target's. A game of more
+    than MOST_ITEMS texts is an error, not cut: such games are for samplers.
 
     Only words of the target can be shared, so a coalition meets those alone, with their counts by text in an array.
     """
@@ -79,7 +80,8 @@ def overlap_game(turns: DataFrame) -> DataFrame:
     rows = turns.select("game_id", F.size("texts").alias("n_items"), words.alias("words"), answer_tokens(F.col("target")).alias("gold"))
     count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
     rows = rows.select("game_id", "n_items", F.transform("words", F.size).alias("sizes"), F.size("gold").alias("gold_size"), F.transform(F.array_distinct("gold"), lambda w: F.struct(count(F.col("gold"), w).alias("g"), F.transform("words", lambda t: count(t, w)).alias("by"))).alias("shared"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), bits.full(F.col("n_items")))).alias("mask"))
+    fits = F.when(F.col("n_items") <= MOST_ITEMS, bits.full(F.col("n_items"))).otherwise(F.raise_error(F.lit(f"all coalitions of more than {MOST_ITEMS} items")).cast("bigint"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), fits)).alias("mask"))
     mask = F.col("mask")
     add = lambda xs: F.aggregate(F.filter(xs, lambda _, i: bits.has(mask, i)), F.lit(0), lambda s, x: s + x)
     both = F.aggregate("shared", F.lit(0), lambda s, w: s + F.least(w["g"], add(w["by"])))
@@ -87,10 +89,10 @@ def overlap_game(turns: DataFrame) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(game_id, texts, target): the last turn and up to seven before it; conversations of one turn are no game."""
+    """(game_id, texts, target): the last turn and all before it; conversations of one turn are no game."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     texts = F.transform("t", lambda x: x["text"])
-    return rows.where(F.size("t") > 1).select(F.col("conv_id").alias("game_id"), F.slice(texts, F.lit(1), F.least(F.size("t") - 1, F.lit(TURNS))).alias("texts"), F.element_at(texts, -1).alias("target"))
+    return rows.where(F.size("t") > 1).select(F.col("conv_id").alias("game_id"), F.slice(texts, F.lit(1), F.size("t") - 1).alias("texts"), F.element_at(texts, -1).alias("target"))
 
 
 def turn_game(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +100,8 @@ def turn_game(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_game(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of two to six turns before the last, with the first turn once more at the end."""
-    rows = conversations(spark, sf_dir).where((F.size("texts") > 1) & (F.size("texts") < TURNS))
+    """Conversations of two turns or more before the last, with the first turn once more at the end."""
+    rows = conversations(spark, sf_dir).where(F.size("texts") > 1)
     return overlap_game(rows.withColumn("texts", with_duplicate(F.col("texts"), 0, 62)))
 
 
@@ -125,14 +127,13 @@ def segment_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degree_two(effects, pairs)(powerset(sizes))
 
 
-#: The vectors that are queries of the retrieval game, by id.
-QUERY_IDS = (0, 1, 2, 3, 4, 5, 6, 7)
+#: The vectors that are queries of the retrieval game: those whose id is divisible by this.
+QUERY_STEP = 50
 
 
 def retrieved(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, item_idx, pred, truth): the k nearest of a few stated vectors; gold ones have the query's label."""
+    """(query_id, vec_id, item_idx, pred, truth): the k nearest of each query; gold ones have the query's label."""
     vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", unit_vector(F.col("embedding")))
-    asked = vectors.where(F.col("vec_id").isin(*QUERY_IDS)).orderBy("vec_id").limit(len(QUERY_IDS)).select("vec_id", "embedding", "label").collect()
-    found = nearest(vectors, [(r["vec_id"], list(r["embedding"])) for r in asked], k)
-    label = F.create_map(*(x for r in asked for x in (F.lit(r["vec_id"]), F.lit(r["label"])))) if asked else F.lit(None)
-    return found.select("query_id", "vec_id", (F.col("place") - 1).alias("item_idx"), (-F.col("distance")).alias("pred"), (F.col("label") == label[F.col("query_id")]).cast("int").alias("truth"))
+    asked = vectors.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
+    found = nearest(vectors, asked, k)
+    return found.select("query_id", "vec_id", (F.col("place") - 1).alias("item_idx"), (-F.col("distance")).alias("pred"), (F.col("label") == F.col("wanted")).cast("int").alias("truth"))

@@ -26,12 +26,12 @@ def f1(shared: str, left: str, right: str) -> str:
 TURNS = """turns AS (SELECT conv_id AS game_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item, count(*) OVER (PARTITION BY conv_id) AS size FROM conversations),
 held AS (SELECT * FROM turns WHERE size > 1)"""
 G2 = f"""{TURNS},
-tok AS (SELECT game_id, item, size, least(size - 1, 7) AS n_items, item = size - 1 AS is_last, {tokens("text")} AS w FROM held),
-one AS (SELECT game_id, item, unnest(w) AS w FROM tok WHERE NOT is_last AND item < 7),
+tok AS (SELECT game_id, item, size, size - 1 AS n_items, item = size - 1 AS is_last, {tokens("text")} AS w FROM held),
+one AS (SELECT game_id, item, unnest(w) AS w FROM tok WHERE NOT is_last),
 gold AS (SELECT game_id, w, count(*) AS g FROM (SELECT game_id, unnest(w) AS w FROM tok WHERE is_last) GROUP BY ALL),
 sz AS (SELECT game_id, n_items, len(w) AS gs FROM tok WHERE is_last),
 masks AS (SELECT game_id, n_items, gs, unnest(range(1 << n_items::INT)) AS mask FROM sz),
-lens AS (SELECT masks.game_id, mask, coalesce(sum(len(w)) FILTER (WHERE ((mask >> item::INT) & 1) = 1), 0) AS ls FROM masks JOIN tok ON masks.game_id = tok.game_id AND NOT is_last AND item < 7 GROUP BY ALL),
+lens AS (SELECT masks.game_id, mask, coalesce(sum(len(w)) FILTER (WHERE ((mask >> item::INT) & 1) = 1), 0) AS ls FROM masks JOIN tok ON masks.game_id = tok.game_id AND NOT is_last GROUP BY ALL),
 cnt AS (SELECT masks.game_id, mask, one.w, count(*) AS c FROM masks JOIN one ON masks.game_id = one.game_id AND ((mask >> item::INT) & 1) = 1 GROUP BY ALL),
 ov AS (SELECT cnt.game_id, mask, sum(least(c, g)) AS shared FROM cnt JOIN gold ON cnt.game_id = gold.game_id AND cnt.w = gold.w GROUP BY ALL),
 u AS (SELECT masks.game_id, n_items, masks.mask, {f1("coalesce(shared, 0)", "ls", "gs")} AS value FROM masks JOIN lens USING (game_id, mask) LEFT JOIN ov USING (game_id, mask))"""
@@ -155,7 +155,7 @@ UNIT_VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::D
 
 
 def near(k: int) -> str:
-    return f"""WITH {UNIT_VEC}, n AS (SELECT q.vec_id AS query_id, v.vec_id, v.label = q.label AS same, list_sum(list_transform(list_zip(v.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM v, v q WHERE q.vec_id < 8 AND q.vec_id <> v.vec_id),
+    return f"""WITH {UNIT_VEC}, n AS (SELECT q.vec_id AS query_id, v.vec_id, v.label = q.label AS same, list_sum(list_transform(list_zip(v.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM v, v q WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) - 1 AS item_idx, dist, -dist AS pred, same::INT AS truth FROM n QUALIFY item_idx < {k})"""
 
 
@@ -165,13 +165,28 @@ LINEAR = f"{BANZHAF}, co AS (SELECT game_id, avg(value) AS mean FROM u GROUP BY
 BEFORE = "b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
 METRIC = "mr AS (SELECT o_custkey AS qid, o_orderpriority AS method, year(o_orderdate) AS budget, max(o_totalprice) AS value, 'price' AS metric FROM orders GROUP BY 1, 2, 3)"
 AGAINST = f"{METRIC}, pr AS (SELECT r.metric, r.budget, r.method, r.qid, b.value AS x, r.value AS y, b.value - r.value AS d FROM mr r JOIN mr b ON b.metric = r.metric AND b.budget = r.budget AND b.qid = r.qid WHERE b.method = '1-URGENT' AND r.method <> '1-URGENT')"
-SETTLED = f"WITH {G4} SELECT DISTINCT game_id, true AS settled FROM u"
-CLOSE = "SELECT DISTINCT c_nationkey::BIGINT AS game_id, true AS close FROM customer"
 TRUE_COEF = "SELECT game_id, 0::BIGINT AS subset, 0.0::DOUBLE AS coef FROM (SELECT DISTINCT game_id FROM eff) UNION ALL SELECT game_id, 1::BIGINT << item::INT, w FROM eff UNION ALL SELECT game_id, (1::BIGINT << i::INT) | (1::BIGINT << j::INT), value FROM prs"
 CUT = "string_split(regexp_replace(coalesce(text, ''), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1))"
 LP, L = "(-6.0::DOUBLE / (1 + bit_count(mask)))", "game_id"
 
 
+AGREE = f"""WITH {G4}, {SHAPLEY}, {BANZHAF.removeprefix(MARGIN + ', ')}, {LOO.removeprefix(MARGIN + ', ')}, attr AS (SELECT 'banzhaf' AS provider, game_id, item_idx, round(phi, 9) AS phi FROM banz UNION ALL SELECT 'loo', game_id, item_idx, round(phi, 9) FROM out UNION ALL SELECT 'shapley', game_id, item_idx, round(phi, 9) FROM shap),
+sc AS (SELECT l.provider AS a, r.provider AS b, l.game_id, l.item_idx, l.phi AS pred, r.phi AS truth FROM attr l JOIN attr r ON l.game_id = r.game_id AND l.item_idx = r.item_idx AND l.provider < r.provider),
+rk AS (SELECT a, b, game_id, rank() OVER (PARTITION BY a, b, game_id ORDER BY pred) + (count(*) OVER (PARTITION BY a, b, game_id, pred) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY a, b, game_id ORDER BY truth) + (count(*) OVER (PARTITION BY a, b, game_id, truth) - 1) / 2.0::DOUBLE AS t FROM sc),
+sp AS (SELECT a, b, game_id, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(t) > 0 THEN corr(p, t) END AS v FROM rk GROUP BY ALL),
+kd AS (SELECT x.a, x.b, x.game_id, CASE WHEN sum(abs(sign(x.pred - y.pred))) > 0 AND sum(abs(sign(x.truth - y.truth))) > 0 THEN sum(sign(x.pred - y.pred) * sign(x.truth - y.truth)) / sqrt(sum(abs(sign(x.pred - y.pred)))::DOUBLE * sum(abs(sign(x.truth - y.truth)))) END AS v FROM sc x JOIN sc y ON x.a = y.a AND x.b = y.b AND x.game_id = y.game_id AND x.item_idx < y.item_idx GROUP BY ALL),
+ov AS (SELECT a, b, game_id, count(*) FILTER (WHERE one <= 2 AND two <= 2) / 2.0 AS v FROM (SELECT *, row_number() OVER (PARTITION BY a, b, game_id ORDER BY abs(pred) DESC, item_idx) AS one, row_number() OVER (PARTITION BY a, b, game_id ORDER BY abs(truth) DESC, item_idx) AS two FROM sc) GROUP BY ALL)
+SELECT a AS "left", b AS "right", {r('avg(sp.v)', 'spearman')}, {r('avg(kd.v)', 'kendall')}, {r('avg(ov.v)', 'overlap')} FROM sp JOIN kd USING (a, b, game_id) JOIN ov USING (a, b, game_id) GROUP BY 1, 2"""
+#: The error function by its series of positive terms.
+ERF = "CASE WHEN x = 0 THEN 0 ELSE 2 * x / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(150), lambda k: exp(k * ln(2 * x * x) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) END"
+RANKED = f"{AGAINST}, k AS (SELECT *, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY metric, budget, method, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, budget, method, d <> 0, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM pr), t AS (SELECT metric, budget, method, count(*) AS n, count(r) AS nonzero, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS rp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS rn, avg((d > 0)::INT) AS w FROM k GROUP BY 1, 2, 3)"
+RANK_COLUMNS = f"metric, budget, method, n, nonzero, {r('CASE WHEN nonzero >= 6 THEN rp END', 'r_pos')}, {r('CASE WHEN nonzero >= 6 THEN rn END', 'r_neg')}, {r('CASE WHEN nonzero >= 6 THEN (rp - rn) / (rp + rn) END', 'effect')}, {r('w', 'win_rate')}"
+WILCOXON = f"""WITH RECURSIVE {RANKED}, ways(m, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT m + 1, list_transform(range(len(c) + m + 1), lambda s: coalesce(CASE WHEN s < len(c) THEN c[s + 1] END, 0) + coalesce(CASE WHEN s >= m + 1 THEN c[s - m] END, 0)) FROM ways WHERE m < 50),
+tie AS (SELECT metric, budget, method, sum(t * t * t - t) AS tied FROM (SELECT metric, budget, method, abs(d), count(*)::DOUBLE AS t FROM pr WHERE d <> 0 GROUP BY ALL) GROUP BY 1, 2, 3),
+z AS (SELECT t.*, coalesce(tied, 0) AS tied, least(rp, rn) AS low, CASE WHEN nonzero >= 6 THEN abs(least(rp, rn) - nonzero * (nonzero + 1) / 4) / sqrt(nonzero * (nonzero + 1) * (2 * nonzero + 1) / 24 - coalesce(tied, 0) / 48) / sqrt(2) END AS x FROM t LEFT JOIN tie USING (metric, budget, method))
+SELECT {RANK_COLUMNS}, {r(f"CASE WHEN nonzero < 6 THEN NULL WHEN nonzero <= 50 AND tied = 0 THEN least(1, 2 * list_sum(c[1:low::INT + 1]) / pow(2, nonzero)) ELSE 1 - ({ERF}) END", 'p')} FROM z LEFT JOIN ways ON m = least(nonzero, 50)"""
+
+
 def logit(lp: str) -> str:
     p = f"greatest(least(exp({lp}), 1 - 1e-7::DOUBLE), 1e-7::DOUBLE)"
     return f"ln({p} / (1 - {p}))"
@@ -184,7 +199,6 @@ def mode(expr: str, name: str) -> str:
 ORACLE: dict[str, str] = {
     **{f"g{k}_utilities": f"WITH {g} SELECT game_id, n_items, mask, {r('value', 'value')} FROM u" for k, g in ((1, G1), (2, G2), (3, G3), (4, G4))},
     "g5_retrieval": f"{near(10)} SELECT query_id, vec_id, item_idx, {r('pred', 'pred')}, truth FROM r",
-    "g6_symmetry": f"WITH {TURNS} SELECT DISTINCT game_id, true AS equal FROM held WHERE size - 1 BETWEEN 2 AND 6",
     "exact_shapley": f"WITH {G1}, {SHAPLEY} SELECT game_id, item_idx, {r('phi', 'phi')} FROM shap",
     "shapley_conversations": f"WITH {G2}, {SHAPLEY} SELECT game_id, item_idx, {r('phi', 'phi')} FROM shap",
     "exact_banzhaf": f"WITH {G4}, {BANZHAF} SELECT game_id, item_idx, {r('phi', 'phi')} FROM banz",
@@ -237,12 +251,6 @@ j AS (SELECT game_id, sum(p * ln(p / ((p + q) / 2))) / 2 + sum(q * ln(q / ((p +
     "minmax_mean_matrix": f"{PAIRS}, m AS (SELECT i, j, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM p WINDOW w AS (PARTITION BY game_id)) SELECT i, j, {r('avg(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END)', 'value')} FROM m GROUP BY i, j",
     "linear_fit": f"WITH {G4}, {LINEAR} SELECT game_id, 0::BIGINT AS subset, {r('b0', 'coef')} FROM icpt UNION ALL SELECT game_id, 1::BIGINT << item_idx, {r('phi', 'coef')} FROM banz",
     "poly2_fit": f"WITH {G3}, k AS ({TRUE_COEF}) SELECT game_id, subset, {r('coef', 'coef')} FROM k",
-    "weighted_linear": SETTLED,
-    "poly2_ridge": SETTLED,
-    "lasso": SETTLED,
-    "fm_closed_form": CLOSE,
-    "fm_gradient": CLOSE,
-    "fm_rank": "SELECT DISTINCT c_nationkey::BIGINT AS game_id, 1 AS n_chosen, true AS is_best FROM customer",
     "fm_attributions": f"WITH {G3} SELECT game_id, item AS item_idx, {r('w + (SELECT sum(value) FROM prs WHERE prs.game_id = eff.game_id AND (i = item OR j = item)) / 2', 'phi')} FROM eff",
     "hybrid_wss": f"WITH {G4.replace('u AS (', 'u0 AS (')}, u1 AS (SELECT * FROM u0), {LINEAR.replace('FROM u ', 'FROM u1 ').replace('u a,', 'u1 a,').replace('u b', 'u1 b')}, u AS (SELECT u1.game_id, n_items, mask, CASE WHEN bit_count(mask) % 2 = 0 THEN any_value(value) ELSE any_value(b0) + coalesce(sum(phi) FILTER (WHERE ((mask >> item_idx) & 1) = 1), 0) END AS value FROM u1 JOIN icpt USING (game_id) JOIN banz USING (game_id) GROUP BY u1.game_id, n_items, mask), {SHAPLEY.replace('d AS', 'd2 AS').replace('FROM d ', 'FROM d2 ')} SELECT game_id, item_idx, {r('phi', 'phi')} FROM shap",
     "prune_topq": f"{PAIRS} SELECT game_id, i, j, {r('value', 'value')}, rank() OVER (PARTITION BY game_id ORDER BY abs(value) DESC) <= 3 AS kept FROM p",
@@ -253,9 +261,9 @@ j AS (SELECT game_id, sum(p * ln(p / ((p + q) / 2))) / 2 + sum(q * ln(q / ((p +
 s AS (SELECT cx.conv_id, cx.turn, sum(least(cx.c, cy.c)) AS shared FROM cx JOIN cy USING (conv_id, turn, w) GROUP BY ALL) SELECT conv_id, turn, {r(f1('coalesce(shared, 0)', 'len(x)', 'len(y)'), 'f1')} FROM t LEFT JOIN s USING (conv_id, turn)""",
     "clean_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), '[^\p{L}\p{N}\x20.,;:!?''()%/-]', '', 'g'), ' +', ' ', 'g'))) AS cleaned FROM documents",
     "sentence_items": f"WITH c AS (SELECT row_number() OVER () AS rid, item_id, list_filter(list_transform({CUT}, lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark) SELECT item_id, unnest(range(len(s))) AS sentence_idx, unnest(s) AS sentence FROM c",
-    "ablated_context": f"WITH {TURNS} SELECT game_id, array_to_string(list(text ORDER BY item) FILTER (WHERE item IN (0, 2) AND item < size - 1 AND item < 7), chr(10) || chr(10)) AS context, (1::BIGINT << least(max(size) - 1, 7)::INT) - 2 AS mask FROM held GROUP BY game_id",
+    "ablated_context": f"WITH {TURNS} SELECT game_id, array_to_string(list(text ORDER BY item) FILTER (WHERE item IN (0, 2) AND item < size - 1), chr(10) || chr(10)) AS context, (1::BIGINT << (max(size) - 1)::INT) - 2 AS mask FROM held GROUP BY game_id",
     "gold_first_reorder": "WITH t AS (SELECT conv_id, coalesce(text, '') AS text, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'assistant' THEN 0 ELSE 1 END, turn) AS pos FROM conversations) SELECT conv_id, string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE pos <= 10) AS texts, count(*) FILTER (WHERE role = 'assistant') AS len_gt FROM t GROUP BY conv_id",
-    "duplicate_injection": f"WITH {TURNS}, a AS (SELECT game_id, item * 2 AS pos, text, least(size - 1, 7) AS n FROM held WHERE item < size - 1 AND item < 7), b AS (SELECT * FROM a UNION ALL SELECT game_id, least(2 * n - 1, 9), text, n FROM a WHERE pos = 2) SELECT game_id, string_agg(text, chr(10) ORDER BY pos) AS texts FROM b GROUP BY game_id",
+    "duplicate_injection": f"WITH {TURNS}, a AS (SELECT game_id, item * 2 AS pos, text, size - 1 AS n FROM held WHERE item < size - 1), b AS (SELECT * FROM a UNION ALL SELECT game_id, least(2 * n - 1, 9), text, n FROM a WHERE pos = 2) SELECT game_id, string_agg(text, chr(10) ORDER BY pos) AS texts FROM b GROUP BY game_id",
     "lookup_conflicts": "SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE count(DISTINCT lang) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'conflict' END AS status FROM documents GROUP BY source",
     "knn_l2": f"{near(5)} SELECT query_id, vec_id, item_idx, {r('dist', 'distance', 5)} FROM r",
     "normalised_vectors": f"SELECT vec_id, {r('list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))', 'squared', 5)}, {r('embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))', 'first', 5)} FROM embeddings",
@@ -266,9 +274,10 @@ s AS (SELECT cx.conv_id, cx.turn, sum(least(cx.c, cy.c)) AS shared FROM cx JOIN
     "mean_nanstd": f"WITH {METRIC} SELECT metric, method, budget, count(*) AS n, {r('avg(value)', 'mean', 6)}, {r('stddev_pop(value)', 'sd', 6)} FROM mr GROUP BY 1, 2, 3",
     "variance_report": f"WITH {METRIC} SELECT metric, method, budget, count(*) AS n, {r('avg(value)', 'mean', 6)}, {r('stddev_samp(value)', 'sd', 6)}, {r('stddev_samp(value) / sqrt(count(*))', 'sem', 6)}, {r('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)', 'iqr', 6)} FROM mr GROUP BY 1, 2, 3",
     "win_tie_loss": f"WITH {AGAINST} SELECT metric, budget, method, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d = 0) AS ties, count(*) FILTER (WHERE d < 0) AS losses, {r('CASE WHEN count(*) FILTER (WHERE d <> 0) > 0 THEN count(*) FILTER (WHERE d > 0) / count(*) FILTER (WHERE d <> 0) END', 'win_excl_ties', 6)}, {r('avg(d)', 'mean_diff', 6)}, {r('median(d)', 'median_diff', 6)} FROM pr GROUP BY 1, 2, 3",
-    "signed_rank": f"WITH {AGAINST}, k AS (SELECT *, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY metric, budget, method, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, budget, method, d <> 0, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM pr), t AS (SELECT metric, budget, method, count(*) AS n, count(r) AS nonzero, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS rp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS rn, avg((d > 0)::INT) AS w FROM k GROUP BY 1, 2, 3) SELECT metric, budget, method, n, nonzero, {r('CASE WHEN nonzero >= 6 THEN rp END', 'r_pos')}, {r('CASE WHEN nonzero >= 6 THEN rn END', 'r_neg')}, {r('CASE WHEN nonzero >= 6 THEN (rp - rn) / (rp + rn) END', 'effect')}, {r('w', 'win_rate')} FROM t",
+    "signed_rank": f"WITH {RANKED} SELECT {RANK_COLUMNS} FROM t",
+    "wilcoxon": WILCOXON,
+    "agreement_matrix": AGREE,
     "holm": f"WITH t AS (SELECT n_nationkey, n_regionkey, (n_nationkey * 7 % 25 + 1) / 250.0::DOUBLE AS p FROM nation), s AS (SELECT *, (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p) + 1) * p AS step FROM t) SELECT n_nationkey, n_regionkey, {r('p', 'p')}, {r('least(1, max(step) OVER (PARTITION BY n_regionkey ORDER BY p ROWS UNBOUNDED PRECEDING))', 'p_holm')} FROM s",
-    "bootstrap_brackets": f"WITH {METRIC} SELECT method, budget, count(*) AS n, true AS holds FROM mr GROUP BY 1, 2",
     "paired_correlation": f"WITH {AGAINST} SELECT metric, budget, method, CASE WHEN count(*) > 1 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) + 0.0 END AS value FROM pr GROUP BY 1, 2, 3",
     "budget_table": f"WITH {METRIC} SELECT metric, method, {r('avg(value) FILTER (WHERE budget = 1995)', 'y1995', 6)}, {r('avg(value) FILTER (WHERE budget = 1996)', 'y1996', 6)}, {r('avg(value) FILTER (WHERE budget = 1997)', 'y1997', 6)} FROM mr GROUP BY 1, 2",
     "minmax_scaled": f"{pair_scores()}, m AS (SELECT game_id, item_idx, pred, truth, least(min(pred) OVER w, min(truth) OVER w) AS lo, greatest(max(pred) OVER w, max(truth) OVER w) AS hi FROM sc WINDOW w AS (PARTITION BY game_id)) SELECT game_id, item_idx, {r('CASE WHEN hi > lo THEN (pred - lo) / (hi - lo) ELSE 0 END', 'pred')}, {r('CASE WHEN hi > lo THEN (truth - lo) / (hi - lo) ELSE 0 END', 'truth')} FROM m",

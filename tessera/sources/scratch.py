@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share, `spark.checkpoint.dir`; a local one where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    """A new path in the folder that all machines share, `spark.checkpoint.dir`; where that is unset a local one in a
+    session on one machine, as in tests, and else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.exact import finite
 from tessera.operators.providers import KEY, Provider, evaluate
 
 UTILITIES = "game_id bigint, provider string, n_items int, mask bigint, value double, mode string"
@@ -23,9 +24,12 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_utilities(spark: SparkSession, path: str) -> DataFrame:
-    """One row a key; a run that was repeated may have left more, of which the least value counts."""
+    """One row a key. A run that was repeated may have left more: a finite value counts before one that isn't, and two
+    finite values that differ are an error when they are read."""
     rows = load(spark, path, UTILITIES)
-    return rows.groupBy(*KEY).agg(F.min("n_items").alias("n_items"), F.min("value").alias("value"))
+    good = finite(F.col("value"))
+    agreed = F.when(F.max(good) > F.min(good), F.raise_error(F.lit("a utility has two finite values")).cast("double")).otherwise(F.coalesce(F.max(good), F.min("value")))
+    return rows.groupBy(*KEY).agg(F.min("n_items").alias("n_items"), agreed.alias("value"))
 
 
 def save_utilities(rows: DataFrame, path: str) -> None:
@@ -55,7 +59,23 @@ def append_metrics(rows: DataFrame, path: str) -> int:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+RESULTS = "qid bigint, method string, item_idx int, phi double"
+EXTRAS = "qid bigint, method string, name string, value string"
+
+
+def save_results(path: str, results: DataFrame | None = None, extras: DataFrame | None = None) -> None:
+    """Adds attributions (RESULTS) and whatever else a run has to tell (EXTRAS, values as JSON) to the tables at `path`."""
+    for name, rows, schema in (("results", results, RESULTS), ("extras", extras, EXTRAS)):
+        if rows is not None:
+            rows.select(*(c.split()[0] for c in schema.split(", "))).write.mode("append").parquet(f"{path}/{name}")
+
+
+def load_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(attributions, extras) that runs have saved; a repeated run's rows count once."""
+    return tuple(load(spark, f"{path}/{name}", schema).distinct() for name, schema in (("results", RESULTS), ("extras", EXTRAS)))
 
 
 def summary_json(intervals: DataFrame) -> DataFrame:
@@ -69,7 +89,7 @@ def summary_json(intervals: DataFrame) -> DataFrame:
 def latex_rows(report: DataFrame, digits: int = 3) -> DataFrame:
     """(metric, budget, method, line): a table line from paired_report(): difference, interval, p, wins, ties, losses."""
     f = f"%.{digits}f"
-    line = F.format_string(rf"%s & {f} [{f}, {f}] & %s & %d/%d/%d \\", F.regexp_replace("method", r"([&%$#_{}])", r"\\$1"), F.coalesce("point", F.lit(float("nan"))), F.coalesce("low", F.lit(float("nan"))), F.coalesce("high", F.lit(float("nan"))), F.coalesce(F.format_string(f, "p_holm"), F.lit("--")), "wins", "ties", "losses")
+    line = F.format_string(rf"%s & {f} [{f}, {f}] & %s & %d/%d/%d \\", F.regexp_replace("method", r"([&%$#_{}])", r"\\$1"), F.coalesce("point", F.lit(float("nan"))), F.coalesce("low", F.lit(float("nan"))), F.coalesce("high", F.lit(float("nan"))), F.when(F.col("p_holm").isNull(), "--").otherwise(F.format_string(f, "p_holm")), "wins", "ties", "losses")
     return report.select("metric", "budget", "method", line.alias("line"))
 
 
@@ -80,7 +100,13 @@ def latex_table(report: DataFrame, caption: str) -> str:
     return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", r"\begin{tabular}{llllll}", r"metric & budget & method & difference & $p_{Holm}$ & W/T/L \\ \hline", body, r"\end{tabular}", r"\end{table}"])
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """(metric, budget, method, line): a line for a console and a file from paired_report()."""
+    number = F.format_string("%+.4f [%+.4f, %+.4f]", "point", "low", "high")
+    head = F.concat_ws(" ", "metric", F.col("budget").cast("string"), "method")
+    return report.select("metric", "budget", "method", F.concat(head, F.lit(": "), number, F.format_string(" W/T/L %d/%d/%d", "wins", "ties", "losses")).alias("line"))
+
+
 def text_report(report: DataFrame) -> list[str]:
-    """Lines for a console and a file."""
-    rows = report.orderBy("metric", "budget", "method").collect()
-    return [f"{r['metric']} {'' if r['budget'] is None else r['budget']} {r['method']}: {r['point']:+.4f} [{r['low']:+.4f}, {r['high']:+.4f}] W/T/L {r['wins']}/{r['ties']}/{r['losses']}" for r in rows]
+    """The lines in order: one for each method and budget of a metric, a bounded number."""
+    return [r["line"] for r in report_lines(report).orderBy("metric", "budget", "method").collect()]

@@ -2,11 +2,11 @@
 
 import pytest
 
-from tessera.plans.oracles import ORACLE
-from tessera.plans.queries import QUERIES
+from tessera.plans import inputs, oracles, queries
 from tests.compare import DATA, same
 
 SMALL = str(DATA / "sf0.001")
+QUERIES, ORACLE = queries.QUERIES | inputs.QUERIES, oracles.ORACLE | inputs.ORACLE
 
 
 def test_sql_belongs_to_queries():
