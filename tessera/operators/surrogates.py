@@ -220,6 +220,12 @@ def ready(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[np.isfinite(frame["value"].astype(float))].drop_duplicates("mask").sort_values("mask")
 
 
+def spread(train: DataFrame) -> DataFrame:
+    """`train` dealt by game to as many tasks as shuffles have: fits are long for the few rows they take, so small games
+    must not be put together in one task."""
+    return train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "game_id")
+
+
 def fit_fm(train: DataFrame, rank: int = 4, loss: str = "als", seed: int = 42, **how) -> DataFrame:
     """Factorisation machines by alternating least squares or, with another `loss`, by gradients. One group is the
     training coalitions of one game: a budget, not the data. Games without finite values have no rows."""
@@ -235,7 +241,7 @@ def fit_fm(train: DataFrame, rank: int = 4, loss: str = "als", seed: int = 42, *
         weight = frame["weight"].to_numpy(float) if "weight" in frame else np.ones(len(y))
         return as_coefs(game, *gradient_fit(x, y, masks, weight, rank, loss, seed=seed, **how))
 
-    return train.groupBy("game_id").applyInPandas(run, COEFS)
+    return spread(train).groupBy("game_id").applyInPandas(run, COEFS)
 
 
 def fold_of(masks: np.ndarray, folds: int, seed: int) -> np.ndarray:
@@ -277,7 +283,7 @@ def select_rank(train: DataFrame, ranks: tuple[int, ...] = (1, 2, 4, 8), criteri
             r |= {"fallback": by != criterion, "chosen": r is best}
         return pd.DataFrame(rows)
 
-    return train.groupBy("game_id").applyInPandas(run, "game_id bigint, rank int, r2_util double, r2_delta double, mse_util double, fallback boolean, chosen boolean")
+    return spread(train).groupBy("game_id").applyInPandas(run, "game_id bigint, rank int, r2_util double, r2_delta double, mse_util double, fallback boolean, chosen boolean")
 
 
 # What models give

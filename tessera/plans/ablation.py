@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics, surrogates
@@ -14,6 +15,8 @@ from tessera.operators.exact import bundle, coefficient_pairs
 from tessera.operators.exact import shapley as exact_shapley
 from tessera.operators.surrogates import attributions, fit_fm, main_effects, prune_interactions, pruned_attributions
 
+from tessera.sources.scratch import kept
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -40,41 +43,84 @@ def variants(groups: Sequence[str] = ("sampling", "rank", "pruning")) -> list[Va
     return [v for v in VARIANTS if v.group == "all" or v.group in groups]
 
 
-def fit(train: DataFrame, variant: Variant, ranks: tuple[int, ...] = (1, 2, 4, 8), seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
-    """Coefficients, and the rank log where the rank was selected. All candidate ranks are fitted by game in one pass
-    and those of the chosen one kept."""
-    if variant.rank:
-        return fit_fm(train, variant.rank, seed=seed), None
-    log = surrogates.select_rank(train, ranks, variant.criterion, seed=seed)
-    chosen = log.where("chosen").select("game_id", "rank")
-    fitted = None
-    for r in ranks:
-        one = fit_fm(train.join(chosen.where(F.col("rank") == r).select("game_id"), "game_id", "left_semi"), r, seed=seed)
-        fitted = one if fitted is None else fitted.unionByName(one)
-    return fitted, log
+#: Cells (variants at budgets) that one id holds beside a game's own.
+CELLS = 10_000
+
+
+def cell_id(game: Column, cell: Column) -> Column:
+    """A game in one cell of the grid, as a game of its own."""
+    return game.cast("bigint") * CELLS + cell
+
+
+def chosen_rank(scores: DataFrame, criterion: str) -> DataFrame:
+    """(game_id, rank) from what select_rank() tells of each rank: its own choice, or the best by another criterion."""
+    if criterion == "r2_delta":
+        return scores.where("chosen").select("game_id", "rank")
+    good = F.col(criterion) * (-1 if criterion == "mse_util" else 1)
+    best = scores.groupBy("game_id").agg(F.max(F.struct(F.coalesce(good, F.lit(float("-inf"))).alias("good"), (-F.col("rank")).alias("low"))).alias("b"))
+    return best.select("game_id", (-F.col("b.low")).cast("int").alias("rank"))
+
 
+def grid(utilities: DataFrame, budgets: Sequence[int], chosen: Sequence[Variant] = VARIANTS, seed: int = 42, k: int = 5, ranks: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """Metric rows (qid, metric, method, budget, k, value) of all variants at all budgets against the exact indices.
 
-def score_variant(utilities: DataFrame, variant: Variant, budget: int, seed: int = 42, k: int = 5, ranks: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
-    """Metric rows (qid, metric, method, budget, k, value) of a variant at a budget against the exact indices."""
+    A game in a cell is a game of its own, so each step below is one job for the whole grid: coalitions drawn for each
+    different sampler, ranks chosen for each different sampler and criterion, machines fitted for each rank that any
+    cell uses, and the metrics. What is fitted twice in the grid is fitted once: variants that only prune share their fit.
+    """
+    cells = [(v, budget) for v in chosen for budget in budgets]
+    if len(cells) > CELLS:
+        raise ValueError(f"a grid of more than {CELLS} cells")
     games = utilities.select("game_id", "n_items").distinct()
-    drawn = structured_sample(games, budget, variant.core, variant.neighbours, variant.fill, seed)
-    train = drawn.select("game_id", "mask").join(utilities, ["game_id", "mask"])
-    coefs, _ = fit(train, variant, ranks, seed)
-    phi, pairs = attributions(coefs), coefficient_pairs(coefs)
-    if variant.prune != "none":
-        pruned = prune_interactions(pairs, variant.prune)
-        phi = pruned_attributions(main_effects(coefs), pruned)
-        pairs = pruned.select("game_id", "i", "j", F.when(F.col("kept"), F.col("value")).otherwise(0.0).alias("value"))
-    exact_phi, exact_pairs = bundle(utilities)
-    items = phi.withColumnRenamed("phi", "pred").join(exact_phi.withColumnRenamed("phi", "truth"), ["game_id", "item_idx"])
-    crossed = pairs.select("game_id", (F.col("i") * 64 + F.col("j")).alias("item_idx"), F.col("value").alias("pred")).join(exact_pairs.select("game_id", (F.col("i") * 64 + F.col("j")).alias("item_idx"), F.col("value").alias("truth")), ["game_id", "item_idx"])
+    sampler = lambda v, budget: (budget, v.core, v.neighbours, v.fill)
+    rule = lambda v, budget: (*sampler(v, budget), v.rank or v.criterion)
+    samplers, rules = sorted({sampler(*c) for c in cells}, key=repr), sorted({rule(*c) for c in cells}, key=repr)
+    drawn = [structured_sample(games, s[0], *s[1:], seed=seed).select("game_id", "mask", F.lit(n).alias("sampler")) for n, s in enumerate(samplers)]
+    drawn = reduce(DataFrame.unionByName, drawn).join(utilities, ["game_id", "mask"])
+    train = kept(drawn.select(cell_id(F.col("game_id"), F.col("sampler")).alias("game_id"), "n_items", "mask", "value"), "grid-train")
+    number = {s: n for n, s in enumerate(samplers)}
+    ruled = {r[-1]: [] for r in rules if isinstance(r[-1], str)}
+    for r in rules:
+        if r[-1] in ruled:
+            ruled[r[-1]].append(number[r[:-1]])
+    log = None
+    if ruled:
+        every = sorted({n for own in ruled.values() for n in own})
+        scores = kept(surrogates.select_rank(train.where((F.col("game_id") % CELLS).isin(every)), ranks, seed=seed), "grid-scores")
+        for criterion, own in ruled.items():
+            one = chosen_rank(scores.where((F.col("game_id") % CELLS).isin(own)), criterion).withColumn("by", F.lit(criterion))
+            log = one if log is None else log.unionByName(one)
+    for r in rules:
+        if not isinstance(r[-1], str):
+            one = train.where(F.col("game_id") % CELLS == number[r[:-1]]).select("game_id", F.lit(r[-1]).alias("rank"), F.lit(str(r[-1])).alias("by")).distinct()
+            log = one if log is None else log.unionByName(one)
+    log = kept(log, "grid-ranks")
+    used = sorted({*ranks, *(r[-1] for r in rules if not isinstance(r[-1], str))})
+    fits = [fit_fm(train.join(log.where(F.col("rank") == n).select("game_id").distinct(), "game_id", "left_semi"), n, seed=seed).withColumn("rank", F.lit(n)) for n in used]
+    models = kept(reduce(DataFrame.unionByName, fits).join(log, ["game_id", "rank"]), "grid-models")
+    table = utilities.sparkSession.createDataFrame([(n, number[sampler(*c)], str(rule(*c)[-1]), c[0].name, c[1], c[0].prune) for n, c in enumerate(cells)], "cell int, sampler bigint, by string, method string, budget int, prune string")
+    table = F.broadcast(table)  # a row a cell, CELLS at most
+    of_cell = models.withColumn("sampler", F.col("game_id") % CELLS).join(table, ["sampler", "by"])
+    coefs = kept(of_cell.select(cell_id(F.floor(F.col("game_id") / CELLS), F.col("cell")).alias("game_id"), "subset", "coef", "prune"), "grid-coefs")
+    pairs, effects = coefficient_pairs(coefs), main_effects(coefs)
+    prune = coefs.select("game_id", "prune").distinct()
+    judged = None
+    for mode in sorted({v.prune for v in chosen}):
+        one = prune_interactions(pairs.join(prune.where(F.col("prune") == mode).select("game_id"), "game_id", "left_semi"), mode)
+        judged = one if judged is None else judged.unionByName(one)
+    judged = kept(judged, "grid-pairs")
+    phi = pruned_attributions(effects, judged)
+    exact_phi, exact_pairs = (kept(x, "grid-truth") for x in bundle(utilities))
+    game = F.floor(F.col("game_id") / CELLS)
+    key = (F.col("i") * 64 + F.col("j")).alias("item_idx")
+    items = phi.select("game_id", game.alias("game"), "item_idx", F.col("phi").alias("pred")).join(exact_phi.select(F.col("game_id").alias("game"), "item_idx", F.col("phi").alias("truth")), ["game", "item_idx"])
+    value = F.when(F.col("kept"), F.col("value")).otherwise(0.0)
+    crossed = judged.select("game_id", game.alias("game"), key, value.alias("pred")).join(exact_pairs.select(F.col("game_id").alias("game"), key, F.col("value").alias("truth")), ["game", "item_idx"])
     absolute = crossed.select("game_id", "item_idx", F.abs("pred").alias("pred"), F.abs("truth").alias("truth"))
     got = [(metrics.ndcg(items, ["game_id"], k), "ndcg_items", k), (metrics.ndcg(absolute, ["game_id"], k, shift=False), "ndcg_pairs", k), (metrics.spearman(crossed, ["game_id"]), "spearman_pairs", None)]
-    rows = None
-    for frame, name, at in got:
-        one = frame.where("value is not null").select(F.col("game_id").alias("qid"), F.lit(name).alias("metric"), F.lit(variant.name).alias("method"), F.lit(budget).alias("budget"), F.lit(at).cast("int").alias("k"), "value")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    rows = reduce(DataFrame.unionByName, [frame.where("value is not null").select("game_id", F.lit(name).alias("metric"), F.lit(at).cast("int").alias("k"), "value") for frame, name, at in got])
+    named = rows.withColumn("cell", (F.col("game_id") % CELLS).cast("int")).join(table, "cell")
+    return named.select(game.alias("qid"), "metric", "method", "budget", "k", "value")
 
 
 def rank_oracle(utilities: DataFrame, budget: int, ranks: tuple[int, ...] = (1, 2, 4, 8), k: int = 5, seed: int = 42) -> DataFrame:
@@ -91,16 +137,6 @@ def rank_oracle(utilities: DataFrame, budget: int, ranks: tuple[int, ...] = (1,
     return best.select("game_id", (-F.col("b.low")).alias("rank"), F.col("b.ndcg").alias("ndcg"))
 
 
-def grid(utilities: DataFrame, budgets: Sequence[int], chosen: Sequence[Variant] = VARIANTS, **how) -> DataFrame:
-    """Metric rows of all variants at all budgets."""
-    rows = None
-    for variant in chosen:
-        for budget in budgets:
-            one = score_variant(utilities, variant, budget, **how)
-            rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 def rank_log(utilities: DataFrame, budgets: Sequence[int], seed: int = 42) -> DataFrame:
     """(budget, rank): mean rank that the full system chooses."""
     games, rows = utilities.select("game_id", "n_items").distinct(), None

@@ -15,6 +15,8 @@ from tessera.operators.providers import degree_two
 from tessera.operators.retrieval import nearest
 
 SUPPLIERS, TYPES, SEGMENTS = 8, 5, 5
+#: Kinds of events up to which each day meets all of them.
+MOST_TYPES = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

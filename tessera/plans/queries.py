@@ -11,7 +11,7 @@ from tessera.functions import bits, kernels, text, utilities
 from tessera.operators import coalitions, exact, metrics, permutations, prepare, stats, surrogates
 from tessera.plans import ablation, games
 from tessera.plans.games import table
-from tessera.sources.scratch import scratch_dir
+from tessera.sources.scratch import kept, scratch_dir
 from tessera.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,13 +25,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder, for queries that read it many times over."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes))
 
@@ -123,8 +116,9 @@ def jsd(spark, sf):
     rows = table(spark, sf, "events").groupBy(F.unix_date(F.to_date("ts")).cast("bigint").alias("game_id"), "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
     all_days = rows.groupBy("event_type").agg(F.sum("n").alias("all"))
     days = rows.select("game_id").distinct()
-    grid = F.broadcast(all_days)
-    own = days.join(grid).join(rows, ["game_id", "event_type"], "left")
+    if all_days.count() > games.MOST_TYPES:
+        raise ValueError(f"more than {games.MOST_TYPES} event types")
+    own = days.crossJoin(F.broadcast(all_days)).join(rows, ["game_id", "event_type"], "left")
     day = Window.partitionBy("game_id")
     dists = own.select("game_id", (F.coalesce("n", F.lit(0.0)) / F.sum(F.coalesce("n", F.lit(0.0))).over(day)).alias("p"), (F.col("all") / F.sum("all").over(day)).alias("q"))
     return rounded(exact.jensen_shannon(dists, ["game_id"]).withColumn("utility", utilities.divergence_utility(F.col("jsd"))))
@@ -426,8 +420,8 @@ def prune_mad(spark, sf):
 
 @query
 def ablation_grid(spark, sf):
-    two = [v for v in ablation.VARIANTS if v.name in ("full", "no neighbours", "pruned by share")]
-    return rounded(ablation.grid(kept(games.event_game(spark, sf), "utilities"), [BUDGET], two, ranks=(1, 2)), 3)
+    """All variants at a budget."""
+    return rounded(ablation.grid(kept(games.event_game(spark, sf), "utilities"), [BUDGET]), 3)
 
 
 # Text and preparation
