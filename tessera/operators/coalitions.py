@@ -213,12 +213,16 @@ def flip_expand(coalitions: DataFrame, seed: int = 42) -> DataFrame:
     return coalitions.select("game_id", "n_items", F.explode(both).alias("mask")).distinct()
 
 
-def permutations(games: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """`count` orders of the items a game, and the coalition before each item: iteration, position, item_idx, mask_before."""
+def orders(games: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """(game_id, n_items, iteration, order): `count` orders of the items a game, each an array."""
     drawn = games.select("game_id", "n_items", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("iteration"))
     ranked = F.array_sort(F.transform(bits.items(F.col("n_items")), lambda i: F.struct(draw(f"{seed}:order", F.col("game_id"), F.col("iteration"), i).alias("h"), i.alias("i"))))
-    order = drawn.select("game_id", "n_items", "iteration", F.transform(ranked, lambda x: x["i"]).alias("order"))
-    rows = order.select("*", F.posexplode("order").alias("position", "item_idx"))
+    return drawn.select("game_id", "n_items", "iteration", F.transform(ranked, lambda x: x["i"]).alias("order"))
+
+
+def permutations(games: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """`count` orders of the items a game, and the coalition before each item: iteration, position, item_idx, mask_before."""
+    rows = orders(games, count, seed).select("*", F.posexplode("order").alias("position", "item_idx"))
     before = F.aggregate(F.slice(F.col("order"), F.lit(1), F.col("position")), F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(bits.bit(i)))
     return rows.select("game_id", "n_items", "iteration", "position", "item_idx", before.alias("mask_before"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import bits, kernels
-from tessera.operators.coalitions import permutations
+from tessera.operators.coalitions import orders, permutations
 from tessera.operators.exact import finite
 
 
@@ -38,8 +38,7 @@ def truncated_shapley(games: DataFrame, utilities: DataFrame, count: int, tolera
     coalitions seen before are free. Each step depends on those before it, so a game is one group: at most 2**n
     utilities. A missing or infinite utility ends its order.
     """
-    orders = permutations(games, count, seed).groupBy("game_id", "n_items", "iteration").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "item_idx"))), lambda x: x["item_idx"]).alias("order"))
-    orders = orders.groupBy("game_id", "n_items").agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "order"))), lambda x: x["order"]).alias("orders"))
+    walks = orders(games, count, seed).groupBy("game_id", "n_items").agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "order"))), lambda x: x["order"]).alias("orders"))
     known = utilities.where(finite(F.col("value")).isNotNull()).groupBy("game_id").agg(F.collect_list("mask").alias("masks"), F.collect_list("value").alias("values"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +46,7 @@ def truncated_shapley(games: DataFrame, utilities: DataFrame, count: int, tolera
             for row in frame.itertuples():
                 yield walk(row.game_id, int(row.n_items), row.orders, dict(zip(row.masks, row.values, strict=True)), tolerance, budget)
 
-    return orders.join(known, "game_id").mapInPandas(run, "game_id bigint, item_idx int, phi double, evaluations bigint")
+    return walks.join(known, "game_id").mapInPandas(run, "game_id bigint, item_idx int, phi double, evaluations bigint")
 
 
 def walk(game: int, n: int, orders, value: dict[int, float], tolerance: float, budget: int | None) -> pd.DataFrame:

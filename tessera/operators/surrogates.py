@@ -171,10 +171,14 @@ def r2(y: np.ndarray, p: np.ndarray) -> float:
     return float(1 - ((y - p) ** 2).sum() / spread) if spread > 0 else float("nan")
 
 
-def gradient_fit(x: np.ndarray, y: np.ndarray, masks: np.ndarray, weight: np.ndarray, rank: int, loss: str, steps: int = 1500, rate: float = 0.02, l2: float = 1e-4, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray]:
+def gradient_fit(x: np.ndarray, y: np.ndarray, masks: np.ndarray, weight: np.ndarray, rank: int, loss: str, steps: int = 1500, rate: float = 0.02, l2: float = 1e-4, l1: float = 0.0, batch: int | None = None, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray]:
     """The same model by Adam, from the linear fit on. Losses: "utility" (weighted squares), "delta" (squares of the differences of
     neighbours, weighted by their size and weight), "mixed" (delta weighted by size over its 70th percentile, plus
-    utility), "logistic" (order of neighbours, plus utility)."""
+    utility), "r2" (what the differences leave unexplained, plus utility), "logistic" (order of neighbours, plus utility).
+    `l1` and `l2` penalise all but the intercept; with `batch` a step sees so many coalitions for its utility part, in
+    shuffled turns."""
+    if loss not in ("utility", "delta", "mixed", "r2", "logistic"):
+        raise ValueError(f"unknown loss {loss!r}")
     rng = np.random.default_rng(seed)
     n = x.shape[1]
     theta = np.concatenate([np.linalg.lstsq(np.c_[np.ones(len(y)), x], y, rcond=None)[0], rng.normal(0, 0.1, n * rank)])
@@ -184,23 +188,31 @@ def gradient_fit(x: np.ndarray, y: np.ndarray, masks: np.ndarray, weight: np.nda
     size = np.abs(delta) * weight[pairs[:, 0]] if loss == "delta" else 1 + np.abs(delta) / (np.quantile(np.abs(delta), 0.7) + 1e-12) if len(delta) else delta
     size = size / size.mean() if len(size) and size.mean() > 0 else np.ones(len(delta))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    spread = ((delta - delta.mean()) ** 2).sum() if len(delta) else 0.0
+    turn = np.zeros(0, int)
     for t in range(1, steps + 1):
         w0, w, v = theta[0], theta[1 : n + 1], theta[n + 1 :].reshape(n, rank)
         p = fm_predict(x, w0, w, v)
         g = np.zeros(len(y))
         if loss != "delta" or not len(pairs):
-            g += 2 * weight * (p - y) / len(y)
+            own = slice(None)
+            if batch is not None and batch < len(y):
+                turn = turn if len(turn) >= batch else np.r_[turn, rng.permutation(len(y))]
+                own, turn = turn[:batch], turn[batch:]
+            np.add.at(g, own, (2 * weight * (p - y))[own] / len(y[own]))
         if loss != "utility" and len(pairs):
             d = p[pairs[:, 1]] - p[pairs[:, 0]]
             if loss == "logistic":
                 s = np.sign(delta)
                 gd = -s / (1 + np.exp(np.clip(s * d, -40, 40))) / len(d)
+            elif loss == "r2":
+                gd = 2 * (d - delta) / max(spread, 1e-12)
             else:
                 gd = 2 * size * (d - delta) / len(d)
             np.add.at(g, pairs[:, 1], gd)
             np.add.at(g, pairs[:, 0], -gd)
         q = x @ v
-        grad = np.concatenate([[g.sum()], x.T @ g, ((x * g[:, None]).T @ q - ((x**2).T @ g)[:, None] * v).ravel()]) + 2 * l2 * np.r_[0.0, theta[1:]]
+        grad = np.concatenate([[g.sum()], x.T @ g, ((x * g[:, None]).T @ q - ((x**2).T @ g)[:, None] * v).ravel()]) + 2 * l2 * np.r_[0.0, theta[1:]] + l1 * np.r_[0.0, np.sign(theta[1:])]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta = theta - rate * (1 - t / (steps + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     if loss == "delta" and len(pairs):  # differences don't settle the intercept

@@ -30,7 +30,7 @@ class Variant:
     prune: str = "none"
 
 
-# The variants compared.
+#: The variants compared.
 VARIANTS = (
     Variant("full", "all"), Variant("no core", "sampling", core=False), Variant("no neighbours", "sampling", neighbours=False), Variant("uniform fill", "sampling", fill="uniform"),
     Variant("uniform only", "sampling", core=False, neighbours=False, fill="uniform"), Variant("size-uniform fill", "sampling", fill="size_uniform"), Variant("rank by utility", "rank", criterion="r2_util"),

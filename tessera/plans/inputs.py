@@ -465,7 +465,8 @@ def machine(loss: str, within: float, **how) -> core.Query:
 
 QUERIES |= {"fm_closed_form": machine("als", 0.05, l2_w=1e-6, l2_v=1e-4)}
 QUERIES |= {name: machine(loss, 0.1, steps=1500, rate=0.01) for name, loss in (("fm_gradient", "mixed"), ("fm_utility_loss", "utility"), ("fm_delta_loss", "delta"))}
-ORACLE |= dict.fromkeys(("fm_closed_form", "fm_gradient", "fm_utility_loss", "fm_delta_loss"), o.ORACLE["fm_attributions"])
+QUERIES |= {"fm_batches": machine("utility", 0.1, steps=2000, rate=0.01, batch=16, l1=1e-5), "fm_r2_loss": machine("r2", 0.1, steps=1500, rate=0.01), "fm_logistic_loss": machine("logistic", 0.3, steps=1500, rate=0.01)}
+ORACLE |= dict.fromkeys(("fm_closed_form", "fm_gradient", "fm_utility_loss", "fm_delta_loss", "fm_batches", "fm_r2_loss", "fm_logistic_loss"), o.ORACLE["fm_attributions"])
 
 
 def ridge_hat(n: int, ridge: float) -> str:
