@@ -130,7 +130,7 @@ def test_containment_recall_by_size_range(spark):
     """Items that documents contain in just 0.8 of their shingles or a little more, for every range of sizes."""
     rng = np.random.default_rng(8)
     items, docs, want = [], [], set()
-    for k, size in enumerate([4, 6, 12, 20, 30, 40, 60, 90, 130, 200, 400, 700, 1200] * 6):
+    for k, size in enumerate([5, 6, 12, 20, 30, 40, 60, 90, 130, 200, 400, 700, 1200] * 6):
         words = [f"i{k}w{j}" for j in range(size)]
         items.append((k, " ".join(words)))
         shingles = max(1, size - 4)
