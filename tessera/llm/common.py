@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,18 @@ def with_values(rows: DataFrame, values: DataFrame, on: list[str], together: int
     return left.join(right, [*on, part], "left").drop(part)
 
 
+#: What operators keep in a Python worker from task to task, and how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(owner: str) -> None:
+    """At the start of a task: a Python worker serves many operators in turn, so it lets go of what others have kept in it."""
+    for name, clear in KEPT.items():
+        if name != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
 def words(text: Column, fold: bool = True) -> Column:
     """Array of the words of a text; none for null. `fold`: A-Z in lower case."""
     text = F.coalesce(text, F.lit(""))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder, scratch
+from tessera.llm.common import KEPT, remainder, scratch, take_turn
 from tessera.llm.warc import file_system
 
 U, I = np.uint64, np.int64
@@ -292,8 +292,17 @@ class ShardFiles:
 # Counting
 
 
+def let_go() -> None:
+    for kept in (known_words, opened, tables):
+        kept.cache_clear()
+
+
+KEPT["lm"] = let_go
+
+
 def count_words(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches):
+        take_turn("lm")
         held, n = [], 0
         for lot in lots(batches, 0):
             held.append(lot.found)
@@ -500,6 +509,7 @@ def score(docs: DataFrame, about: dict) -> DataFrame:
     told = json.dumps(about)
 
     def run(batches):
+        take_turn("lm")
         model = opened(told)
         n, v = about["tokens"], about["words"]
         part, last = np.zeros(4), None

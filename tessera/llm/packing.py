@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import KEPT, take_turn, written
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
@@ -113,10 +113,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+KEPT["packing"] = word_ids.cache_clear
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """Each document's ids, `end_id` last, cut at multiples of `window`. A null text counts as empty: one id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("packing")
         known, end = word_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

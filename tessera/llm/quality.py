@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, remainder
+from tessera.llm.common import free, remainder, take_turn
 from tessera.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 12, 4, 8, 32, 16
@@ -136,6 +137,7 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
     share of label 1 in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("quality")
         for batch in batches:
             found = np.fromiter((net.score(x.as_py()) for x in batch.column(1)), float, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
@@ -164,8 +166,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **sampl
     net = trained(docs, labels, **sample)
 
     @F.pandas_udf("double")
-    def score(text):
-        return text.map(lambda x: net.score(x))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_turn("quality")
+        for text in parts:
+            yield text.map(net.score)
 
     names = list(docs.columns)
     own = free(names, "score")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder
+from tessera.llm.common import remainder, take_turn
 from tessera.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 WINDOW, LEVEL = 64, 3
@@ -133,6 +133,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3
     by, held = sample.get("by", 4), sample.get("held", 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity")
         for batch in batches:
             found = np.fromiter((model.score(x.as_py()) for x in batch.column(1)), float, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
