@@ -1,5 +1,6 @@
 """Axioms and closed forms on small random games, and edge cases."""
 
+import itertools
 import math
 import random
 
@@ -168,22 +169,77 @@ def test_undefined_metrics_are_null(spark):
     assert one(metrics.recall_at(scores(spark, [3, 2, 1], [1, 1, 1]), ["q"], 1)) == pytest.approx(1 / 3)
 
 
+def plain_p(d, exact_up_to=50):
+    """p of differences by listing all signs, or by the normal approximation."""
+    d = d[d != 0]
+    size = np.abs(d)
+    ranks = np.array([(size < x).sum() + ((size == x).sum() + 1) / 2 for x in size])
+    low = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+    ties = sum(float((size == x).sum()) ** 3 - (size == x).sum() for x in np.unique(size))
+    return stats.signed_rank_p(len(d), low, ties, exact_up_to), low, ranks
+
+
 def test_signed_rank_p():
-    assert math.isnan(stats.signed_rank_p(np.array([1.0, 2, 3, 4, 5])))
-    assert stats.signed_rank_p(np.arange(1.0, 7)) == pytest.approx(2 / 64)
-    assert stats.signed_rank_p(np.array([1.0, -2, 3, -4, 5, -6])) > 0.5
-    rng = np.random.default_rng(0)
-    x = rng.normal(0.3, 1, 60)
-    assert stats.signed_rank_p(x, 60) == pytest.approx(stats.signed_rank_p(x, 0), abs=0.01)
-
-
-def test_bootstrap():
-    assert all(map(math.isnan, stats.bootstrap(np.array([]))))
-    assert stats.bootstrap(np.array([2.0, np.nan])) == (2.0, 2.0, 2.0)
-    x = np.random.default_rng(1).normal(0, 1, 200)
-    point, low, high = stats.bootstrap(x)
-    assert low < point < high and high - low == pytest.approx(4 * 1.96 / 2 * 1 / math.sqrt(200), rel=0.25)
-    assert stats.bootstrap(x, block=1000)[0] == point
+    assert math.isnan(plain_p(np.array([1.0, 2, 3, 4, 5]))[0])
+    assert plain_p(np.arange(1.0, 7))[0] == pytest.approx(2 / 64)
+    d = np.array([1.0, -2, 3, 4, -5, 6, 7.5])
+    p, low, ranks = plain_p(d)
+    sums = [min(sum(r for r, s in zip(ranks, signs, strict=True) if s), sum(r for r, s in zip(ranks, signs, strict=True) if not s)) for signs in itertools.product([0, 1], repeat=len(d))]
+    assert p == pytest.approx(np.mean([s <= low for s in sums]))
+    x = np.random.default_rng(0).normal(0.3, 1, 60)
+    assert plain_p(x, 60)[0] == pytest.approx(plain_p(x, 0)[0], abs=0.01)
+
+
+def cells(spark, values, parts):
+    rows = [(k, "m", name, None, v) for name, vs in values.items() for k, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "qid bigint, metric string, method string, budget int, value double").repartition(parts)
+
+
+def test_bootstrap(spark):
+    x = np.random.default_rng(1).normal(0, 1, 300)
+    values = {"none": [float("nan")], "one": [2.0, float("inf")], "many": x.tolist(), "same": [3.0] * 20}
+    got = {r["method"]: r for r in stats.bootstrap_ci(cells(spark, values, 3), stats.CELL, times=4000).collect()}
+    assert got["none"]["n"] == 0 and got["none"]["point"] is None and (got["one"]["low"], got["one"]["high"], got["one"]["n"]) == (2.0, 2.0, 1)
+    assert got["same"]["low"] == pytest.approx(3) and got["same"]["high"] == pytest.approx(3)
+    many = got["many"]
+    assert many["point"] == pytest.approx(x.mean()) and many["low"] < many["point"] < many["high"]
+    draws = np.array([np.random.default_rng(k).choice(x, 300).mean() for k in range(4000)])
+    assert (many["low"], many["high"]) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.02)
+    again = {r["method"]: r for r in stats.bootstrap_ci(cells(spark, values, 11), stats.CELL, times=4000).collect()}
+    assert again["many"]["low"] == pytest.approx(many["low"]) and again["many"]["high"] == pytest.approx(many["high"])
+    deviation = {r["method"]: r for r in stats.bootstrap_ci(cells(spark, values, 2), stats.CELL, stat="std", times=500).collect()}["many"]
+    assert deviation["point"] == pytest.approx(x.std()) and deviation["low"] < x.std() < deviation["high"]
+
+
+def test_utilities_in_conflict(spark, tmp_path):
+    from tessera.sources import tables
+
+    rows = [(1, "p", 2, 0, 1.5, "raw"), (1, "p", 2, 0, float("-inf"), "raw"), (1, "p", 2, 1, 1.0, "raw")]
+    spark.createDataFrame(rows, tables.UTILITIES).write.parquet(str(tmp_path / "a"))
+    assert {r["mask"]: r["value"] for r in tables.load_utilities(spark, str(tmp_path / "a")).collect()} == {0: 1.5, 1: 1.0}
+    spark.createDataFrame([*rows, (1, "p", 2, 1, 7.0, "raw")], tables.UTILITIES).write.parquet(str(tmp_path / "b"))
+    with pytest.raises(Exception, match="two finite values"):
+        tables.load_utilities(spark, str(tmp_path / "b")).collect()
+
+
+def test_neighbours_in_blocks(spark):
+    from tessera.operators.retrieval import nearest
+
+    v = spark.createDataFrame([(k, k % 3, [float(k % 7), float(k * k % 11)]) for k in range(60)], "vec_id bigint, label int, embedding array<double>")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, nearest(v, q, 4).select("query_id", "vec_id", "place").collect()))
+    assert whole == sorted(map(tuple, nearest(v, q, 4, block=2).select("query_id", "vec_id", "place").collect())) and len(whole) == 24
+
+
+def test_wide_games_are_not_listed(spark):
+    sizes = spark.createDataFrame([(1, 60), (2, 21), (3, 4)], "game_id bigint, n_items int")
+    for method in ("uniform", "kernelshap", "bf", "bf_uniform", "bf_kernelshap"):
+        rows = coalitions.sample(sizes, 50, method).collect()
+        for game, n in ((1, 60), (2, 21), (3, 4)):
+            masks = [r["mask"] for r in rows if r["game_id"] == game]
+            assert len(masks) == len(set(masks)) == min(50, 2**n) and all(0 <= m < 2**n for m in masks)
+    with pytest.raises(Exception, match="more than 60 items"):
+        coalitions.sample(spark.createDataFrame([(1, 61)], "game_id bigint, n_items int"), 5).collect()
 
 
 def test_detectable_effect():
