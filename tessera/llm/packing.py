@@ -32,9 +32,10 @@ class WordIds:
     comma is a piece of its own, and the vocabulary folds case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -70,7 +71,7 @@ class WordIds:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         own = set(chain.from_iterable(split))
         new = own.difference(self.known)
-        if new and len(self.known) + len(new) > CACHED_WORDS:
+        if new and len(self.known) + len(new) > self.cached:
             self.known, self.older = {"": b""}, self.known
             new = own - {""}
         again = new & self.older.keys()
@@ -109,19 +110,19 @@ def lots(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, cached: int) -> WordIds:
+    return WordIds(path, cached)
 
 
 KEPT["packing"] = word_ids.cache_clear
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Each document's ids, `end_id` last, cut at multiples of `window`. A null text counts as empty: one id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("packing")
-        known, end = word_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        known, end = word_ids(tokenizer, cached_words), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             whole = [b""] * batch.num_rows
@@ -187,7 +188,7 @@ def fill(lengths: Iterable[int], window: int) -> list[list[int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Sequences of at most `window` ids from the documents; a row for each piece.
 
     Pieces are dealt by a hash of their own content into groups of about `group_pieces`, whose lengths alone are
@@ -195,6 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, g
     that are all alike, which are counted first and told apart by their number. Where a piece goes depends on no
     partition. A group leaves at most a few windows with room. Rows that repeat, even with the same id, are documents
     of their own; null ids stay null; no documents give no rows. Columns but doc_id and text aren't read.
+    `cached_words` is what a worker's memory is traded for speed with; it changes no row.
     """
 
     def fit(frame):
@@ -207,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, g
         return frame.drop(columns=["salt", "copy"]).assign(sequence_id=sequence, offset=offset)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    alike = written(pieces(docs, tokenizer, window, end_id).groupBy(*names).agg(F.count(F.lit(1)).alias("copies")), "pieces")
+    alike = written(pieces(docs, tokenizer, window, end_id, cached_words).groupBy(*names).agg(F.count(F.lit(1)).alias("copies")), "pieces")
     groups = max(1, -(-(alike.agg(F.sum("copies")).first()[0] or 0) // group_pieces))
     each = alike.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
     salt = F.pmod(F.xxhash64(*names, "copy"), F.lit(groups))

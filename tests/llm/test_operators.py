@@ -136,9 +136,8 @@ def test_closest_fill_is_optimal():
         assert sum(n * x for x, n in picked) == best and all(n <= lengths.count(x) for x, n in picked)
 
 
-def test_word_cache_generations(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
-    known, tokenizer = packing.WordIds(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
+def test_word_cache_generations():
+    known, tokenizer = packing.WordIds(queries.TOKENIZER, 50), Tokenizer.from_file(queries.TOKENIZER)
     for k in range(12):
         text = " ".join(f"Word{j % (20 + k)}, İnka{j}. x{j}y" for j in range(k, k + 30))
         assert known.of([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
