@@ -278,6 +278,7 @@ s AS (SELECT cx.conv_id, cx.turn, sum(least(cx.c, cy.c)) AS shared FROM cx JOIN
     "wilcoxon": WILCOXON,
     "agreement_matrix": AGREE,
     "holm": f"WITH t AS (SELECT n_nationkey, n_regionkey, (n_nationkey * 7 % 25 + 1) / 250.0::DOUBLE AS p FROM nation), s AS (SELECT *, (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p) + 1) * p AS step FROM t) SELECT n_nationkey, n_regionkey, {r('p', 'p')}, {r('least(1, max(step) OVER (PARTITION BY n_regionkey ORDER BY p ROWS UNBOUNDED PRECEDING))', 'p_holm')} FROM s",
+    "detectable_effect": f"SELECT {r('2.8015852181104035 * 0.15::DOUBLE / sqrt(100)', 'effect')}, ceil(pow(2.8015852181104035 * 0.15::DOUBLE / 0.042::DOUBLE, 2))::INT AS pairs",
     "paired_correlation": f"WITH {AGAINST} SELECT metric, budget, method, CASE WHEN count(*) > 1 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) + 0.0 END AS value FROM pr GROUP BY 1, 2, 3",
     "budget_table": f"WITH {METRIC} SELECT metric, method, {r('avg(value) FILTER (WHERE budget = 1995)', 'y1995', 6)}, {r('avg(value) FILTER (WHERE budget = 1996)', 'y1996', 6)}, {r('avg(value) FILTER (WHERE budget = 1997)', 'y1997', 6)} FROM mr GROUP BY 1, 2",
     "minmax_scaled": f"{pair_scores()}, m AS (SELECT game_id, item_idx, pred, truth, least(min(pred) OVER w, min(truth) OVER w) AS lo, greatest(max(pred) OVER w, max(truth) OVER w) AS hi FROM sc WINDOW w AS (PARTITION BY game_id)) SELECT game_id, item_idx, {r('CASE WHEN hi > lo THEN (pred - lo) / (hi - lo) ELSE 0 END', 'pred')}, {r('CASE WHEN hi > lo THEN (truth - lo) / (hi - lo) ELSE 0 END', 'truth')} FROM m",
