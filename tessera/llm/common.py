@@ -91,6 +91,16 @@ def take_turn(owner: str) -> None:
     pa.default_memory_pool().release_unused()
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows for each batch that goes to Python, where the session has Spark's own number: 10,000 texts at once take
+    some hundred MB of an executor beside its heap, in the JVM and once more in the worker."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def words(text: Column, fold: bool = True) -> Column:
     """Array of the words of a text; none for null. `fold`: A-Z in lower case."""
     text = F.coalesce(text, F.lit(""))

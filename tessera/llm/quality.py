@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, remainder, take_turn
+from tessera.llm.common import free, remainder, small_batches, take_turn
 from tessera.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 12, 4, 8, 32, 16
@@ -164,6 +164,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **sampl
     rows stay or go together; no rows give none; without labels every score is 0.5.
     """
     net = trained(docs, labels, **sample)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
