@@ -49,6 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """`df` as a table in the shared folder that is bucketed by `keys`: joins on them don't shuffle it again."""
+    spark = df.sparkSession
+    path, n = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(label)
+    return spark.table(label)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, lines, lm, packing, quality, rules, simhash, toxicity, warc, wrappers
+from tessera.llm import decontaminate, exact, lines, lm, packing, quality, rules, simhash, toxicity, tries, vectors, warc, wrappers
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,7 +58,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_extract, op3_pack, op4_lm, op5_simhash, op6_warc, op7_lines, op8_rules, op9_toxicity, op10_decontaminate)}
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (op1_quality, op2_extract, op3_pack, op4_lm, op5_simhash, op6_warc, op7_lines, op8_rules, op9_toxicity, op10_decontaminate, op11_vectors, op12_exact, op13_tries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 BLANK = r"[\x20\x09-\x0D]+"
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,4 +141,45 @@ SELECT doc_id, sh.item_id, item_shingles, count(*) AS shared, count(*) / item_sh
 FROM ds JOIN sh ON ds.s = sh.s JOIN size ON sh.item_id IS NOT DISTINCT FROM size.item_id AND sh.text = size.text
 GROUP BY doc_id, ds.text, sh.item_id, sh.text, item_shingles HAVING count(*) >= ceil(0.8::DOUBLE * item_shingles - 1e-9)"""
 
-ORACLE: dict[str, str] = {"op6_warc": WARC_SQL, "op7_lines": LINES_SQL, "op8_rules": RULES_SQL, "op10_decontaminate": CONTAINED_SQL}
+EXACT_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '{BLANK}', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER same = 1 AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, rid)"""
+
+
+def vectors_sql(parts: int = vectors.PARTS, entries: int = vectors.ENTRIES, rounds: int = vectors.ROUNDS, scale: int = vectors.SCALE) -> str:
+    """Assignments and means of all rounds, one after the other; a distance and its entry are one number, so ties go low."""
+    away = "list_sum([(x[k] - c.x[k]) * (x[k] - c.x[k]) for k in range(1, len(x) + 1)])"
+    steps = [
+        f"kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)",
+        f"part AS (SELECT rid, p, v[1 + p * len(v) // {parts}:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p))",
+        f"c0 AS (SELECT p, rid - 1 AS e, x FROM part WHERE rid <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT rid, p, any_value(x) AS x, min({away} * {entries} + e) AS best FROM (SELECT part.rid, part.p, part.x AS x, c.e, c FROM part JOIN c{k} c ON c.p = part.p) GROUP BY rid, p)")
+        if k < rounds:
+            steps.append(f"s{k} AS (SELECT p, best % {entries} AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 1 + (SELECT max(len(x)) FROM part)) r(i) GROUP BY ALL)")
+            steps.append(f"c{k + 1} AS (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY p, e) m USING (p, e))")
+    steps.append(f"done AS (SELECT rid, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rid)")
+    steps.append(f"book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN done USING (rid), book"
+
+
+#: crc32 of the decimal id, bit by bit.
+CRC_SQL = "xor(4294967295, list_reduce([4294967295] || [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')], lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT for k in range(8)], lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"
+TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rank FROM conversations WHERE conv_id IS NOT NULL),
+info AS (SELECT conv_id, {CRC_SQL} % {tries.HEAD} AS h, conv_id - conv_id % {tries.BLOCK} AS base FROM (SELECT DISTINCT conv_id FROM t)),
+moved AS (SELECT i.conv_id, 0 AS own, rank, role, text FROM info i JOIN t ON t.conv_id = i.base AND rank <= h UNION ALL SELECT conv_id, 1, rank, role, text FROM info i JOIN t USING (conv_id) WHERE rank > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, rank) AS depth, md5(length(role) || ' ' || role || text) AS said, len([w for w in string_split_regex(text, '{BLANK}') if w <> '']) AS words FROM moved),
+p AS (SELECT conv_id, depth, words, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM info),
+node AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM p GROUP BY k, depth),
+up AS (SELECT n.k, q.k AS above, parent.conv_id AS parent_conv_id FROM node n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1 LEFT JOIN node parent ON parent.k = q.k),
+below AS (SELECT above AS k, count(*) AS n FROM up WHERE above IS NOT NULL GROUP BY above),
+own AS (SELECT node.*, coalesce(below.n, 0) AS n_children, (n_convs - 1) * words AS saved FROM node LEFT JOIN below USING (k)),
+under AS (SELECT p.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM own JOIN p ON p.conv_id = own.conv_id AND p.depth <= own.depth GROUP BY p.k),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, k FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY k)
+SELECT own.conv_id, own.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN up USING (k) JOIN under USING (k) LEFT JOIN ends USING (k)"""
+
+ORACLE: dict[str, str] = {"op11_vectors": vectors_sql(), "op12_exact": EXACT_SQL, "op13_tries": TRIE_SQL, "op6_warc": WARC_SQL, "op7_lines": LINES_SQL, "op8_rules": RULES_SQL, "op10_decontaminate": CONTAINED_SQL}
