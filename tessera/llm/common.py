@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def let_go(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.replace("file:///", "file:/").startswith(shared_dir(spark).replace("file:///", "file:/")):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """`df` as a table in the shared folder that is bucketed by `keys`: joins on them don't shuffle it again."""
     spark = df.sparkSession
@@ -103,11 +114,23 @@ def take_turn(owner: str) -> None:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Fewer rows for each batch that goes to Python, where the session has Spark's own number: 10,000 texts at once take
-    some hundred MB of an executor beside its heap, in the JVM and once more in the worker."""
-    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+def fewer_rows(spark: SparkSession, rows: int = 500) -> str:
+    """From now on fewer rows for each batch that goes to Python, where the session has Spark's own number: 10,000 texts at
+    once take some hundred MB of an executor beside its heap, in the JVM and once more in the worker. Gives the number before."""
+    before = spark.conf.get(BATCH_ROWS, "10000")
+    if before == "10000":
         spark.conf.set(BATCH_ROWS, str(rows))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """fewer_rows() for the jobs that run meanwhile."""
+    before = fewer_rows(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def words(text: Column, fold: bool = True) -> Column:

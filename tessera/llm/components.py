@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import let_go, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     `edges` has bigint columns a and b. Each round runs a large-star and a small-star step: joins with the
     minimum of a node's neighbours, found by a partial aggregate, so a node with very many neighbours is no task's
-    group. Rounds end when the edges are those of stars already. Every round is checkpointed in the shared folder.
-    Loops are ignored; no edges give no rows.
+    group. Rounds end when the edges are those of stars already. Every round is a table in the shared folder, which
+    goes when the next one is there. Loops are ignored; no edges give no rows.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
     mark = None
     for _ in range(most_rounds):
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
@@ -29,5 +28,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
-        now = small.select("e.a", "e.b").where("a <> b").distinct().checkpoint()
+        before, now = now, written(small.select("e.a", "e.b").where("a <> b").distinct(), "component-edges")
+        let_go(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, remainder, small_batches, take_turn
+from tessera.llm.common import fewer_rows, free, remainder, take_turn
 from tessera.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 12, 4, 8, 32, 16
@@ -161,10 +161,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **sampl
     """The rows of `docs` whose score is `least` or more, with their columns as they are, whatever they are called.
 
     Null and empty texts are scored like any other, by the share of label 1; a score of just `least` stays; repeated
-    rows stay or go together; no rows give none; without labels every score is 0.5.
+    rows stay or go together; no rows give none; without labels every score is 0.5. Rows are scored when the result is
+    read, so the session keeps the smaller batches to Python that this sets.
     """
     net = trained(docs, labels, **sample)
-    small_batches(docs.sparkSession)
+    fewer_rows(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,10 +8,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, take_turn, written
+from tessera.llm.common import take_turn, written
 from tessera.llm.components import components
 
 BITS = 64
@@ -134,19 +134,3 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, seed: int
     found = components(links(nodes, most, n_pivots, paired))
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with one row of each near-duplicate group, that with the smallest doc_id, and the columns as they are.
-
-    Of rows that share an id the one with the smallest text stays. Rows without an id can't be named by one: all stay.
-    """
-    names = list(docs.columns)
-    kept_id, place = free(names, "kept"), free(names, "place")
-    groups = near_duplicates(docs, **how)
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(ids, F.col("doc_id") == F.col(kept_id), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*(F.col(f"`{c}`") for c in names))))
-    kept = kept.withColumn(place, first).where(F.col(place) == 1)
-    return kept.select(*(F.col(f"`{c}`") for c in names)).unionByName(docs.where(F.col("doc_id").isNull()))

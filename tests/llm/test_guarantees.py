@@ -102,7 +102,7 @@ def test_columns_of_any_name_stay_as_they_are(spark):
     base = hostile(spark).select("doc_id", "text", "lang", "source", "n_chars")
     docs = base.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASH))
     truth, bench = labels(spark), spark.createDataFrame([(1, "Two words")], "item_id bigint, text string")
-    for stage in (lambda d: quality.keep_quality(d, truth, least=0.0), lines.without_boilerplate, simhash.keep_one, near.keep_one, lambda d: decontaminate.decontaminate(d, bench)):
+    for stage in (lambda d: quality.keep_quality(d, truth, least=0.0), lines.without_boilerplate, near.keep_one, lambda d: decontaminate.decontaminate(d, bench)):
         got = stage(docs)
         assert got.columns == docs.columns
         rows = got.collect()

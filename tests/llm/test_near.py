@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,5 +64,28 @@ def test_stage_catches_what_fingerprints_miss(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [205]
 
 
+def test_wide_sketches_never_discard_a_link():
+    """Sketches differ in as many bits as sets in shingles at most, whatever their lengths; unlike sets differ in many."""
+    rng = np.random.default_rng(7)
+    for n, m, common in ((2000, 2000, 1900), (4097, 4000, 3800), (5000, 9000, 4000), (600, 700, 0)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[:common], rng.integers(0, 1 << 63, m - common, dtype=np.uint64)])
+        apart = near.parted(near.wide_sketch(x), near.wide_sketch(y))
+        assert apart <= n + m - 2 * common
+        assert apart > (n + m) / 9 or common >= 0.8 * min(n, m)
+    assert near.wide_sketch(x[:512]) is None
+
+
+def test_map_columns_repeated_rows_and_the_session(spark):
+    """Rows are told apart by their maps too, of rows alike to the last column one stays, and the session's batches are as before."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(1, "one two three four five six", {"a": 1}), (1, "one two three four five six", {"a": 2}), *[(2, "seven eight", {"b": 3})] * 50, (3, "nine", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more map<string, int>").repartition(7)
+    got = near.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 3]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_empty_table(spark):
     assert near.keep_one(hostile(spark).limit(0)).count() == 0

@@ -259,16 +259,6 @@ def test_links_of_near_fingerprints(spark, paired):
     assert [got.get(k, k) for k in range(len(prints))] == [least[g] for g in group]
 
 
-def test_near_dedup_keeps_one_of_each(spark):
-    docs = hostile(spark)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    rows = kept.collect()
-    assert Counter(r["doc_id"] for r in rows if r["doc_id"] is not None).most_common(1)[0][1] == 1
-    assert {0, 3, 4, 5, 7, 8, None} == {r["doc_id"] for r in rows}
-    assert simhash.keep_one(docs.limit(0)).count() == 0
-
-
 # Archives
 
 
