@@ -65,8 +65,10 @@ def subset_sums(rows: DataFrame, column: str, alternate: bool = False, most_item
 
     Goes over the items `step` at a time: each row adds itself to the masks that have more of these items. So there are
     n / step shuffles of some 2**n rows with partial sums, whatever the number of pairs of a mask and a subset. Masks
-    that are absent count as 0.
+    that are absent count as 0. A game of more than `most_items` items fails when it is read: its sums would lack items.
     """
+    fits = F.when(F.col("n_items") <= most_items, F.col("n_items")).otherwise(F.raise_error(F.lit(f"subset sums of more than {most_items} items")).cast("int"))
+    rows = rows.withColumn("n_items", fits)
     for at in range(0, most_items, step):
         rows = _widened(rows, column, at, step, alternate)
     return rows
@@ -149,15 +151,17 @@ def jensen_shannon(dists: DataFrame, keys: list[str], p: str = "p", q: str = "q"
 def divergence_of_sets(dists: DataFrame) -> DataFrame:
     """(game_id, gone, jsd, gain): how far the distribution without a set of items is from the full one.
 
-    `dists` has game_id, gone (mask of the items left out, 0 for none), token, and p, the token's probability; gone = 0
-    must be there. With a set of one item this is leave-one-out by divergence; `gain` is 1 - exp(-jsd), the loss in a
-    utility of exp(-jsd). Divergences of several answer positions add up where `token` tells them apart.
+    `dists` has game_id, gone (mask of the items left out, 0 for none), token, p, the token's probability, and where an
+    answer has several, its position; gone = 0 must be there. With a set of one item this is leave-one-out by divergence;
+    `gain` is 1 - exp(-jsd), the loss in a utility of exp(-jsd). Each position is a distribution of its own, and the
+    divergences of all positions add up.
     """
-    full = dists.where("gone = 0").select("game_id", "token", F.col("p").alias("q"))
+    dists = dists if "position" in dists.columns else dists.withColumn("position", F.lit(0))
+    full = dists.where("gone = 0").select("game_id", "position", "token", F.col("p").alias("q"))
     sets = dists.where("gone <> 0").select("game_id", "gone").distinct()
-    left = dists.where("gone <> 0").select("game_id", "gone", "token", "p")
-    both = sets.join(full, "game_id").join(left, ["game_id", "gone", "token"], "full_outer").select("game_id", "gone", "p", "q")
-    found = jensen_shannon(both, ["game_id", "gone"])
+    left = dists.where("gone <> 0").select("game_id", "gone", "position", "token", "p")
+    both = sets.join(full, "game_id").join(left, ["game_id", "gone", "position", "token"], "full_outer").select("game_id", "gone", "position", "p", "q")
+    found = jensen_shannon(both, ["game_id", "gone", "position"]).groupBy("game_id", "gone").agg(F.sum("jsd").alias("jsd"))
     return found.select("game_id", "gone", "jsd", (1 - F.exp(-F.col("jsd"))).alias("gain"))
 
 
