@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.exact import finite
 from tessera.operators.metrics import average_rank, correlation
+from tessera.sources.scratch import kept
 
 CELL = ["metric", "method", "budget"]
 
@@ -163,20 +166,33 @@ def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return rows.unionByName(none)
 
 
-#: Statistics that weighted sums of 1, x and x * x give.
-STATS = ("mean", "sum", "std")
+#: Statistics of a resample: the first three from weighted sums of 1, x and x * x, the last from weighted ranks.
+STATS = ("mean", "sum", "std", "median")
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: The Poisson distribution of mean 1 up to where 32 bits end.
-POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+#: Equal values that get one weight together, cells whose sums a task holds before it hands them on, and tasks whose sums
+#: are merged at once.
+LOT, HELD_CELLS, MERGED = 4096, 256, 64
 
 
-def poisson_weights(rows: np.ndarray, start: int, stop: int, seed: int) -> np.ndarray:
-    """How often each row (a 64-bit hash) occurs in each of the resamples `start` to `stop`: of row and number alone."""
+@lru_cache(maxsize=LOT)
+def poisson_steps(mean: int) -> np.ndarray:
+    """The distribution function of a Poisson number up to where it is 1 in doubles."""
+    k = np.arange(1, mean + 12 * math.isqrt(mean) + 24)
+    return np.cumsum(np.exp(np.concatenate([[-mean], np.cumsum(math.log(mean) - np.log(k)) - mean])))
+
+
+def poisson_weights(rows: np.ndarray, copies: np.ndarray, start: int, stop: int, seed: int) -> np.ndarray:
+    """How often the copies of each row (a 64-bit hash) occur together in each of the resamples `start` to `stop`: a Poisson
+    number whose mean is their number, of row and resample alone."""
     with np.errstate(over="ignore"):
         x = rows.view(np.uint64)[:, None] + (np.arange(start, stop, dtype=np.uint64) + np.uint64(1) + np.uint64(seed << 32))[None] * GOLDEN
         x = (x ^ (x >> np.uint64(30))) * MIX1
         x = (x ^ (x >> np.uint64(27))) * MIX2
-    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    out = np.empty(u.shape)
+    for m in np.unique(copies):
+        out[copies == m] = np.searchsorted(poisson_steps(int(m)), u[copies == m], side="right")
+    return out
 
 
 def of_sums(stat: str, w: np.ndarray, wx: np.ndarray, wxx: np.ndarray, n: int) -> np.ndarray:
@@ -186,53 +202,139 @@ def of_sums(stat: str, w: np.ndarray, wx: np.ndarray, wxx: np.ndarray, n: int) -
         return mean if stat == "mean" else mean * n if stat == "sum" else np.sqrt(np.maximum(wxx / w - mean * mean, 0))
 
 
+def cells_of(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The cells of a frame by a key that null is part of, once."""
+    for _, cell in frame.groupby(keys, dropna=False, sort=False):
+        yield tuple(None if pd.isna(v) else v for v in cell[keys].iloc[0]), cell
+
+
+def added(frame: pd.DataFrame, shape: tuple[int, ...], column: str = "sums") -> np.ndarray:
+    return np.sum([np.frombuffer(b).reshape(shape) for b in frame[column]], axis=0)
+
+
+def lots(metrics: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, x, copies, row): the different values of each cell, with how often they occur, LOT at most a row."""
+    alike = metrics.select(*keys, finite(F.col(value).cast("double")).alias("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("all"))
+    rows = alike.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("all") - 1) / LOT))).alias("lot"))
+    copies = F.when(F.col("x").isNull(), 0).otherwise(F.least(F.lit(LOT), F.col("all") - F.col("lot") * LOT))
+    return rows.select(*keys, "x", copies.cast("bigint").alias("copies"), F.xxhash64(*keys, "x", "lot").alias("row"))
+
+
 def bootstrap_ci(metrics: DataFrame, keys: list[str], value: str = "value", stat: str = "mean", times: int = 10_000, alpha: float = 0.05, seed: int = 42, block: int = 1 << 21) -> DataFrame:
-    """(keys, n, point, low, high): percentile intervals of mean, sum or (population) std.
+    """(keys, n, point, low, high): percentile intervals of mean, sum, (population) std or median.
 
-    A resample gives each value a Poisson weight, which depends on the seed, the row and the resample alone, so tasks
-    add up weighted sums of whatever rows they have and a cell of any size is never one task's: a cell's tasks hand on
-    three sums a resample. One value is its own interval, none gives nulls. Rows that are equal in all columns share
-    their weights but for their number among themselves.
+    A resample gives equal values together a Poisson weight whose mean is their number, which depends on the seed, the
+    cell, the value and the resample alone. So tasks add up weighted sums of whatever rows they have; each hands on three
+    sums a resample and cell, once, and these are merged some at a time: no cell is one task's. Medians take two passes,
+    see medians(). One value is its own interval, none gives nulls.
     """
     if stat not in STATS:
         raise ValueError(f"unknown statistic {stat!r}; known: {STATS}")
     kinds = dict(metrics.dtypes)
-    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in metrics.dtypes if not kind.startswith("map")))
-    alike = metrics.select(*keys, finite(F.col(value).cast("double")).alias("x"), hashed.alias("row")).groupBy(*keys, "x", "row").agg(F.count(F.lit(1)).alias("copies"))
-    rows = alike.select(*keys, "x", "row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).select(*keys, "x", F.xxhash64("row", "copy").alias("row"))
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    rows = lots(metrics, keys, value)
+    if stat == "median":
+        return medians(rows, keys, schema, times, alpha, seed, block)
+    facts = ["n", "s", "ss", "only"]
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held = TaskContext.get().partitionId() // MERGED, {}
+
+        def hand_on() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, task, *own[0], own[1].tobytes()) for k, own in held.items()], columns=[*keys, "task", *facts, "sums"])
+            held.clear()
+            return out
+
         for frame in frames:
-            for _, cell in frame.groupby(keys, dropna=False, sort=False):
-                x, row = cell["x"].to_numpy(float), cell["row"].to_numpy("int64")
-                good = np.isfinite(x)
-                x, row = x[good], row[good]
-                total = np.zeros((3, times))
+            for key, cell in cells_of(frame, keys):
+                good = cell[cell["copies"] > 0]
+                x, row, copies = good["x"].to_numpy(float), good["row"].to_numpy("int64"), good["copies"].to_numpy("int64")
+                own = held.setdefault(key, [np.array([0.0, 0.0, 0.0, np.nan]), np.zeros((3, times))])
+                own[0][:3] += [copies.sum(), copies @ x, copies @ (x * x)]
+                own[0][3] = x[0] if len(x) else own[0][3]
                 step = max(1, block // max(1, len(x)))
                 for at in range(0, times if len(x) else 0, step):
-                    w = poisson_weights(row, at, min(times, at + step), seed)
-                    total[:, at : at + step] = np.stack([w.sum(0), x @ w, (x * x) @ w])
-                head = cell[keys].iloc[:1].reset_index(drop=True)
-                yield head.assign(n=len(x), s=float(x.sum()), ss=float((x * x).sum()), only=float(x[0]) if len(x) else np.nan, sums=[total.tobytes()])
+                    w = poisson_weights(row, copies, at, min(times, at + step), seed)
+                    own[1][:, at : at + step] += np.stack([w.sum(0), x @ w, (x * x) @ w])
+            if len(held) >= HELD_CELLS:
+                yield hand_on()
+        yield hand_on()
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        only = frame["only"].dropna()
+        out = frame[keys].iloc[:1].reset_index(drop=True)
+        return out.assign(**{c: float(frame[c].sum()) for c in facts[:3]}, only=float(only.iloc[0]) if len(only) else np.nan, sums=[added(frame, (3, times)).tobytes()])
 
     def interval(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["n"].sum())
-        total = sum(np.frombuffer(b).reshape(3, times) for b in frame["sums"])
-        out = frame[keys].iloc[:1].reset_index(drop=True)
+        own = merged(frame).iloc[0]
+        n, out = int(own["n"]), frame[keys].iloc[:1].reset_index(drop=True)
         if n < 2:
-            one = float(frame["only"].dropna().iloc[0]) if n else None
-            one = 0.0 if n and stat == "std" else one
+            one = (0.0 if stat == "std" else float(own["only"])) if n else None
             return out.assign(n=n, point=one, low=one, high=one)
-        found = of_sums(stat, *total, n)
-        low, high = np.nanpercentile(found, [50 * alpha, 100 - 50 * alpha])
-        point = of_sums(stat, np.array([float(n)]), np.array([frame["s"].sum()]), np.array([frame["ss"].sum()]), n)[0]
+        low, high = np.nanpercentile(of_sums(stat, *np.frombuffer(own["sums"]).reshape(3, times), n), [50 * alpha, 100 - 50 * alpha])
+        point = of_sums(stat, np.array([float(n)]), np.array([own["s"]]), np.array([own["ss"]]), n)[0]
         return out.assign(n=n, point=float(point), low=float(low), high=float(high))
 
-    partial = rows.mapInPandas(sums, f"{schema}, n bigint, s double, ss double, only double, sums binary")
+    held = "n double, s double, ss double, only double, sums binary"
+    partial = rows.mapInPandas(sums, f"{schema}, task int, {held}").groupBy(*keys, "task").applyInPandas(merged, f"{schema}, {held}")
     return partial.groupBy(*keys).applyInPandas(interval, f"{schema}, n bigint, point double, low double, high double")
 
 
+def medians(rows: DataFrame, keys: list[str], schema: str, times: int, alpha: float, seed: int, block: int) -> DataFrame:
+    """bootstrap_ci() of medians, from lots() of values: weighted order statistics of all resamples at once.
+
+    Values are dealt by ranges of (cell, value). A first pass adds up each range's weights by resample, their sums up to a
+    range say which resamples have their middle in it, and a second pass looks for the middle there. The cell itself, each
+    value as often as it occurs, is one resample more, whose median is the point. An even number of values has two in the
+    middle, whose mean counts. What one task gets of a cell is a range of it, or a row of sums for each of its ranges.
+    """
+    wide = times + 1
+    ranged = kept(rows.repartitionByRange(*keys, F.col("x").asc_nulls_first(), "row").withColumn("place", F.spark_partition_id()), "value-ranges")
+    group = [*keys, "place"]
+
+    def weights(good: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        row, copies = good["row"].to_numpy("int64"), good["copies"].to_numpy("int64")
+        step = max(1, block // max(1, len(row)))
+        yield 0, copies[:, None].astype(float)
+        for at in range(0, times, step):
+            yield at + 1, poisson_weights(row, copies, at, min(times, at + step), seed)
+
+    def range_sums(frame: pd.DataFrame) -> pd.DataFrame:
+        total, good = np.zeros(wide), frame[frame["copies"] > 0]
+        for at, w in weights(good) if len(good) else ():
+            total[at : at + w.shape[1]] = w.sum(0)
+        return frame[group].iloc[:1].reset_index(drop=True).assign(sums=[total.tobytes()])
+
+    def offsets(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place").reset_index(drop=True)
+        own = np.array([np.frombuffer(b) for b in frame["sums"]])
+        before = np.cumsum(own, axis=0) - own
+        return frame[group].assign(before=[b.tobytes() for b in before], total=own.sum(0).tobytes())
+
+    def found(here: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        good = here[here["copies"] > 0].sort_values(["x", "row"])
+        before, total = np.frombuffer(sums["before"].iloc[0]), np.frombuffer(sums["total"].iloc[0])
+        middle, x = np.zeros((2, wide)), good["x"].to_numpy(float)
+        for at, w in weights(good) if len(good) else ():
+            ends, cut = np.cumsum(w, axis=0), slice(at, at + w.shape[1])
+            for side, wanted in enumerate((np.floor((total[cut] - 1) / 2), np.floor(total[cut] / 2))):
+                local = wanted - before[cut]
+                inside = (local >= 0) & (local < ends[-1]) & (total[cut] > 0)
+                middle[side, cut] = np.where(inside, x[np.minimum((ends <= local).sum(0), len(x) - 1)], 0.0)
+        return here[keys].iloc[:1].reset_index(drop=True).assign(total=[total.tobytes()], sums=[middle.tobytes()])
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        total, middle = np.frombuffer(frame["total"].iloc[0]), added(frame, (2, wide)).mean(axis=0)
+        n, out = int(total[0]), frame[keys].iloc[:1].reset_index(drop=True)
+        low, high = np.percentile(middle[1:][total[1:] > 0], [50 * alpha, 100 - 50 * alpha]) if n > 1 else (middle[0], middle[0])
+        return out.assign(n=n, **{c: float(v) if n else None for c, v in (("point", middle[0]), ("low", low), ("high", high))})
+
+    sums = ranged.groupBy(*group).applyInPandas(range_sums, f"{schema}, place int, sums binary")
+    before = sums.groupBy(*keys).applyInPandas(offsets, f"{schema}, place int, before binary, total binary")
+    middles = ranged.groupBy(*group).cogroup(before.groupBy(*group)).applyInPandas(found, f"{schema}, total binary, sums binary")
+    return middles.groupBy(*keys).applyInPandas(interval, f"{schema}, n bigint, point double, low double, high double")
+
+
 def paired_bootstrap_ci(pairs: DataFrame, keys: list[str], **how) -> DataFrame:
     """Interval of the mean of x - y."""
     own = [c for c in pairs.columns if c not in (*keys, "x", "y")]
