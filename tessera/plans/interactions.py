@@ -1,4 +1,5 @@
-"""Queries over sparse transforms, proxies, sampled interactions and patterns of any order, each with its SQL beside it."""
+"""Queries over sparse transforms, proxies, sampled interactions, patterns of any order, positions, medians and the stored
+vector index, each with its SQL beside it."""
 
 from __future__ import annotations
 
@@ -6,13 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import exact, sparse
+from tessera.operators import exact, sparse, stats, vector_index
 from tessera.plans import games
 from tessera.plans import oracles as o
 from tessera.plans import queries as core
 from tessera.plans.games import table
 from tessera.plans.inputs import query as registered
 from tessera.plans.inputs import wide_games
+from tessera.sources.scratch import scratch_dir
 
 QUERIES: dict[str, core.Query] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +105,22 @@ SELECT game_id, gone::BIGINT AS gone, {r('jsd', 'jsd')}, {r('1 - exp(-jsd)', 'ga
 def jsd_of_positions(spark, sf):
     """Divergences of two answer positions, added up."""
     return rounded(exact.divergence_of_sets(stations(spark, sf)))
+
+
+@query(f"WITH {o.METRIC} SELECT metric, method, budget, count(*) AS n, {r('median(value)', 'point')} FROM mr GROUP BY 1, 2, 3")
+def bootstrap_medians(spark, sf):
+    """Medians as the bootstrap finds them, by ranges of values: the cell itself is one of its resamples."""
+    return rounded(stats.bootstrap_ci(core.metric_rows(spark, sf), stats.CELL, stat="median", times=200).select(*stats.CELL, "n", "point"))
+
+
+@query(o.ORACLE["knn_l2"])
+def knn_index(spark, sf):
+    """knn_l2 from a stored index, which reads the cells that can have a neighbour."""
+    from tessera.functions.utilities import unit_vector
+
+    path = scratch_dir(spark, "vector-index")
+    vectors = table(spark, sf, "embeddings").withColumn("embedding", unit_vector(F.col("embedding")))
+    vector_index.build(vectors, path)
+    asked = vectors.where(F.col("vec_id") % games.QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.search(spark, path, asked, 5)
+    return rounded(found.select("query_id", "vec_id", (F.col("place") - 1).alias("item_idx"), "distance"), 5)
