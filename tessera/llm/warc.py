@@ -87,6 +87,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, path = file_system(self.path)
         found = [x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True)) if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
+        found = [x for x in found if not re.search(r"/[_.]", "/" + x.path[len(path) :].lstrip("/"))]  # what a write in progress or a failed one has left
         return [ArchivePart(x.path) for x in sorted(found, key=lambda x: (-x.size, x.path))] or [ArchivePart("")]
 
     def read(self, partition: ArchivePart) -> Iterator[pa.RecordBatch]:

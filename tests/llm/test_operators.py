@@ -279,6 +279,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived_pages(warc.read_archive(spark, warc.archive(pages.limit(0), str(tmp_path / "none")))).count() == 0
 
 
+def test_unfinished_archives_are_not_read(spark, tmp_path):
+    """What a write in progress or a failed one has left beside the archives."""
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>one</p>"), (2, "http://a/2", "<p>two</p>")], "page_id bigint, url string, html string")
+    path = tmp_path / "_w"
+    warc.archive(pages, str(path))
+    (path / "_temporary_warc").mkdir()
+    first = next(p for p in path.iterdir() if p.name.endswith(".warc"))
+    (path / "_temporary_warc" / "x.warc").write_bytes(first.read_bytes())
+    (path / ".y.warc").write_bytes(first.read_bytes())
+    assert warc.read_archive(spark, str(path)).where("warc_type = 'response'").count() == 2
+
+
 def test_warc_filters_are_pushed_down():
     from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
 
