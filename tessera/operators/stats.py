@@ -360,15 +360,29 @@ def paired_report(metrics: DataFrame, base: str, family: tuple[str, ...] = ("met
     return out
 
 
+def power_factor(power: float, alpha: float) -> float:
+    """The normal quantiles of a two-sided test and of its power, together."""
+    z = NormalDist().inv_cdf
+    return z(1 - alpha / 2) + z(power)
+
+
+def effect_of(sd: Column, n: Column, power: float = 0.8, alpha: float = 0.05) -> Column:
+    """detectable_effect() as a column; null without pairs."""
+    return F.when(n > 0, power_factor(power, alpha) * sd / F.sqrt(n))
+
+
+def pairs_for(sd: Column, effect: Column, power: float = 0.8, alpha: float = 0.05) -> Column:
+    """required_pairs() as a column; null for no effect."""
+    return F.when(effect != 0, F.ceil(F.pow(power_factor(power, alpha) * sd / effect, 2)))
+
+
 def detectable_effect(sd: float, n: int, power: float = 0.8, alpha: float = 0.05) -> float:
     """Least mean difference that n pairs show with this power."""
-    z = NormalDist().inv_cdf
-    return (z(1 - alpha / 2) + z(power)) * sd / math.sqrt(n)
+    return power_factor(power, alpha) * sd / math.sqrt(n)
 
 
 def required_pairs(sd: float, effect: float, power: float = 0.8, alpha: float = 0.05) -> int:
-    z = NormalDist().inv_cdf
-    return math.ceil(((z(1 - alpha / 2) + z(power)) * sd / effect) ** 2)
+    return math.ceil((power_factor(power, alpha) * sd / effect) ** 2)
 
 
 def paired_correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -387,9 +401,8 @@ def by_k_table(metrics: DataFrame, budget: int, ks: list[int]) -> DataFrame:
 
 def detectable_effects(metrics: DataFrame, power: float = 0.8, alpha: float = 0.05) -> DataFrame:
     """(metric, method, budget, n, effect): the least mean difference that each cell's number of questions shows, by its own deviation."""
-    z = NormalDist().inv_cdf
     rows = variance_report(metrics)
-    return rows.select(*CELL, "n", ((z(1 - alpha / 2) + z(power)) * F.col("sem")).alias("effect"))
+    return rows.select(*CELL, "n", (power_factor(power, alpha) * F.col("sem")).alias("effect"))
 
 
 def at_budget(metrics: DataFrame, budget: int) -> DataFrame:

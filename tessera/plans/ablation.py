@@ -43,6 +43,16 @@ def variants(groups: Sequence[str] = ("sampling", "rank", "pruning")) -> list[Va
     return [v for v in VARIANTS if v.group == "all" or v.group in groups]
 
 
+def evaluations(utilities: DataFrame, chosen: Sequence[Variant], budget: int, seed: int = 42) -> DataFrame:
+    """(game_id, place, name, n): how many coalitions each variant evaluates of each game."""
+    games, rows = utilities.select("game_id", "n_items").distinct(), None
+    for place, v in enumerate(chosen):
+        drawn = structured_sample(games, budget, v.core, v.neighbours, v.fill, seed)
+        one = drawn.groupBy("game_id").agg(F.lit(place).alias("place"), F.lit(v.name).alias("name"), F.count(F.lit(1)).alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def numbered(utilities: DataFrame) -> DataFrame:
     """(game_id, place): a number from 0 for each game, whatever its id is. With parts of a game as games of their own,
     place * parts + part is the id of one. Numbers have gaps and stay under 2**53, so some hundred parts fit."""

@@ -90,6 +90,20 @@ def overlap_game(turns: DataFrame) -> DataFrame:
     return rows.select("game_id", "n_items", "mask", f1(both, add(F.col("sizes")), F.col("gold_size")).alias("value"))
 
 
+def unigram_log_probs(turns: DataFrame) -> DataFrame:
+    """From (game_id, texts, target): (game_id, n_items, mask, lp, lp_empty, tokens), the natural log-probability of the
+    target's words under those of a coalition's texts. Counts have one added for each different word of the target and for
+    all others together; an empty target has 0. A game of more than MOST_ITEMS texts is an error."""
+    rows = turns.select("game_id", F.size("texts").alias("n_items"), F.transform("texts", answer_tokens).alias("words"), answer_tokens(F.col("target")).alias("gold"))
+    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
+    own = F.transform(F.array_distinct("gold"), lambda w: F.struct(count(F.col("gold"), w).alias("g"), F.transform("words", lambda t: count(t, w)).alias("by")))
+    rows = rows.select("game_id", "n_items", F.transform("words", F.size).alias("sizes"), F.size("gold").alias("tokens"), own.alias("own"))
+    rows = rows.join(powerset(rows.select("game_id", "n_items")).select("game_id", "mask"), "game_id")
+    add = lambda xs: F.aggregate(F.filter(xs, lambda _, i: bits.has(F.col("mask"), i)), F.lit(0), lambda s, x: s + x)
+    log_prob = lambda held, size: F.aggregate("own", F.lit(0.0), lambda s, w: s + w["g"] * F.ln((held(w["by"]) + 1) / (size + F.size("own") + 1)))
+    return rows.select("game_id", "n_items", "mask", log_prob(add, add(F.col("sizes"))).alias("lp"), log_prob(lambda _: F.lit(0), F.lit(0)).alias("lp_empty"), "tokens")
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game_id, texts, target): the last turn and all before it; conversations of one turn are no game."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
@@ -101,6 +115,10 @@ def turn_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_game(conversations(spark, sf_dir))
 
 
+def turn_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_log_probs(conversations(spark, sf_dir))
+
+
 def duplicate_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations of two turns or more before the last, with the first turn once more at the end."""
     rows = conversations(spark, sf_dir).where(F.size("texts") > 1)

@@ -382,11 +382,11 @@ def budget_floor(spark, sf):
     return sizes.join(drawn, "game_id").select("game_id", coalitions.least_budget(F.col("n_items")).alias("floor"), "rows")
 
 
-@query(f"""WITH k AS (SELECT n::INT AS n, unnest(range(n + 1))::INT AS z FROM range(2, 11) r(n)), w AS (SELECT n, z, CASE WHEN {o.INNER} THEN {o.LAW} / {o.COUNT} ELSE 1000 END AS w, CASE WHEN z < n THEN factorial(n - 1)::DOUBLE / (factorial(z)::DOUBLE * factorial(greatest(n - 1 - z, 0))::DOUBLE) ELSE 0 END AS c FROM k)
+@query(f"""WITH {o.KERNEL_SIZES}, w AS (SELECT n, z, CASE WHEN {o.INNER} THEN {o.LAW} / {o.COUNT} ELSE 1000 END AS w, CASE WHEN z < n THEN factorial(n - 1)::DOUBLE / (factorial(z)::DOUBLE * factorial(greatest(n - 1 - z, 0))::DOUBLE) ELSE 0 END AS c FROM k WHERE n > 1)
 SELECT n, z, {r('w / avg(w) OVER (PARTITION BY n)', 'mean_one')}, {r('c / sum(c) OVER (PARTITION BY n)', 'share')} FROM w""")
 def normalised_kernels(spark, sf):
     """Kernel weights over their mean, and size weights over their sum."""
-    rows = spark.range(2, 11).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("z"))
+    rows = core.kernel_sizes(spark, sf).where("n > 1")
     return rounded(rows.select("n", "z", kernels.shap_kernel_mean_one(F.col("n"), F.col("z")).alias("mean_one"), kernels.size_kernel_share(F.col("n"), F.col("z")).alias("share")))
 
 
@@ -535,10 +535,12 @@ def fixed_budget_by_k(spark, sf):
     return rounded(stats.by_k_table(rows, 1996, [0, 1, 2]).withColumnsRenamed({str(k): f"k{k}" for k in range(3)}))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v.name}')" for k, v in enumerate(v for v in ablation.VARIANTS if v.group in ("all", "rank"))) + ") v(place, name)")
+@query(f"""WITH {o.G4}, v(place, name, core, near, evenly) AS (VALUES (0, 'full', true, true, false), (1, 'no core', false, true, false), (2, 'no neighbours', true, false, false), (3, 'uniform fill', true, true, true), (4, 'uniform only', false, false, true), (5, 'size-uniform fill', true, true, false)),
+m AS (SELECT game_id, n_items AS n, bit_count(mask)::INT AS z FROM u)
+SELECT game_id, place, name, least(40, count(*)) AS n FROM m, v WHERE evenly OR (z > 0 AND z < n) OR (core AND z IN (0, n)) GROUP BY game_id, place, name""")
 def variant_groups(spark, sf):
-    """The full system and the variants of one group."""
-    return spark.createDataFrame([(k, v.name) for k, v in enumerate(ablation.variants(("rank",)))], "place int, name string")
+    """The full system and the variants of one group, with the coalitions that each evaluates of a day."""
+    return ablation.evaluations(games.event_game(spark, sf), ablation.variants(("sampling",)), 40)
 
 
 @query()

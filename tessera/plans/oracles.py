@@ -72,7 +72,8 @@ def unit(*key: str) -> str:
     return f"(({draw(*key)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-SIZES = "s AS (SELECT id::BIGINT AS game_id, (id + 6)::INT AS n FROM range(3) r(id))"
+SIZES = "s AS (SELECT conv_id::BIGINT AS game_id, count(*)::INT AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1)"
+KERNEL_SIZES = "sizes AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey UNION SELECT count(*) FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id), k AS (SELECT n::INT AS n, unnest(range(n + 1))::INT AS z FROM sizes)"
 POWER = f"{SIZES}, c AS (SELECT game_id, n, unnest(range(1 << n)) AS mask FROM s), z AS (SELECT *, bit_count(mask)::INT AS z, (1 << n) - 1 AS top_mask FROM c)"
 INNER = "z > 0 AND z < n"
 LAW = "((n - 1)::DOUBLE / (z * (n - z)))"
@@ -103,18 +104,18 @@ def pool(weight: str) -> str:
 
 PAIRED = f"""WITH {SIZES}, t AS (SELECT game_id, n, unnest(range(1, 31)) AS draw FROM s),
 a AS (SELECT *, {draw("'42:item'", 'game_id', 'draw')} % n AS item, {unit("'42:size'", 'game_id', 'draw')} AS p FROM t),
-law AS (SELECT n, z, (n - 1)::DOUBLE / (z * (n - z)) AS w FROM (SELECT n, unnest(range(1, n)) AS z FROM s)),
+law AS (SELECT n, z, (n - 1)::DOUBLE / (z * (n - z)) AS w FROM (SELECT DISTINCT n, unnest(range(1, n)) AS z FROM s)),
 cum AS (SELECT n, z, sum(w) OVER (PARTITION BY n ORDER BY z) - w AS below, sum(w) OVER (PARTITION BY n) AS total FROM law),
 b AS (SELECT game_id, a.n, draw, item, count(*) FILTER (WHERE below < p * total) AS z FROM a JOIN cum ON a.n = cum.n GROUP BY ALL),
 m AS (SELECT game_id, draw, item, z, i, row_number() OVER (PARTITION BY game_id, draw ORDER BY {draw("'42:member'", 'game_id', 'draw', 'i')}, i) AS pos FROM (SELECT *, unnest(range(n)) AS i FROM b) WHERE i <> item)
 SELECT game_id, draw, item AS item_idx, bit_or(CASE WHEN pos <= z THEN 1 << i::INT ELSE 0 END) AS mask_without, bit_or(CASE WHEN pos <= z THEN 1 << i::INT ELSE 0 END) | (1 << item::INT) AS mask_with FROM m GROUP BY game_id, draw, item"""
-FLIP = f"""WITH b AS ({sampled(10, ENDS, UNIFORM)}), n AS (SELECT game_id, mask, game_id + 6 AS n FROM b)
+FLIP = f"""WITH b AS ({sampled(10, ENDS, UNIFORM)}), {SIZES}, n AS (SELECT game_id, mask, n FROM b JOIN s USING (game_id))
 SELECT game_id, mask FROM n UNION SELECT game_id, xor(mask, 1::BIGINT << ({draw("'42:flip'", 'game_id', 'mask')} % n)::INT) FROM n"""
 ORDER = f"""perm AS (SELECT game_id, n, iteration, item, row_number() OVER (PARTITION BY game_id, iteration ORDER BY {draw("'42:order'", 'game_id', 'iteration', 'item')}, item) - 1 AS position FROM (SELECT *, unnest(range(n)) AS item FROM (SELECT game_id, n, unnest(range(1, 21)) AS iteration FROM s))),
 steps AS (SELECT *, coalesce(bit_or(1::BIGINT << item::INT) OVER (PARTITION BY game_id, iteration ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM perm)"""
 DAYS = "s AS (SELECT DISTINCT game_id, n_items AS n FROM u)"
 WALK = f"WITH {G4}, {DAYS}, {ORDER}, mar AS (SELECT st.game_id, n, item, position, b.value - a.value AS delta FROM steps st JOIN u a ON a.game_id = st.game_id AND a.mask = before JOIN u b ON b.game_id = st.game_id AND b.mask = before | (1::BIGINT << item::INT))"
-KERNELS = f"""WITH k AS (SELECT n::INT AS n, unnest(range(n + 1))::INT AS z FROM range(1, 11) r(n))
+KERNELS = f"""WITH {KERNEL_SIZES}
 SELECT n, z, {r(f"CASE WHEN {INNER} THEN {LAW} / {COUNT} ELSE 0 END", "shap")}, {r(f"CASE WHEN {INNER} THEN {LAW} / {COUNT} ELSE 1000 END", "ends")},
 {r("CASE WHEN z <= n - 1 THEN factorial(n - 1)::DOUBLE / (factorial(z)::DOUBLE * factorial(greatest(n - 1 - z, 0))::DOUBLE) ELSE 0 END", "sized")},
 {r("CASE WHEN z < n THEN factorial(z)::DOUBLE * factorial(greatest(n - z - 1, 0))::DOUBLE / factorial(n)::DOUBLE END", "shapley")},
@@ -167,7 +168,10 @@ METRIC = "mr AS (SELECT o_custkey AS qid, o_orderpriority AS method, year(o_orde
 AGAINST = f"{METRIC}, pr AS (SELECT r.metric, r.budget, r.method, r.qid, b.value AS x, r.value AS y, b.value - r.value AS d FROM mr r JOIN mr b ON b.metric = r.metric AND b.budget = r.budget AND b.qid = r.qid WHERE b.method = '1-URGENT' AND r.method <> '1-URGENT')"
 TRUE_COEF = "SELECT game_id, 0::BIGINT AS subset, 0.0::DOUBLE AS coef FROM (SELECT DISTINCT game_id FROM eff) UNION ALL SELECT game_id, 1::BIGINT << item::INT, w FROM eff UNION ALL SELECT game_id, (1::BIGINT << i::INT) | (1::BIGINT << j::INT), value FROM prs"
 CUT = "string_split(regexp_replace(coalesce(text, ''), '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1))"
-LP, L = "(-6.0::DOUBLE / (1 + bit_count(mask)))", "game_id"
+LOG_PROBS = f"""{G2}, kinds AS (SELECT game_id, count(*) + 1 AS kinds FROM gold GROUP BY game_id),
+lp AS (SELECT l.game_id, l.mask, sum(g * ln((coalesce(c, 0) + 1)::DOUBLE / (ls + kinds))) AS lp, sum(g * ln(1.0::DOUBLE / kinds)) AS lp0 FROM lens l JOIN gold ON gold.game_id = l.game_id JOIN kinds ON kinds.game_id = l.game_id LEFT JOIN cnt ON cnt.game_id = l.game_id AND cnt.mask = l.mask AND cnt.w = gold.w GROUP BY ALL),
+c AS (SELECT masks.game_id, masks.mask, gs, coalesce(lp, 0) AS lp, coalesce(lp0, 0) AS lp0 FROM masks LEFT JOIN lp USING (game_id, mask))"""
+LP, LP0, L = "lp", "lp0", "gs"
 
 
 AGREE = f"""WITH {G4}, {SHAPLEY}, {BANZHAF.removeprefix(MARGIN + ', ')}, {LOO.removeprefix(MARGIN + ', ')}, attr AS (SELECT 'banzhaf' AS provider, game_id, item_idx, round(phi, 9) AS phi FROM banz UNION ALL SELECT 'loo', game_id, item_idx, round(phi, 9) FROM out UNION ALL SELECT 'shapley', game_id, item_idx, round(phi, 9) FROM shap),
@@ -267,7 +271,7 @@ s AS (SELECT cx.conv_id, cx.turn, sum(least(cx.c, cy.c)) AS shared FROM cx JOIN
     "lookup_conflicts": "SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE count(DISTINCT lang) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'conflict' END AS status FROM documents GROUP BY source",
     "knn_l2": f"{near(5)} SELECT query_id, vec_id, item_idx, {r('dist', 'distance', 5)} FROM r",
     "normalised_vectors": f"SELECT vec_id, {r('list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))', 'squared', 5)}, {r('embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))', 'first', 5)} FROM embeddings",
-    "utility_modes": f"WITH {POWER} SELECT game_id, mask, {mode(f'{LP} + 6', 'log_prob')}, {mode(f'exp({LP}) - exp(-6.0::DOUBLE)', 'raw_prob')}, {mode(f'{logit(LP)} - {logit("-6.0::DOUBLE")}', 'logit_prob')}, {mode(f'({LP} + 6) / {L}', 'log_perplexity')}, {mode(f'({logit(LP)} - {logit("-6.0::DOUBLE")}) / {L}', 'logit_per_token')}, {mode(f'-exp(-{LP} / {L})', 'neg_perplexity')}, {mode(LP, 'logprob_raw')} FROM c",
+    "utility_modes": f"WITH {LOG_PROBS} SELECT game_id, mask, {mode(f'{LP} - {LP0}', 'log_prob')}, {mode(f'exp({LP}) - exp({LP0})', 'raw_prob')}, {mode(f'{logit(LP)} - {logit(LP0)}', 'logit_prob')}, {mode(f'({LP} - {LP0}) / {L}', 'log_perplexity')}, {mode(f'({logit(LP)} - {logit(LP0)}) / {L}', 'logit_per_token')}, {mode(f'-exp(-{LP} / {L})', 'neg_perplexity')}, {mode(LP, 'logprob_raw')} FROM c",
     "method_budget_parse": r"WITH k AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority || '_' || (o_orderkey % 700) ELSE o_orderpriority END AS key FROM orders) SELECT key, CASE WHEN regexp_matches(key, '^.+_\d+$') THEN regexp_extract(key, '^(.+?)_(\d+)$', 1) ELSE key END AS method, CASE WHEN regexp_matches(key, '^.+_\d+$') THEN regexp_extract(key, '^(.+?)_(\d+)$', 2)::INT END AS budget FROM k",
     "long_metrics": f"SELECT c_custkey AS qid, 'balance' AS metric, {r('c_acctbal', 'value')} FROM customer UNION ALL SELECT c_custkey, 'root', {r('sqrt(c_acctbal)', 'value')} FROM customer WHERE c_acctbal > 0",
     "paired_align": f"WITH {METRIC} SELECT a.metric, a.budget, a.qid, {r('a.value', 'x')}, {r('b.value', 'y')} FROM mr a JOIN mr b USING (metric, budget, qid) WHERE a.method = '1-URGENT' AND b.method = '5-LOW'",
@@ -278,7 +282,7 @@ s AS (SELECT cx.conv_id, cx.turn, sum(least(cx.c, cy.c)) AS shared FROM cx JOIN
     "wilcoxon": WILCOXON,
     "agreement_matrix": AGREE,
     "holm": f"WITH t AS (SELECT n_nationkey, n_regionkey, (n_nationkey * 7 % 25 + 1) / 250.0::DOUBLE AS p FROM nation), s AS (SELECT *, (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p) + 1) * p AS step FROM t) SELECT n_nationkey, n_regionkey, {r('p', 'p')}, {r('least(1, max(step) OVER (PARTITION BY n_regionkey ORDER BY p ROWS UNBOUNDED PRECEDING))', 'p_holm')} FROM s",
-    "detectable_effect": f"SELECT {r('2.8015852181104035 * 0.15::DOUBLE / sqrt(100)', 'effect')}, ceil(pow(2.8015852181104035 * 0.15::DOUBLE / 0.042::DOUBLE, 2))::INT AS pairs",
+    "detectable_effect": f"SELECT event_type, count(value) AS n, {r('2.8015852181104035 * stddev_samp(value) / sqrt(count(value))', 'effect', 4)}, ceil(pow(2.8015852181104035 * stddev_samp(value) / 0.042::DOUBLE, 2))::BIGINT AS pairs FROM events GROUP BY event_type",
     "paired_correlation": f"WITH {AGAINST} SELECT metric, budget, method, CASE WHEN count(*) > 1 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) + 0.0 END AS value FROM pr GROUP BY 1, 2, 3",
     "budget_table": f"WITH {METRIC} SELECT metric, method, {r('avg(value) FILTER (WHERE budget = 1995)', 'y1995', 6)}, {r('avg(value) FILTER (WHERE budget = 1996)', 'y1996', 6)}, {r('avg(value) FILTER (WHERE budget = 1997)', 'y1997', 6)} FROM mr GROUP BY 1, 2",
     "minmax_scaled": f"{pair_scores()}, m AS (SELECT game_id, item_idx, pred, truth, least(min(pred) OVER w, min(truth) OVER w) AS lo, greatest(max(pred) OVER w, max(truth) OVER w) AS hi FROM sc WINDOW w AS (PARTITION BY game_id)) SELECT game_id, item_idx, {r('CASE WHEN hi > lo THEN (pred - lo) / (hi - lo) ELSE 0 END', 'pred')}, {r('CASE WHEN hi > lo THEN (truth - lo) / (hi - lo) ELSE 0 END', 'truth')} FROM m",

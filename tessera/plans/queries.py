@@ -131,17 +131,19 @@ def event_sizes(spark, sf) -> DataFrame:
     return games.games(games.event_game(spark, sf))
 
 
-def supplier_sizes(spark: SparkSession) -> DataFrame:
-    return spark.range(3).select(F.col("id").alias("game_id"), (F.col("id") + 6).cast("int").alias("n_items"))
+def turn_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """A game for each conversation, with its turns as items."""
+    turns = table(spark, sf, "conversations").where("conv_id is not null")
+    return turns.groupBy(F.col("conv_id").cast("bigint").alias("game_id")).agg(F.count(F.lit(1)).cast("int").alias("n_items"))
 
 
 @query
 def powerset(spark, sf):
-    return coalitions.powerset(supplier_sizes(spark)).select("game_id", "mask")
+    return coalitions.powerset(turn_sizes(spark, sf)).select("game_id", "mask")
 
 
 def _sampled(method: str) -> Query:
-    return lambda spark, sf: coalitions.sample(supplier_sizes(spark), 40, method, SEED).select("game_id", "mask", "ord")
+    return lambda spark, sf: coalitions.sample(turn_sizes(spark, sf), 40, method, SEED).select("game_id", "mask", "ord")
 
 
 QUERIES |= {f"sample_{m}": _sampled(m) for m in ("uniform", "kernelshap", "bf", "bf_uniform", "bf_kernelshap")}
@@ -149,12 +151,12 @@ QUERIES |= {f"sample_{m}": _sampled(m) for m in ("uniform", "kernelshap", "bf",
 
 @query
 def structured_sample(spark, sf):
-    return coalitions.structured_sample(supplier_sizes(spark), 40, core=False, neighbours=True, fill="size_uniform", seed=SEED).select("game_id", "mask", "ord")
+    return coalitions.structured_sample(turn_sizes(spark, sf), 40, core=False, neighbours=True, fill="size_uniform", seed=SEED).select("game_id", "mask", "ord")
 
 
 @query
 def structured_truncated(spark, sf):
-    return coalitions.structured_sample(supplier_sizes(spark), 9, fill="none").select("game_id", "mask", "ord")
+    return coalitions.structured_sample(turn_sizes(spark, sf), 9, fill="none").select("game_id", "mask", "ord")
 
 
 @query
@@ -169,22 +171,29 @@ def pool_kernel_weighted(spark, sf):
 
 @query
 def paired_coalitions(spark, sf):
-    return coalitions.paired_coalitions(supplier_sizes(spark), 30, SEED)
+    return coalitions.paired_coalitions(turn_sizes(spark, sf), 30, SEED)
 
 
 @query
 def flip_expand(spark, sf):
-    return coalitions.flip_expand(coalitions.sample(supplier_sizes(spark), 10, "uniform", SEED), SEED).select("game_id", "mask")
+    return coalitions.flip_expand(coalitions.sample(turn_sizes(spark, sf), 10, "uniform", SEED), SEED).select("game_id", "mask")
 
 
 @query
 def random_permutations(spark, sf):
-    return coalitions.permutations(supplier_sizes(spark), ORDERS, SEED).select("game_id", "iteration", "position", "item_idx", "mask_before")
+    return coalitions.permutations(turn_sizes(spark, sf), ORDERS, SEED).select("game_id", "iteration", "position", "item_idx", "mask_before")
+
+
+def kernel_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """(n, z): every size of an order or a conversation, with the sizes of its coalitions."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    sizes = lines.select("n").union(turn_sizes(spark, sf).select("n_items")).distinct()
+    return sizes.select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("z"))
 
 
 @query
 def kernel_weights(spark, sf):
-    rows = spark.range(1, 11).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("z"))
+    rows = kernel_sizes(spark, sf)
     n, z = F.col("n"), F.col("z")
     inner = z < n
     return rounded(rows.select("n", "z", kernels.shap_kernel(n, z).alias("shap"), kernels.shap_kernel(n, z, 1000.0).alias("ends"), kernels.size_kernel(n, z).alias("sized"), F.when(inner, kernels.shapley_weight(n, F.when(inner, z).otherwise(F.lit(0)))).alias("shapley"), F.when(z <= n - 2, kernels.pair_weight(n, F.when(z <= n - 2, z).otherwise(F.lit(0)))).alias("pair"), F.when(inner, kernels.beta_weight(n, z, 16.0, 1.0)).alias("beta")))
@@ -497,9 +506,9 @@ def normalised_vectors(spark, sf):
 
 @query
 def utility_modes(spark, sf):
-    """All modes on made-up log-probabilities."""
-    rows = coalitions.powerset(supplier_sizes(spark)).select("game_id", "mask", (-6.0 / (1 + bits.size(F.col("mask")))).alias("lp"), (F.col("game_id") + F.lit(0)).alias("tokens"))
-    return rounded(rows.select("game_id", "mask", *(utilities.utility(m, F.col("lp"), F.lit(-6.0), F.col("tokens")).alias(m.replace("-", "_")) for m in utilities.MODES)))
+    """All modes on the log-probability of a conversation's last turn under the words of the turns in a coalition."""
+    rows = games.turn_log_probs(spark, sf)
+    return rounded(rows.select("game_id", "mask", *(utilities.utility(m, F.col("lp"), F.col("lp_empty"), F.col("tokens")).alias(m.replace("-", "_")) for m in utilities.MODES)))
 
 
 # Statistics
@@ -586,7 +595,9 @@ def budget_table(spark, sf):
 
 @query
 def detectable_effect(spark, sf):
-    return rounded(spark.range(1).select(F.lit(stats.detectable_effect(0.15, 100)).alias("effect"), F.lit(stats.required_pairs(0.15, 0.042)).alias("pairs")))
+    """For each kind of event: the effect that as many pairs detect, and the pairs that an effect of 0.042 needs."""
+    found = table(spark, sf, "events").groupBy("event_type").agg(F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+    return rounded(found.select("event_type", "n", stats.effect_of(F.col("sd"), F.col("n")).alias("effect"), stats.pairs_for(F.col("sd"), F.lit(0.042)).alias("pairs")), 4)
 
 
 @query
