@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import ranks
 from tessera.operators.exact import finite
-from tessera.operators.metrics import average_rank, correlation
+from tessera.operators.metrics import correlation
 from tessera.sources.scratch import kept
 
 CELL = ["metric", "method", "budget"]
@@ -92,29 +93,44 @@ def series(metrics: DataFrame, metric: str, method: str, budget: int | None = No
     return rows.select("qid", finite(F.col("value")).alias("value")).where("value is not null").orderBy("qid", "value")
 
 
-def variance_report(metrics: DataFrame) -> DataFrame:
-    """n, mean, sample deviation, standard error and interquartile range."""
+def deviations(metrics: DataFrame) -> DataFrame:
+    """n, mean, sample deviation and standard error of each cell."""
     v = finite(F.col("value"))
-    q = lambda p: F.percentile(v, F.lit(p))
-    return metrics.groupBy(*CELL).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"), (q(0.75) - q(0.25)).alias("iqr"))
+    return metrics.groupBy(*CELL).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
+
+
+def variance_report(metrics: DataFrame) -> DataFrame:
+    """deviations() and the interquartile range."""
+    ends = ranks.quantiles(metrics.withColumn("value", finite(F.col("value"))), CELL, "value", low=0.25, high=0.75)
+    return ranks.joined(deviations(metrics), ends.select(*CELL, (F.col("high") - F.col("low")).alias("iqr")), CELL)
 
 
 def win_tie_loss(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Of (keys, x, y): wins of x, ties, losses, the share of wins without ties, mean and median of x - y."""
-    d = F.col("x") - F.col("y")
+    rows = pairs.select(*keys, (F.col("x") - F.col("y")).alias("d"))
+    d = F.col("d")
     wins, losses = F.count_if(d > 0), F.count_if(d < 0)
-    return pairs.groupBy(*keys).agg(wins.alias("wins"), F.count_if(d == 0).alias("ties"), losses.alias("losses"), F.when(wins + losses > 0, wins / (wins + losses)).alias("win_excl_ties"), F.avg(d).alias("mean_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"))
+    base = rows.groupBy(*keys).agg(wins.alias("wins"), F.count_if(d == 0).alias("ties"), losses.alias("losses"), F.when(wins + losses > 0, wins / (wins + losses)).alias("win_excl_ties"), F.avg(d).alias("mean_diff"))
+    return ranks.joined(base, ranks.quantiles(rows, keys, "d", median_diff=0.5), keys)
+
+
+def rank_sums(pairs: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
+    """The signed-rank sums of x - y: n (all pairs), nonzero, r_pos, r_neg, effect, win_rate, and tied, the sum of t**3 - t
+    over equal sizes; null under `least` non-zero pairs."""
+    rows = pairs.select(*keys, (F.col("x") - F.col("y")).alias("d"))
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("d") > 0).cast("double")).alias("win_rate"))
+    sizes = ranks.value_counts(rows.where("d <> 0").withColumn("size", F.abs("d")), keys, "size", above=(F.col("d") > 0).cast("bigint"))
+    t, r = F.col("n").cast("double"), ranks.average_rank()
+    sums = sizes.groupBy(*keys).agg(F.sum("n").alias("nonzero"), F.sum(r * F.col("above")).alias("r_pos"), F.sum(r * (F.col("n") - F.col("above"))).alias("r_neg"), F.sum(t * t * t - t).alias("tied"))
+    both = ranks.joined(base, sums, keys).withColumn("nonzero", F.coalesce("nonzero", F.lit(0).cast("bigint")))
+    enough = F.col("nonzero") >= least
+    effect = (F.col("r_pos") - F.col("r_neg")) / (F.col("r_pos") + F.col("r_neg"))
+    return both.select(*keys, "n", "nonzero", *(F.when(enough, F.col(c)).alias(c) for c in ("r_pos", "r_neg")), F.when(enough, effect).alias("effect"), "win_rate", F.when(enough, F.col("tied")).alias("tied"))
 
 
 def signed_rank(pairs: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
-    """The signed-rank sums of x - y: n (all pairs), nonzero, r_pos, r_neg, effect, win_rate; null under `least` non-zero pairs."""
-    d = F.col("x") - F.col("y")
-    rows = pairs.select(*keys, d.alias("d"))
-    by = [F.col(k) for k in keys] + [F.col("d") != 0]
-    ranked = rows.withColumn("r", F.when(F.col("d") != 0, average_rank(by, F.abs("d"))))
-    got = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("nonzero"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("r_pos"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("r_neg"), F.avg((F.col("d") > 0).cast("double")).alias("win_rate"))
-    enough = F.col("nonzero") >= least
-    return got.select(*keys, "n", "nonzero", F.when(enough, F.col("r_pos")).alias("r_pos"), F.when(enough, F.col("r_neg")).alias("r_neg"), F.when(enough, (F.col("r_pos") - F.col("r_neg")) / (F.col("r_pos") + F.col("r_neg"))).alias("effect"), "win_rate")
+    """rank_sums() without the term of ties."""
+    return rank_sums(pairs, keys, least).drop("tied")
 
 
 def signed_rank_p(n: int, low: float, tied: float, exact_up_to: int = 50) -> float:
@@ -132,13 +148,6 @@ def signed_rank_p(n: int, low: float, tied: float, exact_up_to: int = 50) -> flo
     return float(math.erfc(abs(low - n * (n + 1) / 4) / spread / math.sqrt(2)))
 
 
-def tie_terms(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tied): the sum of t**3 - t over the sizes of the non-zero differences, from their counts."""
-    size = F.abs(F.col("x") - F.col("y")).alias("size")
-    counts = pairs.select(*keys, size).where("size > 0").groupBy(*keys, "size").agg(F.count(F.lit(1)).cast("double").alias("t"))
-    return counts.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
-
-
 @F.pandas_udf(T.DoubleType())
 def p_values(n: pd.Series, low: pd.Series, tied: pd.Series) -> pd.Series:
     found = [signed_rank_p(int(a), float(b), float(c)) if b is not None and not math.isnan(b) else None for a, b, c in zip(n, low, tied, strict=True)]
@@ -147,12 +156,7 @@ def p_values(n: pd.Series, low: pd.Series, tied: pd.Series) -> pd.Series:
 
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """signed_rank() and its p, which takes a row a cell: the rank sums and the tie term are aggregates."""
-    base = signed_rank(pairs, keys)
-    ties = tie_terms(pairs, keys).withColumnsRenamed({k: f"t_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"t_{k}"))
-    return base.join(ties, on, "left").withColumn("p", p_values("nonzero", F.least("r_pos", "r_neg"), F.coalesce("tied", F.lit(0.0)))).select(*base.columns, "p")
+    return rank_sums(pairs, keys).withColumn("p", p_values("nonzero", F.least("r_pos", "r_neg"), F.coalesce("tied", F.lit(0.0)))).drop("tied")
 
 
 def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
@@ -401,7 +405,7 @@ def by_k_table(metrics: DataFrame, budget: int, ks: list[int]) -> DataFrame:
 
 def detectable_effects(metrics: DataFrame, power: float = 0.8, alpha: float = 0.05) -> DataFrame:
     """(metric, method, budget, n, effect): the least mean difference that each cell's number of questions shows, by its own deviation."""
-    rows = variance_report(metrics)
+    rows = deviations(metrics)
     return rows.select(*CELL, "n", (power_factor(power, alpha) * F.col("sem")).alias("effect"))
 
 
