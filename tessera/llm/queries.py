@@ -109,7 +109,6 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-BOILER = " OR ".join(f"contains(low, {quoted(w)})" for w in rules.BOILERPLATE)
 RULES_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, [x for x in string_split_regex(text, '{BLANK}') if x <> ''] AS own FROM t),
@@ -117,13 +116,16 @@ win AS (SELECT rid, i, array_to_string(own[i:i + 7], ' ') AS k FROM (SELECT rid,
 twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 again AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + j AS at FROM twice, range(8) r(j)) GROUP BY rid),
 line AS (SELECT rid, n, x, lower(x) AS low, [w for w in string_split_regex(x, '{BLANK}') if w <> ''] AS lw, {solid("x")} AS solid FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS n FROM t)),
+open AS (SELECT *, sum((solid = 0)::INT) OVER (PARTITION BY rid ORDER BY n) AS para, lag(x) OVER (PARTITION BY rid ORDER BY n) AS before, lag(solid) OVER (PARTITION BY rid ORDER BY n) AS held FROM line),
+wrapped AS (SELECT rid, 2 * count(*) FILTER (WHERE regexp_matches(x, {quoted(rules.GOES_ON)})) >= count(*) AS wraps FROM open WHERE solid > 0 AND held > 0 AND NOT regexp_matches(before, {quoted(rules.COMPLETE)}) GROUP BY rid),
+ends AS (SELECT open.*, CASE WHEN wraps THEN bool_or(regexp_matches(x, '{rules.SENTENCE_END}')) OVER (PARTITION BY rid, para) ELSE regexp_matches(x, '{rules.SENTENCE_END}') END AS ended FROM open LEFT JOIN wrapped USING (rid)),
 judged AS (SELECT rid, n, x, solid, ({found("x", rules.SYMBOLS)} > 1 AND {found("x", rules.SYMBOLS)} > 0.05::DOUBLE * solid) OR ({found("x", "!")} > 1 AND {found("x", "!")} > 0.05::DOUBLE * solid) OR ({found("x", rules.BRACKETS)} > 1 AND {found("x", rules.BRACKETS)} > 0.1::DOUBLE * solid)
   OR ({found("x", rules.BARS)} >= 2 AND {found("x", rules.BARS)} * 40 > solid)
   OR regexp_matches(x, {quoted(rules.MENU)}, 'i')
-  OR (len(lw) <= {rules.NOTICE_WORDS} AND ({BOILER}))
+  OR (len(lw) > 0 AND {rules.NOTICE_PART} * (length(x) - length(regexp_replace(x, {quoted(rules.NOTICE)}, '', 'gi'))) >= solid)
   OR (len(lw) > 0 AND regexp_matches(x, '{rules.ADDRESS}') AND 2 * len(regexp_extract_all(x, '{rules.ADDRESS}')) >= len(lw))
   OR (len(lw) >= {rules.REPEAT_WORDS} AND 4 * len(list_distinct(lw)) < len(lw))
-  OR (len(lw) >= {rules.SOUP_WORDS} AND NOT regexp_matches(x, '{rules.SENTENCE_END}')) AS fails FROM line),
+  OR (len(lw) >= {rules.SOUP_WORDS} AND NOT ended) AS fails FROM ends),
 cleaned AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (WHERE NOT fails), '') AS cleaned,
   count(*) FILTER (WHERE solid > 0) - count(DISTINCT x) FILTER (WHERE solid > 0) AS n_dup_lines FROM judged GROUP BY rid),
 base AS (SELECT doc_id, len(own) AS n_words, {solid("text")} AS word_chars, {found("text", rules.SYMBOLS)} AS n_symbols,

@@ -10,8 +10,10 @@ from tessera.llm.common import words
 SYMBOLS, BRACKETS, BARS = "#*$%&|<>", r"{}\[\]\\^~_=", "|»•·"
 BLANKS = r"\x20\x09-\x0D"
 WINDOW = 8
-#: A line of more words is no notice, whatever it mentions; from so many words on it is judged by how often they repeat, and by whether a sentence ends in it.
-NOTICE_WORDS, REPEAT_WORDS, SOUP_WORDS = 30, 10, 12
+#: From so many words on a line is judged by how often they repeat, and by whether a sentence ends in it.
+REPEAT_WORDS, SOUP_WORDS = 10, 12
+#: A line is a notice if phrases of notices are at least one part in so many of it.
+NOTICE_PART = 4
 
 #: Entries of menus, and phrases of notices, in English, French, German and Spanish. Other signs of both need no language: separators, addresses.
 NAVIGATION = [
@@ -21,15 +23,21 @@ NAVIGATION = [
     "inicio", "menú", "iniciar sesión", "registrarse", "suscribirse", "compartir", "siguiente", "anterior", "volver", "arriba", "buscar", "contacto", "acerca de", "mapa del sitio", "leer más", "más", "imprimir", "responder", "síguenos",
 ]
 BOILERPLATE = [
-    "all rights reserved", "copyright", "©", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "powered by", "lorem ipsum", "click here", "your browser",
-    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "propulsé par", "cliquez ici", "votre navigateur",
-    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "bereitgestellt von", "klicken sie hier", "ihr browser",
-    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "con tecnología de", "haga clic aquí", "su navegador",
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "site uses cookies", "we use cookies", "accept cookies", "accept all cookies", "enable javascript", "requires javascript", "powered by", "lorem ipsum", "click here", "your browser",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "utilise des cookies", "accepter les cookies", "activer javascript", "propulsé par", "cliquez ici", "votre navigateur",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "cookies akzeptieren", "javascript aktivieren", "bereitgestellt von", "klicken sie hier", "ihr browser",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "utiliza cookies", "aceptar cookies", "activar javascript", "con tecnología de", "haga clic aquí", "su navegador",
 ]
 ENTRY = "(?:" + "|".join(NAVIGATION) + ")"
 MENU = rf"^[{BLANKS}]*{ENTRY}(?:(?:[{BLANKS}]*[|>»•·/][{BLANKS}]*|[{BLANKS}]{{2,}}){ENTRY})*[{BLANKS}]*$"
+YEAR = rf"^[{BLANKS}]*©[^\n]*|(?:©|\(c\)|copyright)[ ©(),a-z]{{0,9}}[0-9]{{4}}"
+NOTICE = "(?:" + YEAR + "|" + "|".join(BOILERPLATE) + ")"
 ADDRESS, SENTENCE_END = r"(?:https?://|www\.)[^\x20\x09-\x0D]", "[.!?…:;。！？]"
 
+#: A line that is complete, one that goes on with the words of the line before, and where paragraphs part: before a blank line.
+COMPLETE, GOES_ON = rf"{SENTENCE_END}[\"'”’»)\]]*[{BLANKS}]*$", rf"^[{BLANKS}]*\p{{Ll}}"
+PARAGRAPH = r"\n(?=[\x20\x09\x0B-\x0D]*(?:\n|\z))"
+
 
 def let(value: Column, then) -> Column:
     """`then(value)`, with `value` computed once a row."""
@@ -82,8 +90,25 @@ def filled(text: Column) -> Column:
     return F.length(text) - F.regexp_count(text, F.lit(f"[{BLANKS}]"))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is removed: by its punctuation, as navigation, as boilerplate or as the same words over and over."""
+def is_wrapped(lines: Column) -> Column:
+    """Whether lines break within sentences: at least half of those that aren't complete go on in the next one."""
+    solid = f"[^{BLANKS}]"
+    after = F.filter(lines, lambda x, i: F.get(lines, i - 1).rlike(solid) & ~F.get(lines, i - 1).rlike(COMPLETE) & x.rlike(solid))
+    return let(after, lambda x: (F.size(x) > 0) & (2 * F.size(F.filter(x, lambda y: y.rlike(GOES_ON))) >= F.size(x)))
+
+
+def judged_lines(text: Column) -> Column:
+    """Lines as (line, ended): whether a sentence ends in it, or, where lines break within sentences, in its paragraph."""
+    one = lambda line, ended: F.struct(line.alias("line"), ended.alias("ended"))
+    lines = F.split(text, "\n")
+    alone = F.transform(lines, lambda x: one(x, x.rlike(SENTENCE_END)))
+    together = F.flatten(F.transform(F.split(text, PARAGRAPH), lambda p: let(p.rlike(SENTENCE_END), lambda ended: F.transform(F.split(p, "\n"), lambda x: one(x, ended)))))
+    return F.when(let(lines, is_wrapped), together).otherwise(alone)
+
+
+def line_fails(line: Column, ended: Column) -> Column:
+    """Whether a line is removed: by its punctuation, as navigation, as boilerplate, as the same words over and over, or as
+    words without a sentence (`ended`: there is one)."""
 
     def over(chars: str, share: float) -> Column:
         n = F.regexp_count(line, F.lit(f"[{chars}]"))
@@ -94,11 +119,11 @@ def line_fails(line: Column) -> Column:
 
     def by_words(own: Column) -> Column:
         n = F.size(own)
-        low = F.lower(line)
-        notice = (n <= NOTICE_WORDS) & (F.greatest(*(F.instr(low, x) for x in BOILERPLATE)) > 0)
+        phrases = F.length(line) - F.length(F.regexp_replace(line, f"(?iu){NOTICE}", ""))
+        notice = (n > 0) & (NOTICE_PART * phrases >= filled(line))
         addresses = (n > 0) & line.rlike(ADDRESS) & (2 * F.regexp_count(line, F.lit(ADDRESS)) >= n)
         repeated = (n >= REPEAT_WORDS) & (F.size(F.array_distinct(own)) * 4 < n)
-        soup = (n >= SOUP_WORDS) & ~line.rlike(SENTENCE_END)
+        soup = (n >= SOUP_WORDS) & ~ended
         return notice | addresses | repeated | soup
 
     return (line.rlike(f"[{SYMBOLS}!{BRACKETS}{BARS}]") & marked) | line.rlike(f"(?iu){MENU}") | let(words(line, fold=False), by_words)
@@ -113,7 +138,7 @@ def judge(docs: DataFrame, most_lost: float = 0.5, least_words: int = 20, most_r
     """
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), words(F.col("text"), fold=False).alias("own"))
     text, own = F.col("text"), F.col("own")
-    got = base.select("doc_id", "text", F.size(own).cast("bigint").alias("n_words"), *(v.alias(k) for k, v in counts(text, own).items()), repeat_words(own).alias("n_repeat_words"), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n").alias("cleaned"))
+    got = base.select("doc_id", "text", F.size(own).cast("bigint").alias("n_words"), *(v.alias(k) for k, v in counts(text, own).items()), repeat_words(own).alias("n_repeat_words"), F.array_join(F.transform(F.filter(judged_lines(text), lambda x: ~line_fails(x["line"], x["ended"])), lambda x: x["line"]), "\n").alias("cleaned"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     left = F.when(F.col("cleaned") == text, F.col("word_chars")).otherwise(filled(F.col("cleaned")))
     got = got.withColumn("base_failed", failed)
