@@ -98,12 +98,15 @@ def is_wrapped(lines: Column) -> Column:
 
 
 def judged_lines(text: Column) -> Column:
-    """Lines as (line, ended): whether a sentence ends in it, or, where lines break within sentences, in its paragraph."""
+    """Lines as (line, ended): whether a sentence ends in it, or, where lines break within sentences, in its paragraph.
+
+    Only lines of SOUP_WORDS words are asked, so without such a line that isn't ended paragraphs aren't looked at."""
     one = lambda line, ended: F.struct(line.alias("line"), ended.alias("ended"))
     lines = F.split(text, "\n")
     alone = F.transform(lines, lambda x: one(x, x.rlike(SENTENCE_END)))
     together = F.flatten(F.transform(F.split(text, PARAGRAPH), lambda p: let(p.rlike(SENTENCE_END), lambda ended: F.transform(F.split(p, "\n"), lambda x: one(x, ended)))))
-    return F.when(let(lines, is_wrapped), together).otherwise(alone)
+    unsure = lambda own: F.exists(own, lambda x: ~x["ended"] & (F.length(x["line"]) >= 2 * SOUP_WORDS - 1))
+    return let(alone, lambda own: F.when(unsure(own) & let(lines, is_wrapped), together).otherwise(own))
 
 
 def line_fails(line: Column, ended: Column) -> Column:
@@ -119,8 +122,10 @@ def line_fails(line: Column, ended: Column) -> Column:
 
     def by_words(own: Column) -> Column:
         n = F.size(own)
+        low = F.lower(line)
+        hinted = F.greatest(*(F.instr(low, x) for x in (*BOILERPLATE, "©", "(c)", "copyright"))) > 0  # nearly all lines end here
         phrases = F.length(line) - F.length(F.regexp_replace(line, f"(?iu){NOTICE}", ""))
-        notice = (n > 0) & (NOTICE_PART * phrases >= filled(line))
+        notice = (n > 0) & hinted & (NOTICE_PART * phrases >= filled(line))
         addresses = (n > 0) & line.rlike(ADDRESS) & (2 * F.regexp_count(line, F.lit(ADDRESS)) >= n)
         repeated = (n >= REPEAT_WORDS) & (F.size(F.array_distinct(own)) * 4 < n)
         soup = (n >= SOUP_WORDS) & ~ended
