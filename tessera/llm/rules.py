@@ -122,8 +122,7 @@ def line_fails(line: Column, ended: Column) -> Column:
 
     def by_words(own: Column) -> Column:
         n = F.size(own)
-        low = F.lower(line)
-        hinted = F.greatest(*(F.instr(low, x) for x in (*BOILERPLATE, "©", "(c)", "copyright"))) > 0  # nearly all lines end here
+        hinted = let(F.lower(line), lambda low: F.greatest(*(F.instr(low, x) for x in (*BOILERPLATE, "©", "(c)", "copyright"))) > 0)  # nearly all lines end here
         phrases = F.length(line) - F.length(F.regexp_replace(line, f"(?iu){NOTICE}", ""))
         notice = (n > 0) & hinted & (NOTICE_PART * phrases >= filled(line))
         addresses = (n > 0) & line.rlike(ADDRESS) & (2 * F.regexp_count(line, F.lit(ADDRESS)) >= n)
