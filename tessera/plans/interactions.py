@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import exact, sparse, stats, vector_index
+from tessera.operators import exact, sparse, stats, vector_index, walks
 from tessera.plans import games
 from tessera.plans import oracles as o
 from tessera.plans import queries as core
@@ -124,3 +124,22 @@ def knn_index(spark, sf):
     asked = vectors.where(F.col("vec_id") % games.QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     found = vector_index.search(spark, path, asked, 5)
     return rounded(found.select("query_id", "vec_id", (F.col("place") - 1).alias("item_idx"), "distance"), 5)
+
+
+def truncated_sql(tolerance: float, budget: int) -> str:
+    """Walks in turn: from where one is near the top its steps are 0; the first lookup that is one too many ends the game."""
+    return f"""WITH {o.G4}, {o.DAYS}, {o.ORDER}, st AS (SELECT x.game_id, n, iteration, position, item, before | (1::BIGINT << item::INT) AS after, a.value AS last, b.value - a.value AS delta, t.value AS top FROM steps x JOIN u a ON a.game_id = x.game_id AND a.mask = before JOIN u b ON b.game_id = x.game_id AND b.mask = before | (1::BIGINT << item::INT) JOIN u t ON t.game_id = x.game_id AND t.mask = (1 << n) - 1),
+cuts AS (SELECT *, bool_or(iteration > 1 AND abs(top - last) < {tolerance}) OVER (PARTITION BY game_id, iteration ORDER BY position) AS cut FROM st), firsts AS (SELECT *, NOT cut AND position < n - 1 AND row_number() OVER (PARTITION BY game_id, after, cut ORDER BY iteration, position) = 1 AS new FROM cuts),
+spends AS (SELECT *, sum(new::INT) OVER (PARTITION BY game_id ORDER BY iteration, position) AS spent FROM firsts), made AS (SELECT * FROM spends WHERE spent <= {budget - 2}), e AS (SELECT game_id, 2 + max(spent)::BIGINT AS evaluations FROM made GROUP BY 1)
+SELECT game_id, item::INT AS item_idx, {r('avg(CASE WHEN cut THEN 0 ELSE delta END)', 'phi')}, max(evaluations) AS evaluations FROM made JOIN e USING (game_id) GROUP BY game_id, item"""
+
+
+ORACLE["tmc_shapley"] = truncated_sql(5.0, 20)
+
+
+@query(truncated_sql(5.0, 20))
+def tmc_stepwise(spark, sf):
+    """Truncated walks that ask a scorer, here one that looks the games up, for what they get to."""
+    u = core.kept(games.event_game(spark, sf), "utilities")
+    found = lambda asked: asked.join(u.select("game_id", "mask", "value"), ["game_id", "mask"])
+    return rounded(walks.step_walks(games.games(u), found, core.ORDERS, 5.0, 20, core.SEED))
