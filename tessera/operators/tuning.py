@@ -45,8 +45,9 @@ def blended_fit(x: np.ndarray, y: np.ndarray, rank: int, beta: float, l2_w: floa
     w0 = float(y.mean())
     across = lambda z: (1 - beta) / m * z + (beta / (m / 2)) * np.repeat(z[1::2] - z[::2], 2) * np.tile([-1.0, 1.0], m // 2)
     error = y - fm_predict(x, w0, w, v)
-    before = np.inf
+    least = 1e-13 * max(1.0, float(np.abs(y).max()))
     for _ in range(rounds):
+        moved = 0.0
         if beta < 1:
             shift = error.mean()
             w0, error = w0 + shift, error - shift
@@ -54,18 +55,16 @@ def blended_fit(x: np.ndarray, y: np.ndarray, rank: int, beta: float, l2_w: floa
             h = across(x[:, i])
             hh = h @ x[:, i]
             move = (h @ error + hh * w[i]) / (hh + l2_w) - w[i] if hh + l2_w > 0 else 0.0
-            w[i], error = w[i] + move, error - move * x[:, i]
+            w[i], error, moved = w[i] + move, error - move * x[:, i], max(moved, abs(move))
         for f in range(rank):
             for i in range(n):
                 along = x[:, i] * (x @ v[:, f] - v[i, f] * x[:, i])
                 h = across(along)
                 hh = h @ along
                 move = (h @ error + hh * v[i, f]) / (hh + l2_v) - v[i, f] if hh + l2_v > 0 else 0.0
-                v[i, f], error = v[i, f] + move, error - move * along
-        loss = error @ across(error) + l2_w * w @ w + l2_v * (v**2).sum()
-        if before - loss <= 1e-14 * max(1.0, loss):
+                v[i, f], error, moved = v[i, f] + move, error - move * along, max(moved, abs(move))
+        if moved <= least:
             break
-        before = loss
     return (w0 + float(error.mean()) if beta == 1 else w0), w, v
 
 

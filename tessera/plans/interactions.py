@@ -3,11 +3,12 @@ vector index, each with its SQL beside it."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import exact, sparse, stats, vector_index, walks
+from tessera.operators import exact, sparse, stats, tuning, vector_index, walks
 from tessera.plans import games
 from tessera.plans import oracles as o
 from tessera.plans import queries as core
@@ -143,3 +144,56 @@ def tmc_stepwise(spark, sf):
     u = core.kept(games.event_game(spark, sf), "utilities")
     found = lambda asked: asked.join(u.select("game_id", "mask", "value"), ["game_id", "mask"])
     return rounded(walks.step_walks(games.games(u), found, core.ORDERS, 5.0, 20, core.SEED))
+
+
+#: The linear part of joint tuning: blends, folds, and the penalty that makes what differences don't settle 0.
+BETAS, FOLDS, PENALTY = (0.0, 0.5, 1.0), 4, 0.001
+
+
+def blended_hat(beta: float, fold: int, n: int = games.TYPES) -> np.ndarray:
+    """Coefficients by utilities of coalitions: row 0 the intercept, row i + 1 item i, of the fit to pairs (m, m with item
+    m % n flipped) that aren't in the fold."""
+    sides = [(m, m ^ 1 << m % n) for m in range(1 << n) if m % FOLDS != fold]
+    pick = np.eye(1 << n)[[m for pair in sides for m in pair]]
+    x = np.array([[1.0, *((m >> i & 1) for i in range(n))] for m in range(1 << n)])
+    x = pick @ x
+    apart = lambda z: z[1::2] - z[::2]
+    gram = (1 - beta) * x.T @ x / len(x) + beta * apart(x).T @ apart(x) / len(sides) + np.diag([0.0] + [PENALTY] * n)
+    right = (1 - beta) * x.T @ pick / len(x) + beta * apart(x).T @ apart(pick) / len(sides)
+    if beta < 1:
+        return np.linalg.solve(gram, right)
+    items = np.linalg.solve(gram[1:, 1:], right[1:])
+    return np.vstack([pick.mean(0) - x[:, 1:].mean(0) @ items, items])
+
+
+def tuning_sql() -> str:
+    hats = ",".join(f"({b},{f},{k},{m},{h!r})" for b in BETAS for f in range(FOLDS) for k, row in enumerate(blended_hat(b, f).tolist()) for m, h in enumerate(row))
+    z = lambda y, p: f"CASE WHEN stddev_pop({y}) > 1e-12 AND stddev_pop({p}) > 1e-12 THEN 2 - 2 * covar_pop({y}, {p}) / (stddev_pop({y}) * stddev_pop({p})) WHEN stddev_pop({y}) > 1e-12 OR stddev_pop({p}) > 1e-12 THEN 1 ELSE 0 END"
+    return f"""WITH {o.G4}, h(beta, fold, k, mask, h) AS (VALUES {hats}), co AS (SELECT game_id, beta::DOUBLE AS beta, fold, k, sum(h::DOUBLE * value) AS c FROM u JOIN h ON h.mask = u.mask GROUP BY ALL),
+p AS (SELECT u.game_id, beta, fold, u.mask, any_value(value) AS y, sum(CASE WHEN k = 0 OR (u.mask >> greatest(k - 1, 0)::INT) & 1 = 1 THEN c ELSE 0 END) AS p FROM u JOIN co ON co.game_id = u.game_id GROUP BY 1, 2, 3, 4),
+d AS (SELECT a.game_id, a.beta, a.fold, a.y, a.p, b.y AS y2, b.p AS p2 FROM p a JOIN p b ON a.game_id = b.game_id AND a.beta = b.beta AND a.fold = b.fold AND a.mask % {FOLDS} = a.fold AND b.mask = xor(a.mask, 1::BIGINT << (a.mask % {games.TYPES})::INT)),
+l AS (SELECT game_id, beta, fold, y, p FROM d UNION ALL SELECT game_id, beta, fold, y2, p2 FROM d), e AS (SELECT game_id, beta, fold, avg((y - p) ** 2) AS um, {z('y', 'p')} AS uz FROM l GROUP BY 1, 2, 3),
+f AS (SELECT game_id, beta, fold, avg((y2 - y - p2 + p) ** 2) AS dm, {z('y2 - y', 'p2 - p')} AS dz FROM d GROUP BY 1, 2, 3)
+SELECT game_id, fold::INT AS fold, 0::INT AS rank, beta, {r('um', 'util_mse', 4)}, {r('dm', 'delta_mse', 4)}, {r('uz', 'util_z', 4)}, {r('dz', 'delta_z', 4)} FROM e JOIN f USING (game_id, beta, fold)"""
+
+
+def mask_pairs(utilities: DataFrame) -> DataFrame:
+    """Every coalition m and its copy with item m % n flipped, as pairs with values."""
+    both = F.array(F.col("mask"), F.col("mask").bitwiseXOR(bits.bit(F.col("mask") % F.col("n_items"))))
+    sides = utilities.select("game_id", "n_items", F.col("mask").alias("pair"), F.posexplode(both).alias("side", "mask"))
+    return sides.join(utilities.select("game_id", "mask", "value"), ["game_id", "mask"])
+
+
+@query(tuning_sql())
+def tuning_folds(spark, sf):
+    """Held-out errors by fold and blend of the linear part, which has a closed form."""
+    pairs = mask_pairs(core.kept(games.event_game(spark, sf), "utilities"))
+    return rounded(tuning.tuning_scores(pairs, (0,), BETAS, FOLDS, l2_w=PENALTY, rounds=5000), 4)
+
+
+@query()
+def tuned_machine(spark, sf):
+    """Coefficients of the machines that are chosen on z-scored errors; tests/test_tuning.py holds choice and fit against known games."""
+    pairs = core.kept(mask_pairs(games.segment_game(spark, sf)), "pairs")
+    chosen = tuning.choose(tuning.tuning_scores(pairs, (1, 2), (0.0, 0.5), rounds=100), zscored=True)
+    return rounded(tuning.fit_tuned(pairs, chosen))
