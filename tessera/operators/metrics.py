@@ -189,3 +189,16 @@ def agreement_matrix(attributions: DataFrame, k: int = 3) -> DataFrame:
     both, keys = one.join(two, ["game_id", "item_idx"]).where(F.col("left") < F.col("right")), ["left", "right", "game_id"]
     found = spearman(both, keys).withColumnRenamed("value", "spearman").join(kendall(both, keys).withColumnRenamed("value", "kendall"), keys).join(top_overlap(both, keys, k).withColumnRenamed("value", "overlap"), keys)
     return found.groupBy("left", "right").agg(*(F.avg(c).alias(c) for c in ("spearman", "kendall", "overlap")))
+
+
+def interaction_agreement_matrix(interactions: DataFrame, k: int = 3, share: float = 0.1) -> DataFrame:
+    """(left, right, spearman, overlap, n_strong, sign_agree, weak_frac): means over games for each two providers of
+    `interactions` (game_id, provider, i, j, value). Ranks and the k largest are by size; signs are compared where both
+    sides are strong, and games without such pairs have no part in their mean. Pairs that one side lacks, or whose value
+    is null, are left out."""
+    pair = F.struct("i", "j").alias("pair")
+    one, two = (interactions.where("value is not null").select("game_id", pair, F.col("provider").alias(s), F.col("value").cast("double").alias(c)) for s, c in (("left", "pred"), ("right", "truth")))
+    both, keys = one.join(two, ["game_id", "pair"]).where(F.col("left") < F.col("right")), ["left", "right", "game_id"]
+    sizes = both.select(*keys, F.abs("pred").alias("pred"), F.abs("truth").alias("truth"))
+    found = sign_agreement(both, keys, share).join(spearman(sizes, keys).withColumnRenamed("value", "spearman"), keys).join(top_overlap(both, keys, k, "pair").withColumnRenamed("value", "overlap"), keys)
+    return found.groupBy("left", "right").agg(*(F.avg(c).alias(c) for c in ("spearman", "overlap", "n_strong", "sign_agree", "weak_frac")))

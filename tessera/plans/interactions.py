@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import exact, sparse, stats, tuning, vector_index, walks
+from tessera.operators import exact, metrics, sparse, stats, tuning, vector_index, walks
 from tessera.plans import games
 from tessera.plans import oracles as o
 from tessera.plans import queries as core
@@ -197,3 +197,21 @@ def tuned_machine(spark, sf):
     pairs = core.kept(mask_pairs(games.segment_game(spark, sf)), "pairs")
     chosen = tuning.choose(tuning.tuning_scores(pairs, (1, 2), (0.0, 0.5), rounds=100), zscored=True)
     return rounded(tuning.fit_tuned(pairs, chosen))
+
+
+PAIRED = "PARTITION BY a, b, game_id"
+
+
+@query(f"""WITH {o.G4}, {o.SII}, {o.BII}, {o.MOBIUS}, v AS (SELECT 'banzhaf' AS provider, game_id, i, j, round(value, 9) AS value FROM bii UNION ALL SELECT 'shapley', game_id, i, j, round(value, 9) FROM sii UNION ALL SELECT 'mobius', game_id, x.i, y.j, round(coef, 9) FROM mob, range(5) x(i), range(5) y(j) WHERE x.i < y.j AND subset = (1::BIGINT << x.i::INT) | (1::BIGINT << y.j::INT)),
+sc AS (SELECT l.provider AS a, q.provider AS b, l.game_id, l.i, l.j, l.value AS pred, q.value AS truth FROM v l JOIN v q ON l.game_id = q.game_id AND l.i = q.i AND l.j = q.j AND l.provider < q.provider),
+w AS (SELECT *, rank() OVER ({PAIRED} ORDER BY abs(pred)) + (count(*) OVER ({PAIRED}, abs(pred)) - 1) / 2.0::DOUBLE AS p, rank() OVER ({PAIRED} ORDER BY abs(truth)) + (count(*) OVER ({PAIRED}, abs(truth)) - 1) / 2.0::DOUBLE AS t, row_number() OVER ({PAIRED} ORDER BY abs(pred) DESC, i, j) <= 3 AND row_number() OVER ({PAIRED} ORDER BY abs(truth) DESC, i, j) <= 3 AS shared_top, max(abs(pred)) OVER ({PAIRED}) AS mp, max(abs(truth)) OVER ({PAIRED}) AS mt FROM sc),
+s AS (SELECT *, mp > 0 AND mt > 0 AND abs(pred) >= 0.1::DOUBLE * mp AND abs(truth) >= 0.1::DOUBLE * mt AS strong FROM w),
+g AS (SELECT a, b, game_id, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(t) > 0 THEN corr(p, t) END AS sp, count(*) FILTER (WHERE shared_top) / 3.0::DOUBLE AS ov, count(*) FILTER (WHERE strong) AS n, avg((sign(pred) = sign(truth))::INT) FILTER (WHERE strong) AS same, 1 - count(*) FILTER (WHERE strong) / count(*) AS weak FROM s GROUP BY ALL)
+SELECT a AS "left", b AS "right", {r('avg(sp)', 'spearman')}, {r('avg(ov)', 'overlap')}, {r('avg(n)', 'n_strong')}, {r('avg(same)', 'sign_agree')}, {r('avg(weak)', 'weak_frac')} FROM g GROUP BY 1, 2""")
+def interaction_agreement(spark, sf):
+    """How three indices of pairs agree: ranks and the largest by size, signs where both are strong."""
+    u = core.kept(games.event_game(spark, sf), "utilities")
+    two = exact.mobius(u).where(bits.size(F.col("subset")) == 2).select("game_id", bits.members(F.col("subset"), F.lit(games.TYPES)).alias("m"), F.col("coef").alias("value"))
+    of = {"banzhaf": exact.banzhaf_interactions(u), "shapley": exact.shapley_interactions(u), "mobius": two.select("game_id", F.get("m", F.lit(0)).alias("i"), F.get("m", F.lit(1)).alias("j"), "value")}
+    rows = [v.select("game_id", F.lit(name).alias("provider"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("value", 9).alias("value")) for name, v in of.items()]
+    return rounded(metrics.interaction_agreement_matrix(rows[0].unionByName(rows[1]).unionByName(rows[2])))

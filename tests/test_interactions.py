@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tessera.operators import exact, sparse
+from tessera.operators import exact, metrics, sparse
 from tessera.operators.surrogates import neighbours
 from tessera.plans import ablation
 
@@ -147,3 +147,12 @@ def test_gradient_fits_stand_still_where_they_end(spark):
     pair = neighbours(masks)
     p = surrogates.fm_predict(x, w0, w, v)
     assert np.abs((p[pair[:, 1]] - p[pair[:, 0]]) - (y[pair[:, 1]] - y[pair[:, 0]])).max() < 0.05
+
+
+def test_signs_are_compared_where_both_are_strong(spark):
+    values = {"a": [4.0, -3.0, 0.1, None], "b": [2.0, 1.5, -2.0, 1.0]}
+    rows = [(9, p, 0, j + 1, v) for p, vs in values.items() for j, v in enumerate(vs)] + [(8, p, 0, 1, 0.0) for p in values]
+    got = metrics.interaction_agreement_matrix(spark.createDataFrame(rows, "game_id bigint, provider string, i int, j int, value double"), k=2).collect()
+    assert len(got) == 1 and (got[0]["left"], got[0]["right"]) == ("a", "b")
+    assert (got[0]["n_strong"], got[0]["sign_agree"]) == (1.0, 0.5) and got[0]["weak_frac"] == pytest.approx((1 + 1 / 3) / 2)
+    assert metrics.interaction_agreement_matrix(spark.createDataFrame([], "game_id bigint, provider string, i int, j int, value double")).count() == 0

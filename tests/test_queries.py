@@ -2,11 +2,11 @@
 
 import pytest
 
-from tessera.plans import inputs, oracles, queries
+from tessera.plans import inputs, interactions, oracles, queries
 from tests.compare import DATA, same
 
 SMALL = str(DATA / "sf0.001")
-QUERIES, ORACLE = queries.QUERIES | inputs.QUERIES, oracles.ORACLE | inputs.ORACLE
+QUERIES, ORACLE = queries.QUERIES | inputs.QUERIES | interactions.QUERIES, oracles.ORACLE | inputs.ORACLE | interactions.ORACLE
 
 
 def test_sql_belongs_to_queries():
