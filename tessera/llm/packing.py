@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,6 +23,13 @@ PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 CACHED_WORDS = 500_000
 #: Characters that are split into words at once.
 SLAB = 1 << 20
+#: Words of letters that are encoded as one line.
+LINE = 64
+#: Signs that are a piece of the vocabulary's split of their own after letters.
+TAIL = ".,;:!?%$#&*)"
+#: Whether a word is of lower-case letters of Latin-1 alone; and such letters in any case, whose case is folded one by one, with signs after them, or anything else, of each of some lines.
+LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+PARTS = re.compile(rf"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(TAIL)}]*)|(.*))$", re.M)
 #: Pieces that are packed together, on average.
 GROUP_PIECES = 4_000
 
@@ -28,15 +38,21 @@ class WordIds:
     """Little-endian ids of words. The vocabulary splits at white space, so a text's ids are its words' ids in turn.
 
     New words are encoded many at a time. A word of letters is one piece of the vocabulary's split, whose last id alone
-    bears the mark of a word's end; that tells where in a line of such words each one's ids stop. Its full stop or
-    comma is a piece of its own, and the vocabulary folds case.
+    bears the mark of a word's end; that tells where in a line of such words each one's ids stop. Signs after its
+    letters are a piece of their own, and the vocabulary folds case. Words of Latin letters in lower case stay as they
+    are when the vocabulary normalises and splits them, so they go to its merges directly.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.cached = cached
         self.model = Tokenizer.from_file(path)
+        own = json.loads(self.model.to_str())
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        own |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.latin = Tokenizer.from_str(json.dumps(own))
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab(with_added_tokens=True)
@@ -46,48 +62,59 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, "<u4") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; a stem that is known already isn't encoded again."""
-        parts = {w: split_tail(w) for w in words}
-        found = {"": b""}
-        stems = set(chain.from_iterable(parts.values()))
-        for known in (self.known, self.older):
-            found |= {x: known[x] for x in stems & known.keys()}
-        stems = [x for x in stems if x not in found]
-        plain, odd = [x for x in stems if x.isalpha()], [x for x in stems if not x.isalpha()]
-        found |= {x: ids.tobytes() for x, ids in zip(odd, self.encode(odd), strict=True)}
-        lines = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+    def latin_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of lower-case Latin letters, by the ends of words among those of all."""
+        lines = [" ".join(words[k : k + LINE]) for k in range(0, len(words), LINE)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.latin.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        return {x: data[at:stop] for x, at, stop in zip(words, [0, *stops[:-1]], stops, strict=True)} if words else {}
+
+    def other_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of any words; those of letters are encoded LINE at once."""
+        letters, odd = [x for x in words if x.isalpha()], [x for x in words if not x.isalpha()]
+        found = {x: ids.tobytes() for x, ids in zip(odd, self.encode(odd), strict=True)}
+        lines = [letters[k : k + LINE] for k in range(0, len(letters), LINE)]
         for own, ids in zip(lines, self.encode([" ".join(x) for x in lines]), strict=True):
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(own):
-                data, at = ids.tobytes(), 0
-                for word, stop in zip(own, stops, strict=True):
-                    found[word], at = data[at:stop], stop
+                data = ids.tobytes()
+                found |= {x: data[at:stop] for x, at, stop in zip(own, [0, *stops[:-1]], stops, strict=True)}
             else:  # a letter that the split doesn't count as one
                 found |= {x: one.tobytes() for x, one in zip(own, self.encode(own), strict=True)}
-        return {w: found[stem] + found[tail] for w, (stem, tail) in parts.items()}
+        return found
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words; a stem that is known already isn't encoded again."""
+        parts = [(stem.lower(), tail) if stem else split_tail(other) for stem, tail, other in PARTS.findall("\n".join(words))]
+        stems = {x for x, _ in parts}.union({tail for _, tail in parts})
+        found = {x: ids for x in stems if (ids := self.known.get(x) or self.older.get(x)) is not None}
+        found[""] = b""
+        new = [x for x in stems if x not in found]
+        latin = {x for x in new if LATIN(x)}
+        found |= self.latin_ids(list(latin)) | self.other_ids([x for x in new if x not in latin])
+        return {w: found[stem] + found[tail] if tail else found[stem] for w, (stem, tail) in zip(words, parts, strict=True)}
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        own = set(chain.from_iterable(split))
-        new = own.difference(self.known)
-        if new and len(self.known) + len(new) > self.cached:
-            self.known, self.older = {"": b""}, self.known
-            new = own - {""}
-        again = new & self.older.keys()
-        new -= again
-        self.known |= {w: self.older[w] for w in again}
+        ids = [list(map(self.known.get, words)) for words in split]
+        gaps = [[k for k, x in enumerate(own) if x is None] for own in ids]
+        new = {words[k] for words, own in zip(split, gaps, strict=True) for k in own}
         if new:
-            self.known |= self.learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            found = {w: self.older[w] for w in new & self.older.keys()}
+            found |= self.learn([w for w in new if w not in found])
+            if len(self.known) + len(found) > self.cached:
+                self.known, self.older = {"": b""}, self.known
+            self.known |= found
+            for words, own, missing in zip(split, ids, gaps, strict=True):
+                for k in missing:
+                    own[k] = found[words[k]]
+        return [b"".join(own) for own in ids]
 
 
 def split_tail(word: str) -> tuple[str, str]:
-    """A word without a full stop or comma after its letters, in lower case where that is plain; and what went."""
-    tail = ""
-    if word[-1:] in (",", ".") and word[:-1].isalpha():
-        word, tail = word[:-1], word[-1]
-    return (word.lower() if word.isascii() and word.isalpha() else word), tail
+    """A word of letters and the signs after them, or any other word as it is."""
+    stem = word.rstrip(TAIL)
+    return (stem, word[len(stem) :]) if stem.isalpha() else (word, "")
 
 
 def lots(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
