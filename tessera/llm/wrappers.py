@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,10 +36,11 @@ PERIOD = 4
 FAN = 64
 #: Forms of pages that a task holds before it passes them on.
 HELD_FORMS = 2_000
-#: Nodes of a wrapper. Beyond them the places seen on fewest pages are forgotten: their text counts as varying then.
-MOST_NODES = 4_000
-#: Sibling lists whose lengths have a greater product are aligned at their common ends alone.
-LONG = 1_000_000
+#: Nodes of a wrapper up to which each task of a host has as many pages as it is asked for, and characters of a node. A larger
+#: wrapper goes whole to tasks of more pages in proportion, so that its copies don't outgrow the pages.
+MOST_NODES, NODE_CHARS = 4_000, 80
+#: Sibling lists whose lengths have a greater product are aligned by their longest common sequence of labels, by bits; and that product from which a sequence is found by halves.
+LONG, HALVED = 1_000_000, 1 << 28
 #: Up to this product of their numbers siblings without one and the same text are aligned by likeness; and the share of signs that unlabelled containers must have in common.
 CLOSE, ALIKE = 4096, 0.34
 #: Share of the running text from which a container is the article's, with a mark and without; and from which one that is called noise isn't.
@@ -337,16 +339,14 @@ def pairs(a: list[Node], b: list[Node], how: int = 0, at: int = 0, to: int = 0)
     if how and len(a) * len(b) <= CLOSE:
         yield from ((at + p, to + q) for p, q in alike(a, b))
         return
-    if len(a) * len(b) > LONG:
-        ends = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p.key != q.key), min(len(x), len(y)))
-        head = ends(a, b)
-        tail = ends(a[head:][::-1], b[head:][::-1])
-        yield from ((at + k, to + k) for k in range(head))
-        yield from ((at + len(a) - k, to + len(b) - k) for k in range(tail, 0, -1))
-        return
     one = [label(x, how, ("a", k)) for k, x in enumerate(a)]
     two = [label(x, how, ("b", k)) for k, x in enumerate(b)]
-    blocks = [(0, 0, len(a)), (len(a), len(b), 0)] if one == two else SequenceMatcher(None, one, two, autojunk=False).get_matching_blocks()
+    if one == two:
+        blocks = [(0, 0, len(a)), (len(a), len(b), 0)]
+    elif len(a) * len(b) > LONG:
+        blocks = [*((p, q, 1) for p, q in in_order(one, two)), (len(a), len(b), 0)]
+    else:
+        blocks = SequenceMatcher(None, one, two, autojunk=False).get_matching_blocks()
     i = j = 0
     for p, q, n in blocks:
         if how < 2:
@@ -355,6 +355,51 @@ def pairs(a: list[Node], b: list[Node], how: int = 0, at: int = 0, to: int = 0)
         i, j = p + n, q + n
 
 
+def in_order(one: list, two: list) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of two lists."""
+    both = set(one) & set(two)
+    p, q = ([k for k, x in enumerate(side) if x in both] for side in (one, two))
+    return [(p[i], q[j]) for i, j in common([one[k] for k in p], [two[k] for k in q])]
+
+
+def sums(one: list, two: list) -> Iterator[int]:
+    """After each label of the first list, a number whose bit j is zero where the common sequence with the first j + 1 labels of
+    the second one is longer than with j."""
+    at: dict = {}
+    for j, x in enumerate(two):
+        at[x] = at.get(x, 0) | 1 << j
+    bits = whole = (1 << len(two)) - 1
+    for x in one:
+        met = bits & at.get(x, 0)
+        bits = ((bits + met) | (bits - met)) & whole
+        yield bits
+
+
+def common(one: list, two: list) -> list[tuple[int, int]]:
+    n, m = len(one), len(two)
+    if n > 1 and n * m > HALVED:
+        cut = n // 2
+
+        def best(a: list, b: list) -> list[int]:
+            for bits in sums(a, b):
+                pass
+            return [0, *accumulate(int(x == "0") for x in f"{bits:0{m}b}"[::-1])]
+
+        head, tail = best(one[:cut], two), best(one[cut:][::-1], two[::-1])
+        to = max(range(m + 1), key=lambda j: head[j] + tail[m - j])
+        return common(one[:cut], two[:to]) + [(cut + i, to + j) for i, j in common(one[cut:], two[to:])]
+    rows, out, i, j = list(sums(one, two)), [], n, m
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def sides(a: Node, b: Node) -> None:
     """Makes a sequence that is a group on one side a group on the other, so that they can meet."""
     for x, y in ((a, b), (b, a)):
@@ -400,24 +445,6 @@ def expression(node: Node) -> str:
     return " ".join(c.shape for c in node.children)
 
 
-def pruned(wrapper: Node) -> Node:
-    """The wrapper with at most MOST_NODES nodes: the places seen on fewest pages go first."""
-
-    def pages(x: Node) -> int:
-        return max((s.seen.pages for s in x.slots()), default=0)
-
-    def every(x: Node) -> Iterator[Node]:
-        yield x
-        for c in x.children:
-            yield from every(c)
-
-    if sum(1 for _ in every(wrapper)) > MOST_NODES:
-        least = sorted((pages(x) for x in every(wrapper)), reverse=True)[MOST_NODES]
-        for x in list(every(wrapper)):
-            x.children = [c for c in x.children if pages(c) > least]
-    return wrapper
-
-
 def form(blocks: list[Block], root: Node) -> Node:
     """A page's tree with what its slots hold."""
     whole = xxhash.xxh64_intdigest("\n".join(b.text for b in blocks)) >> 1
@@ -436,7 +463,7 @@ def infer(trees: Iterable[Node]) -> Node:
             wrapper = tree
         else:
             widen(wrapper, tree)
-    return pruned(wrapper) if wrapper is not None else Node("page")
+    return wrapper if wrapper is not None else Node("page")
 
 
 # From wrappers to text
@@ -635,14 +662,17 @@ def extract_pages(pages: DataFrame, host_pages: int = 256) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages` (page_id, url, html).
 
     Pages of a host share one wrapper, however many they are. It meets them in tasks of about `host_pages` pages, by a
-    salt, and comes first there; so the html is shuffled once and no task has a host. Null and empty html give an
+    salt, and comes first there, and of more pages where it has over MOST_NODES nodes; so the html is shuffled once and
+    no task has a host. Null and empty html give an
     empty text; null urls are a host of their own; rows that repeat are pages each but count once where a slot's
     different pages are counted. Other columns aren't read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), url_host(F.col("url")).alias("host"))
     known = written(wrappers(rows), "wrappers")
     many = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * host_pages)
-    many = written(many.select("host", F.ceil(F.col("n") / host_pages).alias("groups")), "wrapper-hosts")
+    larger = F.greatest(F.lit(1.0), F.length("tree") / (NODE_CHARS * MOST_NODES))
+    many = many.join(known.select("host", larger.alias("larger")), "host")
+    many = written(many.select("host", F.ceil(F.col("n") / (host_pages * F.col("larger"))).alias("groups")), "wrapper-hosts")
     groups = F.coalesce("groups", F.lit(1))
     none = F.lit(None).cast("string")
     first = known.join(small(many), "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)).alias("salt"), F.lit(0).alias("page"), F.lit(None).cast("bigint").alias("page_id"), none.alias("url"), F.col("tree").alias("html"))

@@ -130,3 +130,38 @@ def test_wrappers_round_trip_and_bounds(monkeypatch):
     assert len(wrappers.extract([wide, wide + "<div><h2>more</h2></div>"])[0]) == len(wrappers.extract([wide])[0])
     monkeypatch.setattr(wrappers, "MOST_NODES", 10)
     assert all(wrappers.extract([unmarked(k)[0] for k in range(9)]))
+
+
+def test_no_place_of_a_large_wrapper_is_forgotten(spark, monkeypatch):
+    """Wrappers of more nodes than MOST_NODES decide as any other, in extract() and in tasks."""
+    pages = [unmarked(k) for k in range(14)]
+    monkeypatch.setattr(wrappers, "MOST_NODES", 10)
+    assert wrappers.extract([h for h, _ in pages]) == [t for _, t in pages]
+    frame = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, (h, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    assert [r["text"] for r in wrappers.extract_pages(frame, host_pages=2).orderBy("page_id").collect()] == [t for _, t in pages]
+
+
+@pytest.mark.parametrize("halved", [1 << 28, 6])
+def test_long_sibling_lists_are_aligned_throughout(monkeypatch, halved):
+    """A template in the middle of long lists of siblings is found, with different siblings before it and behind."""
+    monkeypatch.setattr(wrappers, "LONG", 4)
+    monkeypatch.setattr(wrappers, "HALVED", halved, raising=False)
+    pages = [unmarked(k) for k in range(14)]
+    assert wrappers.extract([h for h, _ in pages]) == [t for _, t in pages]
+
+
+def test_common_sequences_are_longest(monkeypatch):
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for halved in (1 << 28, 4):
+        monkeypatch.setattr(wrappers, "HALVED", halved)
+        for k in range(200):
+            one, two = ([(x * x + 7 * k * x + s * k) % (3 + k % 9) for x in range(k % 17)] for s in (1, 5))
+            two = two[k % 3 :] + one[: k % 5]
+            found = wrappers.in_order(one, two)
+            assert all(one[i] == two[j] for i, j in found) and len(found) == longest(one, two)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:], strict=False))
