@@ -1,4 +1,5 @@
-"""Near-duplicates by Jaccard similarity of word shingles: every pair is found by prefixes, and every link is verified."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash with pivot tables finds most, prefixes every pair that is left, and
+every link is verified."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import BLANK_CHARS, free, let_go, small, small_batches, take_turn, written
 from tessera.llm.components import components
 
@@ -23,6 +25,8 @@ SKETCH = 8
 ORDER_DOCS, ORDER_KEYS = 25_000, 100_000
 #: Shared shingles that a set is known by when a pair is told from one that has been met before.
 EARLY = 16
+#: Bits in which fingerprints that are held against each other differ at most, and pivots of their distance tables.
+PRINT_BITS, PIVOTS = 3, 16
 #: Members of a bucket that meet all others of one block at once.
 BLOCK = 256
 #: Rounds of stars end when one links less than this share of the members.
@@ -123,24 +127,26 @@ def shingle_order(docs: DataFrame, most_docs: int = ORDER_DOCS, most_keys: int =
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py()).view(np.int64))], ["key"])
 
     often = some.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    rows = often.orderBy(F.desc("n"), "key").limit(most_keys).collect()
-    keys, n = np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    rows = often.orderBy(F.desc("n"), "key").limit(most_keys).toArrow()
+    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], np.log2(np.maximum(n, 1)).astype(np.int8)[order]
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, n, s0.., wide, prefix) of every row; rows with the same set of shingles are one node."""
+    """(doc_id, row, node, n, fp, s0.., wide, prefix) of every row; rows with the same set of shingles are one node, fp is
+    its SimHash fingerprint."""
     keys, level = shingle_order(docs)
-    names = ["doc_id", "row", "node", "n", *SKETCHES, "wide", "prefix"]
+    names = ["doc_id", "row", "node", "n", "fp", *SKETCHES, "wide", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("near")
         for batch in parts(batches):
             own = [shingle_set(x.as_py()) for x in batch.column(2)]
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in own), np.uint64, len(own)).view(np.int64)
+            fp = np.fromiter((simhash.majority(s) for s in own), np.uint64, len(own)).view(np.int64)
             bits = np.array([sketch(s) for s in own], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in own], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)), pa.array([wide_sketch(s) for s in own], pa.binary()), lists([prefix(s, keys, level) for s in own])], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in own], pa.int64()), pa.array(fp), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)), pa.array([wide_sketch(s) for s in own], pa.binary()), lists([prefix(s, keys, level) for s in own])], names)
 
     kinds = ", ".join(f"{c} bigint" for c in names[:-2]) + ", wide binary"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string")).mapInArrow(run, f"{kinds}, prefix array<bigint>")
@@ -193,13 +199,27 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that SimHash links: those of one fingerprint with the first of them, and the first ones of fingerprints
+    within PRINT_BITS bits, by block masks and pivot tables; where sizes and sketches leave a link possible."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
+    same = nodes.join(firsts, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return linkable(same.union(simhash.links(firsts, PRINT_BITS, PIVOTS)), nodes)
+
+
+def linkable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), the lesser node first and once, where sizes and sketches leave a link possible."""
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = nodes.select("node", "n", *SKETCHES)
+    return met.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
+
+
 def star_pairs(members: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     """Each member of a bucket with one of them, if they are not in one component yet."""
     hub = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "component")).alias("hub")
     hubs = members.groupBy("key").agg(hub, F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "hub")
-    met = members.join(hubs, "key").where(F.col("component") != F.col("hub.component")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    side = nodes.select("node", "n", *SKETCHES)
-    return met.join(side.alias("x"), F.col("a") == F.col("x.node")).join(side.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
+    met = members.join(hubs, "key").where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    return linkable(met, nodes)
 
 
 def cross_pairs(members: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -229,30 +249,34 @@ def near_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, row, component) of every row: the components of all pairs of texts whose sets of five-word shingles
     have a Jaccard similarity of 0.8 or more. Texts without words (null too) are copies of each other.
 
-    Texts of such a pair share a shingle of their prefixes, so buckets of these have every pair. Members of a bucket
-    are first held against one of them, round by round as long as that links many, which makes a large group of near
-    copies one component with as many rows as it has members; then all pairs that are still in two components are
-    looked at. Sizes and sketches discard pairs that can't be linked, and the whole sets decide on the others.
+    SimHash comes first: fingerprints within PRINT_BITS bits, found by block masks and pivot tables, whose sets are then
+    compared. It misses most pairs near 0.8, so there is an exact way for the rest: texts of such a pair share a
+    shingle of their prefixes, and buckets of these have every pair. Members of a bucket are held against one of them,
+    round by round as long as that links many, which makes a large group of near copies one component with as many
+    rows as it has members; then all pairs that are still in two components are looked at. Sizes and sketches discard
+    pairs that can't be linked, and the whole sets decide on the others.
     """
     with small_batches(docs.sparkSession):
         found = written(prints(docs), "near-prints")
-        nodes = written(found.groupBy("node").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", *SKETCHES, "wide"))), "near-nodes")
+        nodes = written(found.groupBy("node").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", "fp", *SKETCHES, "wide"))), "near-nodes")
         keyed = found.select("node", F.posexplode("prefix").alias("place", "key"))
         shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
         members = written(keyed.join(shared, "key").distinct(), "near-members")
-        links, grouped = None, nodes.select("node", F.col("node").alias("component")).limit(0)
+        grouped = components(verified(docs, nodes, print_pairs(nodes)))
 
         def now() -> DataFrame:
             return members.join(grouped, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("component"))
 
+        def joined(more: DataFrame) -> DataFrame:
+            return components(grouped.toDF("a", "b").union(more))
+
         least = WORTH * members.select("node").distinct().count()
         for seed in range(MOST_ROUNDS):
             more = verified(docs, nodes, star_pairs(now(), nodes, seed))
-            links = more if links is None else links.union(more)
-            grouped = components(links)
+            grouped = joined(more)
             if more.count() <= least:
                 break
-        grouped = components(links.union(verified(docs, nodes, cross_pairs(now(), nodes, block))))
+        grouped = joined(verified(docs, nodes, cross_pairs(now(), nodes, block)))
     let_go(members)
     return found.select("doc_id", "row", "node").join(grouped, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
 

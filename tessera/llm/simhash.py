@@ -38,6 +38,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number of the bits that are set in over half of some hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the fingerprint's bits as a signed bigint."""
 

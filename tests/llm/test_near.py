@@ -89,3 +89,16 @@ def test_map_columns_repeated_rows_and_the_session(spark):
 
 def test_empty_table(spark):
     assert near.keep_one(hostile(spark).limit(0)).count() == 0
+
+
+def test_simhash_links_come_first_and_prefixes_find_the_rest(spark, monkeypatch):
+    """Near copies whose fingerprints are a few bits apart are found without prefixes, others by them; both are verified."""
+    long = [f"w{k}" for k in range(400)]
+    texts = {1: long, 2: [*long[:-1], "other"], 3: long[:330], 4: [f"v{k}" for k in range(400)]}
+    prints = {k: near.simhash.majority(near.shingle_set(" ".join(x))) for k, x in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= near.PRINT_BITS < (prints[1] ^ prints[3]).bit_count()
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in texts.items()], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == [1, 4]
+    for name in ("star_pairs", "cross_pairs"):
+        monkeypatch.setattr(near, name, lambda members, nodes, *more: nodes.select("node", "node").toDF("a", "b").limit(0))
+    assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == [1, 3, 4]
